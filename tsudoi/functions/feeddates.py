@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsudoi.functions.dates import db_time, span_end, ymd
-from tsudoi.functions.text import WS, any_match, blank_to_null, squeeze, strip
+from tsudoi.functions.text import WS, any_match, let, squeeze, strip
 
 DAY = r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日"
 SHORT_DAY = r"[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日"
@@ -47,35 +47,35 @@ def listing_dates(raw: Column, style: str = "kanji") -> Column:
     return rules.otherwise(pair(day_token(first), day_token(first)))
 
 
-_FOLD_STATE = "struct<y:int,m:int,d:int,days:array<date>,ok:boolean>"
+LISTED_DAY = "(?:(?:([0-9]{4})年)?([0-9]{1,2})月)?([0-9]{1,2})日"
+_STATE = "struct<y:int,m:int,d:int,days:array<date>,ok:boolean>"
 
 
 def discrete_days(period: Column) -> Column:
     """The listed days of 'Y年M月D日・D日・…' in order, or null for a range or a single day.
 
     Year and month carry over; a day number that falls starts the next month. A day the calendar
-    lacks makes the list unreadable."""
-    text = F.regexp_replace(period, WS, "")
-    num = lambda part, pattern, group: F.regexp_extract(part, pattern, group).try_cast("int")
+    lacks makes the list unreadable. The texts are read once into numbers; the fold only adds."""
+    def numbers(part: Column) -> Column:
+        return F.struct(*[F.regexp_extract(part, LISTED_DAY, i).try_cast("int").alias(n) for i, n in ((1, "y"), (2, "m"), (3, "d"))])
+
+    def carry(state: Column, part: Column) -> Column:
+        falls = part.m.isNull() & F.coalesce(part.d < state.d, F.lit(False))
+        month = F.coalesce(part.m, F.when(falls, state.m % 12 + 1).otherwise(state.m))
+        year = F.coalesce(part.y, F.when(falls & (state.m == 12), state.y + 1).otherwise(state.y))
+        return F.struct(year.alias("y"), month.alias("m"), part.d.alias("d"))
 
     def step(state: Column, part: Column) -> Column:
-        full_y, full_m = num(part, "([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日", 1), num(part, "([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日", 2)
-        md = num(part, "([0-9]{1,2})月([0-9]{1,2})日", 1)
-        dom = num(part, "([0-9]{1,2})日", 1)
-        falls = full_y.isNull() & md.isNull() & (dom < state.d)
-        month = F.coalesce(full_m, md, F.when(falls, state.m % 12 + 1).otherwise(state.m))
-        year = F.coalesce(full_y, F.when(falls & (state.m == 12), state.y + 1).otherwise(state.y))
-        value = ymd(year.cast("string"), month.cast("string"), dom.cast("string"))
-        good = state.ok & F.coalesce(dom.isNotNull() & year.isNotNull() & month.isNotNull() & value.isNotNull(), F.lit(False))
-        return F.struct(year.alias("y"), month.alias("m"), dom.alias("d"),
-                        F.concat(state.days, F.array(value)).alias("days"), good.alias("ok")).cast(_FOLD_STATE)
-
-    start = F.struct(F.lit(None).cast("int").alias("y"), F.lit(None).cast("int").alias("m"), F.lit(None).cast("int").alias("d"),
-                     F.array().cast("array<date>").alias("days"), F.lit(True).alias("ok")).cast(_FOLD_STATE)
-    folded = F.aggregate(F.split(text, "・"), start, step)
-    days = F.array_sort(F.array_distinct(folded.days))
-    listed = F.contains(text, F.lit("・")) & ~any_match(text, "[〜～]")
-    return F.when(listed & folded.ok & (F.size(days) >= 2), days)
+        return let(carry(state, part), lambda c: let(ymd(c.y.cast("string"), c.m.cast("string"), c.d.cast("string")), lambda day: F.struct(
+            c.y.alias("y"), c.m.alias("m"), c.d.alias("d"), F.concat(state.days, F.array(day)).alias("days"),
+            (state.ok & day.isNotNull()).alias("ok")).cast(_STATE)))
+
+    none = F.lit(None).cast("int")
+    start = F.struct(none.alias("y"), none.alias("m"), none.alias("d"), F.array().cast("array<date>").alias("days"), F.lit(True).alias("ok")).cast(_STATE)
+    text = F.regexp_replace(period, WS, "")
+    listed = F.when(F.contains(period, F.lit("・")) & ~any_match(period, "[〜～]"), F.transform(F.split(text, "・"), numbers))
+    folded = let(F.aggregate(listed, start, step), lambda s: F.when(s.ok, F.array_sort(F.array_distinct(s.days))))
+    return let(folded, lambda d: F.when(F.size(d) >= 2, d))
 
 
 OCCURRENCE = "array<struct<start_date:date,end_date:date,start_time:string,end_time:string>>"
@@ -170,10 +170,9 @@ def parse_clock(token: Column) -> Column:
     """A clock token, 10:30 or 午後6時30分, as HH:MM:00."""
     t = F.regexp_replace(token, WS, "")
     half, hour, minute = (F.regexp_extract(t, JAPANESE_CLOCK, i) for i in (1, 2, 3))
-    h = hour.try_cast("int")
-    h = F.when((half == "午前") & (h == 12), 0).when((half == "午後") & (h < 12), h + 12).otherwise(h)
-    japanese = F.when(h.isNotNull(), F.concat_ws(":", F.lpad(h.cast("string"), 2, "0"), F.lpad(F.when(minute == "", "0").otherwise(minute), 2, "0")))
-    return F.coalesce(db_time(token), db_time(japanese))
+    h24 = let(hour.try_cast("int"), lambda h: F.when((half == "午前") & (h == 12), 0).when((half == "午後") & (h < 12), h + 12).otherwise(h))
+    japanese = let(h24, lambda h: F.when(h.isNotNull(), F.concat_ws(":", h.cast("string"), F.lpad(minute, 2, "0"))))
+    return F.when(F.contains(token, F.lit(":")), db_time(token)).otherwise(let(japanese, db_time))
 
 
 def _clock_tokens(text: Column) -> Column:
@@ -182,15 +181,18 @@ def _clock_tokens(text: Column) -> Column:
     pieces = F.flatten(F.zip_with(F.split(text, CLOCK), tokens, lambda s, t: F.array(s, F.coalesce(t, F.lit("")))))
 
     def judged(token: Column, i: Column) -> Column:
-        before = F.right(F.array_join(F.slice(pieces, F.lit(1), 2 * i + 1), ""), F.lit(16))
-        after = F.left(F.array_join(F.slice(pieces, 2 * i + 3, F.size(pieces)), ""), F.lit(16))
-        near = F.concat(F.right(before, F.lit(12)), F.left(after, F.lit(12)))
-        dated = F.concat(F.right(before, F.lit(8)), F.left(after, F.lit(4))).rlike("[0-9]{4}[/-年]")
-        other = (dated | (before.rlike(rf"月{WS}*$") & F.contains(after, F.lit("日")))
-                 | (before.rlike(rf"第{WS}*[0-9]+{WS}*$") & after.rlike("部|話|章")) | near.rlike("歳|才|円|¥|税|料金|入場料|大人|小人|高校|中学|小学"))
-        return F.when(~other, parse_clock(token))
+        context = F.struct(F.right(F.array_join(F.slice(pieces, F.lit(1), 2 * i + 1), ""), F.lit(16)).alias("b"),
+                           F.left(F.array_join(F.slice(pieces, 2 * i + 3, F.size(pieces)), ""), F.lit(16)).alias("a"))
+
+        def reads_otherwise(c: Column) -> Column:
+            near = F.concat(F.right(c.b, F.lit(12)), F.left(c.a, F.lit(12)))
+            dated = F.concat(F.right(c.b, F.lit(8)), F.left(c.a, F.lit(4))).rlike("[0-9]{4}[/-年]")
+            return (dated | (c.b.rlike(rf"月{WS}*$") & F.contains(c.a, F.lit("日")))
+                    | (c.b.rlike(rf"第{WS}*[0-9]+{WS}*$") & c.a.rlike("部|話|章")) | near.rlike("歳|才|円|¥|税|料金|入場料|大人|小人|高校|中学|小学"))
+
+        return F.when(~let(context, reads_otherwise), parse_clock(token))
 
-    return F.array_compact(F.transform(tokens, judged))
+    return F.when(text.rlike("[0-9]"), F.array_compact(F.transform(tokens, judged))).otherwise(F.array().cast("array<string>"))
 
 
 def parse_hours(df: DataFrame, col: str, out: str = "hours_parsed") -> DataFrame:
@@ -201,8 +203,8 @@ def parse_hours(df: DataFrame, col: str, out: str = "hours_parsed") -> DataFrame
     step = step.withColumns({
         "_clocks": _clock_tokens(main),
         "_ranges": F.array_compact(F.zip_with(F.regexp_extract_all(main, F.lit(RANGE), 1), F.regexp_extract_all(main, F.lit(RANGE), 2),
-                                              lambda a, b: F.when(parse_clock(a).isNotNull() & parse_clock(b).isNotNull(),
-                                                                  F.struct(parse_clock(a).alias("s"), parse_clock(b).alias("e"))))),
+                                              lambda a, b: let(F.struct(parse_clock(a).alias("s"), parse_clock(b).alias("e")),
+                                                                                lambda r: F.when(r.s.isNotNull() & r.e.isNotNull(), r)))),
         "_ls": parse_clock(F.regexp_extract(main, LABEL_START, 1)), "_le": parse_clock(F.regexp_extract(main, LABEL_END, 1)),
         "_weekdays": F.regexp_count(main, F.lit(WEEKDAY_CLOCK))})
     clocks, ranges, ls, le = F.col("_clocks"), F.col("_ranges"), F.col("_ls"), F.col("_le")

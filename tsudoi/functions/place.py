@@ -84,7 +84,7 @@ def _joined(*cols: Column) -> Column:
 def resolve_area(hint: Column, address: Column, venue: Column) -> Column:
     """C1 over lookup texts. Composite texts are bound once, then run through the ordered patterns."""
     slug = F.lower(hint)
-    by = lambda rules, value: let(value, lambda x: first_rule(x, rules))
+    by = lambda rules, value: let(value, lambda x: F.when(x.rlike("|".join(p for p, _ in rules)), first_rule(x, rules)))
     named = _joined(hint, venue)
     return F.when(slug.isin(*AREA_LABELS), slug).otherwise(F.coalesce(
         by(NEIGHBOURHOODS, named), by(NEIGHBOURHOODS, address), by(NEIGHBOURHOODS, _joined(hint, venue, address)),
@@ -93,7 +93,8 @@ def resolve_area(hint: Column, address: Column, venue: Column) -> Column:
 
 def explicit_municipalities(text: Column) -> Column:
     """Every municipality the text names."""
-    return F.array_compact(F.array(*[F.when(any_match(text, p), F.lit(slug)) for p, slug in EXPLICIT]))
+    named = F.array_compact(F.array(*[F.when(any_match(text, p), F.lit(slug)) for p, slug in EXPLICIT]))
+    return F.when(any_match(text, "[市区]"), named).otherwise(F.array().cast("array<string>"))
 
 
 def _mapped(c: Column, table: dict) -> Column:
@@ -113,20 +114,20 @@ def infer_municipality(area: Column, address_names: Column, venue_names: Column)
 
 
 def with_place(df: DataFrame, hint: str | None = "area", address: str = "address", venue: str = "venue") -> DataFrame:
-    """C5. Adds place struct<municipality, area, legacy_area>."""
+    """C5. Adds place struct<municipality, area, legacy_area, token>."""
     hint_col = F.col(hint) if hint else F.lit(None).cast("string")
     step = df.withColumns({"_h": lookup_text(hint_col), "_a": lookup_text(F.col(address)), "_v": lookup_text(F.col(venue))})
     h, a, v = F.col("_h"), F.col("_a"), F.col("_v")
     step = step.withColumns({"_legacy": resolve_area(h, a, v), "_by_venue": resolve_area(F.lit(""), a, v),
-                             "_an": explicit_municipalities(a), "_vn": explicit_municipalities(v)})
+                             "_token": municipality_token(a), "_an": explicit_municipalities(a), "_vn": explicit_municipalities(v)})
     town = lambda c: F.when(c.isin(*PARENT), c)
     review = lambda c: F.when(c.isin(*REVIEW_AREAS), c)
     legacy, by_venue = F.col("_legacy"), F.col("_by_venue")
     step = step.withColumns({"_town": F.coalesce(town(by_venue), town(legacy)), "_review": F.coalesce(review(by_venue), review(legacy))})
     step = step.withColumn("_m", infer_municipality(F.coalesce("_town", "_legacy", "_by_venue"), F.col("_an"), F.col("_vn")))
     area = F.when(F.col("_town").isNotNull(), F.when(F.col("_m") == _mapped(F.col("_town"), PARENT), F.col("_town"))).otherwise(F.col("_review"))
-    return (step.withColumn("place", F.struct(F.col("_m").alias("municipality"), area.alias("area"), legacy.alias("legacy_area")))
-            .drop("_h", "_a", "_v", "_legacy", "_by_venue", "_an", "_vn", "_town", "_review", "_m"))
+    return (step.withColumn("place", F.struct(F.col("_m").alias("municipality"), area.alias("area"), legacy.alias("legacy_area"), F.col("_token").alias("token")))
+            .drop("_h", "_a", "_v", "_legacy", "_by_venue", "_an", "_vn", "_town", "_review", "_m", "_token"))
 
 
 def with_municipality(df: DataFrame, area: str = "area", address: str = "address", venue: str = "venue",

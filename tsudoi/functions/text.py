@@ -98,8 +98,8 @@ def bigrams(c: Column) -> Column:
     grams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
                                        lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     # the occurrence number, read from the prefix before each gram
-    return F.transform(grams, lambda g, i: F.concat(
-        g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda x: x == g)).cast("string")))
+    return let(grams, lambda all_: F.transform(all_, lambda g, i: F.concat(
+        g, F.size(F.filter(F.slice(all_, F.lit(1), i), lambda x: x == g)).cast("string"))))
 
 
 def string_similarity(a: Column, b: Column, grams_a: Column | None = None, grams_b: Column | None = None) -> Column:

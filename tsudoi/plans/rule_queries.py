@@ -104,8 +104,7 @@ p3 AS (SELECT *, {INFER.format(area=of_area_sql('coalesce(town, legacy, byv)'))}
 @query("place_rules", f"""WITH {PLACE_CTE} SELECT id, token, m AS municipality, legacy AS legacy_area,
  CASE WHEN town IS NOT NULL THEN CASE WHEN m = {q.mapping('town', place.PARENT)} THEN town END ELSE rev END AS area FROM p3""")
 def place_rules(t):
-    df = place.with_place(t.catalogue)
-    return df.select("id", place.municipality_token(place.lookup_text(C("address"))).alias("token"), C("place.municipality"), C("place.legacy_area"), C("place.area"))
+    return place.with_place(t.catalogue).select("id", "place.token", "place.municipality", "place.legacy_area", "place.area")
 
 
 @query("explicit_municipality", f"""WITH p0 AS (SELECT id, {A} AS a FROM catalogue) SELECT id, len({names_sql('a')}) AS n_named, CASE WHEN len({names_sql('a')}) = 1 THEN ({names_sql('a')})[1] END AS only_named FROM p0""")
