@@ -105,6 +105,35 @@ SELECT event_id AS post_id, user_id AS event_id, ts AS created_at, value AS raw_
   CASE event_id % 8 WHEN 0 THEN concat('https://www.venue', cast(user_id AS string), '.example.com/event/', cast(user_id AS string), '/map')
                     WHEN 1 THEN 'https://www.timeout.com/tokyo' ELSE '' END AS urls
 FROM {{events}}""",
+    # a detail page per event: JSON-LD in three shapes or none, meta tags, a facts table, pictures
+    "event_pages": """
+SELECT id AS page_id, source_url AS url, concat('<!DOCTYPE html><html><head><title>', title, ' | Feed</title>',
+  CASE WHEN id % 3 = 0 THEN concat('<meta property="og:title" content="', title, '">') ELSE '' END,
+  CASE WHEN summary IS NULL THEN '' ELSE concat('<meta content="', summary, '" name="description">') END,
+  CASE WHEN id % 5 = 0 THEN concat('<meta property="og:image" content="/ogp/', cast(id AS string), '.png">') ELSE '' END,
+  '<link rel="canonical" href="/event/', cast(id AS string), '">',
+  CASE WHEN id % 4 = 0 THEN '' ELSE concat('<script type="application/ld+json">', CASE WHEN id % 4 = 2 THEN '[' WHEN id % 4 = 3 THEN concat(chr(123), '"@graph":[', chr(123), '"@type":"Organization","name":"Org"', chr(125), ',') ELSE '' END,
+    chr(123), '"@type":"Event","name":"', title, '","startDate":"', cast(start_date AS string), 'T10:00:00+09:00"',
+    CASE WHEN end_date IS NULL THEN '' ELSE concat(',"endDate":"', cast(end_date AS string), '"') END,
+    ',"location":', chr(123), '"name":"', coalesce(venue, ''), '","address":', chr(123), '"streetAddress":"', coalesce(address, ''), '"', chr(125), chr(125),
+    ',"offers":', chr(123), '"price":"', CASE WHEN size % 3 = 0 THEN '0' ELSE cast(size * 100 AS string) END, '","priceCurrency":"', CASE WHEN size % 7 = 0 THEN 'USD' ELSE 'JPY' END, '","url":"https://tickets.example.com/', cast(id AS string), '"', chr(125),
+    CASE WHEN image_url IS NULL THEN '' ELSE concat(',"image":["', image_url, '"]') END, chr(125), CASE WHEN id % 4 = 2 THEN ']' WHEN id % 4 = 3 THEN concat(']', chr(125)) ELSE '' END, '</script>') END,
+  '</head><body><script>var t = "<h1>no</h1>";</script><h1>', title_ja, '</h1><p>Hours &amp; place</p><table><tr><th>料金</th><td>', coalesce(price_text, ''), '</td></tr><tr><th>所在地</th><td>〒100-0001 ', coalesce(address, ''),
+  '</td></tr></table><dl><dt>開催期間</dt><dd>', coalesce(list_date, ''), '</dd></dl><img src="/common/logo.png" width="300"><img class="event" alt="main" width="', cast(size * 10 AS string), 'px" src="/spot/ex', cast(id AS string), '/a.jpg"></body></html>') AS html
+FROM {catalogue}""",
+    # free text with visit facts, amounts and minutes taken from the columns
+    "visit_texts": """
+SELECT id, concat('イベント会場は', CASE size % 4 WHEN 0 THEN '屋内' WHEN 1 THEN '屋外' WHEN 2 THEN '屋内・屋外' ELSE '未定' END, 'です。', chr(10),
+  CASE size % 3 WHEN 0 THEN '入場無料。' WHEN 1 THEN concat('料金 大人', cast(size * 100 AS string), '円、小人', cast(size * 50 AS string), '円。') ELSE '' END, chr(10),
+  CASE size % 5 WHEN 0 THEN '要予約。' WHEN 1 THEN '予約不要。' WHEN 2 THEN '予約優先。' ELSE '' END, CASE size % 6 WHEN 0 THEN '雨天中止。' WHEN 1 THEN '雨天決行。' ELSE '' END, chr(10),
+  CASE size % 4 WHEN 1 THEN concat('上野駅から徒歩', cast(size AS string), '分。') WHEN 2 THEN concat('最寄駅：銀座駅 徒歩約', cast(size AS string), '分。') WHEN 3 THEN concat('アクセスは下記の通りです。赤坂駅から徒歩5分、新橋駅から徒歩', cast(size AS string), '分。') ELSE '' END, chr(10),
+  CASE size % 7 WHEN 0 THEN concat('所要時間約', cast(size AS string), '〜', cast(size * 2 AS string), '分。') WHEN 1 THEN concat('所要時間', cast(size AS string), '分。') ELSE '' END, chr(10),
+  CASE size % 8 WHEN 0 THEN '駐車場なし' WHEN 1 THEN '駐車場あり' WHEN 2 THEN '近隣駐車場を利用' ELSE '' END, chr(10), CASE size % 9 WHEN 0 THEN '親子向け。' WHEN 1 THEN '3歳以上。' WHEN 2 THEN 'カップル向け。' ELSE '' END) AS text, size
+FROM {catalogue}""",
+    # listing pages: one page per brand with a card per event
+    "event_cards": """
+SELECT id, brand, concat('<li class="card"><a href="/event/ar1e', cast(id AS string), '/"><h3>', title, '</h3></a><span class="tag">', split(tags, ',')[CARD_FIRST], '</span><p class="area">', coalesce(area, ''), '</p><p>', coalesce(list_date, ''), '</p></li>') AS card
+FROM {catalogue}""",
 }
 
 USES = {name: [t for t in [*TABLES, *VIEWS] if "{" + t + "}" in sql] for name, sql in VIEWS.items()}
@@ -115,7 +144,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
     if name not in VIEWS:
         raise AttributeError(name)
-    return spark.sql(VIEWS[name], **{t: view(spark, folder, t) for t in USES[name]})
+    return spark.sql(VIEWS[name].replace("CARD_FIRST", "0"), **{t: view(spark, folder, t) for t in USES[name]})
 
 
 def with_views(sql: str) -> str:
@@ -131,7 +160,8 @@ def with_views(sql: str) -> str:
     add(sql)
     if not wanted:
         return sql
-    ctes = ", ".join(f"{n} AS ({VIEWS[n].format(**{t: t for t in USES[n]})})" for n in wanted)
+    # arrays count from 0 in Spark and from 1 in DuckDB
+    ctes = ", ".join(f"{n} AS ({VIEWS[n].format(**{t: t for t in USES[n]})})" for n in wanted).replace("CARD_FIRST", "1")
     head = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql, re.I)
     if head:
         return f"WITH {head.group(1) or ''}{ctes}, {sql[head.end():]}"
