@@ -26,7 +26,10 @@ def csv_encoding(spark: SparkSession, path: str, expected: str = "ページタ
 
 def read_open_data(spark: SparkSession, path: str, today: Column, encoding: str | None = None) -> DataFrame:
     """S1. Quoted multi-line CSV with a header row, columns by name, dates and rules added."""
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding or csv_encoding(spark, path)).csv(path))
+    encoding = encoding or csv_encoding(spark, path)
+    if encoding.upper() != "UTF-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 reads Shift_JIS only under this setting
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
     named = {c.replace("﻿", "").strip(): c for c in raw.columns}
     cols = [clean_text(F.col(f"`{named[h]}`")).alias(n) if h in named else F.lit(None).cast("string").alias(n) for h, n in OPEN_DATA_COLUMNS.items()]
     links = [clean_text(F.col(f"`{named[h]}`")) for h in (f"関連リンクURL{i}" for i in range(1, 6)) if h in named]
