@@ -62,9 +62,8 @@ def _blocks(first: Column, last: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step).out
 
 
-def _ancestors(d: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda lv: F.struct(
-        lv.alias("lv"), F.floor(d / F.pow(F.lit(2.0), lv)).cast("int").alias("blk")))
+def _ancestors(d: Column, levels: int) -> Column:
+    return F.array(*[F.struct(F.lit(lv).alias("lv"), F.shiftright(d, lv).alias("blk")) for lv in range(levels)])
 
 
 def related_events(sources: DataFrame, pool: DataFrame, spans: DataFrame, limit: int = 4) -> DataFrame:
@@ -75,13 +74,16 @@ def related_events(sources: DataFrame, pool: DataFrame, spans: DataFrame, limit:
     if limit > 4:
         raise ValueError("the lists are sized for at most four results")
     numbered = cut_lineage(spans.select(F.col("event_id").alias("id"), F.unix_date("span_start").alias("s"), F.unix_date("span_end").alias("e")))
+    # blocks larger than the longest span never occur, so no index is kept above that level
+    longest = numbered.agg(F.max(F.col("e") - F.col("s") + 1)).head()[0] or 1
+    levels = min(LEVELS, int(longest).bit_length())
     members = _lists(pool).select("id", "list").distinct()
     dated = cut_lineage(members.join(numbered, "id"))
 
     # overlap index: spans covering a day (blocks of the span), spans starting in a block (blocks above the start)
     entries = dated.select("list", "id", F.explode(F.concat(
         F.transform(_blocks(F.col("s"), F.col("e")), lambda b: F.struct(F.lit("cover").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))),
-        F.transform(_ancestors(F.col("s")), lambda b: F.struct(F.lit("start").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))))).alias("x"))
+        F.transform(_ancestors(F.col("s"), levels), lambda b: F.struct(F.lit("start").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))))).alias("x"))
     index = top_k(entries.select("list", "x.*", "id").distinct(), ["list", "kind", "lv", "blk"], [F.col("id")], K)
 
     reads = _lists(sources)
@@ -89,7 +91,7 @@ def related_events(sources: DataFrame, pool: DataFrame, spans: DataFrame, limit:
     queries = asked.where(F.col("qs").isNotNull()).select("list", "qs", "qe").distinct()
 
     probes = queries.select("list", "qs", "qe", F.explode(F.concat(
-        F.transform(_ancestors(F.col("qs")), lambda b: F.struct(F.lit("cover").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))),
+        F.transform(_ancestors(F.col("qs"), levels), lambda b: F.struct(F.lit("cover").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))),
         F.transform(_blocks(F.col("qs"), F.col("qe")), lambda b: F.struct(F.lit("start").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))))).alias("x")).select("list", "qs", "qe", "x.*")
     found = probes.join(index, ["list", "kind", "lv", "blk"]).select("list", "qs", "qe", "id", F.lit(0).alias("gap"))
 

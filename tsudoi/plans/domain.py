@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tsudoi.session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -144,7 +146,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
     if name not in VIEWS:
         raise AttributeError(name)
-    return spark.sql(VIEWS[name].replace("CARD_FIRST", "0"), **{t: view(spark, folder, t) for t in USES[name]})
+    return spark.sql(VIEWS[name].replace("CARD_FIRST", "0"), **{t: spread(view(spark, folder, t)) if t in TABLES else view(spark, folder, t) for t in USES[name]})
 
 
 def with_views(sql: str) -> str:

@@ -34,6 +34,13 @@ def local_session(cores: int | str = "*", name: str = "tsudoi", memory: str = "1
     return tune(spark)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table that comes in fewer splits than half the cores over all of them; tables with enough
+    splits are returned as they are, so large inputs are never shuffled by this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; a local one only where none is set."""
     spark = df.sparkSession
