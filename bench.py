@@ -9,7 +9,7 @@ import time
 from tsudoi.plans import catalog
 from tsudoi.session import local_session
 
-HEADLINE = ("span_merge", "schedule_status", "schedule_today", "explore_listing", "exact_match", "match_decisions", "related_events", "quota_selection",
+HEADLINE = ("span_merge", "schedule_status", "schedule_today", "explore_listing", "exact_match", "match_decisions", "quota_selection",
             "theme_evidence", "field_diffs", "field_review_sync", "place_rules", "opening_hours", "page_metadata", "detail_records", "dedupe_decisions")
 
 

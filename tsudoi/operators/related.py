@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsudoi.functions.text import blank_to_null, strip
+from tsudoi.functions.text import blank_to_null, let, strip
 from tsudoi.plans.ranking import top_k
 from tsudoi.session import cut_lineage
 
@@ -84,7 +84,8 @@ def related_events(sources: DataFrame, pool: DataFrame, spans: DataFrame, limit:
     entries = dated.select("list", "id", F.explode(F.concat(
         F.transform(_blocks(F.col("s"), F.col("e")), lambda b: F.struct(F.lit("cover").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))),
         F.transform(_ancestors(F.col("s"), levels), lambda b: F.struct(F.lit("start").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))))).alias("x"))
-    index = top_k(entries.select("list", "x.*", "id").distinct(), ["list", "kind", "lv", "blk"], [F.col("id")], K)
+    block = ["list", "kind", "lv", "blk"]
+    index = top_k(entries.select("list", "x.*", "id").distinct(), block, [F.col("id")], K).groupBy(*block).agg(F.collect_list("id").alias("ids"))
 
     reads = _lists(sources)
     asked = cut_lineage(reads.join(numbered.withColumnRenamed("s", "qs").withColumnRenamed("e", "qe"), "id", "left"))
@@ -93,7 +94,9 @@ def related_events(sources: DataFrame, pool: DataFrame, spans: DataFrame, limit:
     probes = queries.select("list", "qs", "qe", F.explode(F.concat(
         F.transform(_ancestors(F.col("qs"), levels), lambda b: F.struct(F.lit("cover").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))),
         F.transform(_blocks(F.col("qs"), F.col("qe")), lambda b: F.struct(F.lit("start").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))))).alias("x")).select("list", "qs", "qe", "x.*")
-    found = probes.join(index, ["list", "kind", "lv", "blk"]).select("list", "qs", "qe", "id", F.lit(0).alias("gap"))
+    # a query meets a few blocks of at most K ids each; ids stay in short arrays until the query is answered
+    overlap = probes.join(index, block).groupBy("list", "qs", "qe").agg(
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, K).alias("here"))
 
     def neighbours(edge: str, q: str, sign: int) -> DataFrame:
         """The K nearest ids beyond day ``q``: each list keeps K ids per edge day and, from every such
@@ -105,14 +108,19 @@ def related_events(sources: DataFrame, pool: DataFrame, spans: DataFrame, limit:
         reach = per_day.select("list", "d", F.slice(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("d").alias("d"), i.alias("id")))).over(ahead)), 1, K).alias("near"))
         marks = per_day.select("list", "d", F.col("d").alias("mark")).unionByName(
             queries.select("list", F.col(q).alias("d"), F.lit(None).cast("int").alias("mark"))).distinct()
-        later = Window.partitionBy("list").orderBy(order).rangeBetween(1, Window.unboundedFollowing)
+        # walked from the far end, so the frame only grows: one pass instead of one per row
+        later = Window.partitionBy("list").orderBy(-order).rangeBetween(Window.unboundedPreceding, -1)
         nearest = (F.min("mark") if sign > 0 else F.max("mark")).over(later)
         step = marks.withColumn("next", nearest).where(F.col("mark").isNull() & F.col("next").isNotNull()).select("list", F.col("d").alias(q), F.col("next").alias("d"))
-        hits = step.join(reach, ["list", "d"]).select("list", q, F.explode("near").alias("n"))
-        return queries.join(hits, ["list", q]).select("list", "qs", "qe", F.col("n.id").alias("id"), F.abs(F.col("n.d") - F.col(q)).alias("gap"))
-
-    near = found.unionByName(neighbours("s", "qe", 1)).unionByName(neighbours("e", "qs", -1))
-    best = top_k(near.groupBy("list", "qs", "qe", "id").agg(F.min("gap").alias("gap")), ["list", "qs", "qe"], [F.col("gap"), F.col("id")], K, "_k").drop("_k")
+        return step.join(reach, ["list", "d"]).select("list", q, F.transform("near", lambda n: F.struct(F.abs(n.d - F.col(q)).alias("gap"), n.id.alias("id"))).alias("by_" + edge))
+
+    none = F.array().cast("array<struct<gap:int,id:bigint>>")
+    answers = (queries.join(overlap, ["list", "qs", "qe"], "left").join(neighbours("s", "qe", 1), ["list", "qe"], "left").join(neighbours("e", "qs", -1), ["list", "qs"], "left"))
+    offered = F.array_sort(F.concat(F.coalesce(F.transform("here", lambda i: F.struct(F.lit(0).alias("gap"), i.cast("long").alias("id"))), none),
+                                    F.coalesce(F.col("by_s").cast("array<struct<gap:int,id:bigint>>"), none), F.coalesce(F.col("by_e").cast("array<struct<gap:int,id:bigint>>"), none)))
+    # an id offered twice keeps its smallest gap, which comes first in the sorted array
+    once = let(offered, lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: y.id == x.id)))
+    best = answers.select("list", "qs", "qe", F.explode(F.slice(once, 1, K)).alias("n")).select("list", "qs", "qe", "n.id", "n.gap")
 
     # events without dates rank last; for a source without dates every event does
     undated = top_k(members.join(numbered.select("id").distinct(), "id", "left_anti"), ["list"], [F.col("id")], K, "_k").drop("_k")

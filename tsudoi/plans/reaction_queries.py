@@ -218,7 +218,7 @@ CATS = "list_distinct([x for x in [lower(trim(y)) for y in string_split(category
 op AS (SELECT c.id, nullif(lower(trim(area)), '') AS a, nullif(lower(trim(municipality)), '') AS m, {CATS} AS cats FROM catalogue c LEFT JOIN facts f ON f.event_id = c.id
   WHERE c.status = 'published' AND coalesce(f.schedule_status <> 'ended', true)),
 gp AS (SELECT a.event_id AS s, b.event_id AS t, min(greatest(0, b.span_start - a.span_end, a.span_start - b.span_end)) AS gap
-  FROM spans a JOIN op oa ON oa.id = a.event_id JOIN spans b ON b.span_end >= DATE '{TODAY}' - 60 OR true JOIN op ob ON ob.id = b.event_id WHERE a.event_id <> b.event_id GROUP BY 1, 2),
+  FROM spans a JOIN op oa ON oa.id = a.event_id CROSS JOIN spans b JOIN op ob ON ob.id = b.event_id WHERE a.event_id <> b.event_id GROUP BY 1, 2),
 pr AS (SELECT s.id AS source_id, t.id AS related_id, list_has_any(s.cats, t.cats) AS shares_category, CASE WHEN s.a = t.a THEN 1 WHEN s.m = t.m THEN 2 WHEN list_has_any(s.cats, t.cats) THEN 3 ELSE 4 END AS tier
   FROM op s JOIN op t ON s.id <> t.id),
 rk AS (SELECT pr.*, gap AS gap_days, row_number() OVER (PARTITION BY source_id ORDER BY tier, shares_category DESC, gap ASC NULLS LAST, related_id) AS rank FROM pr LEFT JOIN gp ON gp.s = source_id AND gp.t = related_id)

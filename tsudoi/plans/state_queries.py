@@ -484,7 +484,7 @@ def date_anomalies(t):
     return audit.date_anomalies(t.catalogue, day(TODAY))
 
 
-@query("snapshot_drift", "SELECT id, CASE WHEN size <= 2 THEN '(row)' WHEN venue IS NULL THEN 'area' ELSE 'venue,area' END AS changed FROM (SELECT * FROM catalogue) WHERE size <= 2 OR venue IS NOT NULL OR area IS NOT NULL OR true")
+@query("snapshot_drift", "SELECT id, CASE WHEN size <= 2 THEN '(row)' WHEN venue IS NULL THEN 'area' ELSE 'venue,area' END AS changed FROM catalogue")
 def snapshot_drift(t):
     after = t.catalogue.where(C("size") > 2).withColumns({"venue": F.concat("venue", F.lit("x")), "area": F.concat(F.coalesce("area", F.lit("")), F.lit("!"))})
     return audit.snapshot_drift(t.catalogue, after, ["title", "venue", "area"]).select("id", F.array_join("changed", ",").alias("changed"))
