@@ -22,11 +22,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: int | str = "*", name: str = "tsudoi", memory: str = "16g") -> SparkSession:
+    """A single-machine session whose small inputs still come in enough splits for its cores."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8" if cores == "*" else str(cores))
+        .config("spark.sql.files.openCostInBytes", str(256 << 10))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
@@ -34,18 +36,21 @@ def local_session(cores: int | str = "*", name: str = "tsudoi", memory: str = "1
     return tune(spark)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals a table that comes in fewer splits than half the cores over all of them; tables with enough
-    splits are returned as they are, so large inputs are never shuffled by this."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a local one only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. A single-machine session that names none gets a folder of its own;
+    on a cluster a missing setting is an error, as executors couldn't share a local folder."""
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
+
+
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=eager)
