@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tsudoi.llm.common import checkpointed, fresh, only, slices
 from tsudoi.llm.components import components
@@ -204,7 +205,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         for batch in batches:
             fps = np.array([fingerprint(t, options.get("shingle", SHINGLE), options.get("seed", SEED)) for t in batch.column(text_at).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=names)
-    schema = docs.schema.add(fp, "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
     loose = docs.where(F.col(f"`{id_col}`").isNull()).mapInArrow(run, schema)
     loose = loose.join(best.where("doc_id is null").select(F.col("fp").alias(fresh(docs, "kept"))), F.col(fp) == F.col(fresh(docs, "kept")), "left_semi")
     return named.unionByName(only(loose.dropDuplicates([fp]), *docs.columns))
