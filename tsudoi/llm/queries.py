@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsudoi.llm import decontaminate, simhash, toxicity
-from tsudoi.llm.common import table
+from tsudoi.llm import dac, decontaminate, packing, simhash, toxicity
+from tsudoi.llm.common import scratch, table
+from tsudoi.llm.tokens import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,11 +19,23 @@ def query(fn):
     return fn
 
 
+@query
+def op2_directly_addressable_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    dac.write(table(spark, folder, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    return dac.digests(dac.read(spark, path))
+
+
 @query
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.digests(packing.packed(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0))
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
