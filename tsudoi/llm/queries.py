@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsudoi.llm import dac, decontaminate, packing, simhash, toxicity
+from tsudoi.llm import dac, decontaminate, packing, simhash, toxicity, warc
 from tsudoi.llm.common import scratch, table
 from tsudoi.llm.tokens import vocabulary
 
@@ -36,6 +36,13 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digests(packing.packed(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0))
 
 
+@query
+def op8_content_addressed_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(table(spark, folder, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
@@ -65,3 +72,13 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s F
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
 """
+
+
+SHA1_BITS = "('0x' || substr(sha1(p), {at}, 10))::BIGINT"
+BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+DIGEST = " || ".join(f"substr({BASE32}, 1 + (({SHA1_BITS.format(at=1 + 10 * part)} >> {35 - 5 * k}) & 31)::INT, 1)" for part in range(4) for k in range(8))
+ORACLES["op8_content_addressed_warc"] = f"""
+WITH r AS (SELECT page_id, coalesce(html, '') AS p FROM pages), f AS (SELECT page_id, p, min(page_id) OVER (PARTITION BY p) AS first FROM r)
+SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, {DIGEST} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
