@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsudoi.llm import dac, decontaminate, packing, simhash, toxicity, warc
+from tsudoi.llm import dac, decontaminate, packing, secret_scan, simhash, toxicity, warc
 from tsudoi.llm.common import scratch, table
 from tsudoi.llm.tokens import vocabulary
 
@@ -36,6 +36,11 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digests(packing.packed(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0))
 
 
+@query
+def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.report(table(spark, folder, "documents")))
+
+
 @query
 def op8_content_addressed_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "warc")
@@ -82,3 +87,30 @@ WITH r AS (SELECT page_id, coalesce(html, '') AS p FROM pages), f AS (SELECT pag
 SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, {DIGEST} AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
 """
+
+
+def span_sql(kinds: list[tuple[str, str, str]], base: list[str]) -> str:
+    """SQL for spans: (kind, pattern, condition on the match m). Positions are sums of the lengths of gaps and matches."""
+    each = " UNION ALL ".join(f"""
+SELECT doc_id, {n} AS o, '{kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'m': m[i],
+       's': coalesce(list_sum(list_transform(g[:i], lambda y: length(y))), 0)::BIGINT + coalesce(list_sum(list_transform(m[:i - 1], lambda y: length(y))), 0)::BIGINT}})) AS x
+FROM (SELECT doc_id, regexp_extract_all(t, {pattern}) AS m, regexp_split_to_array(t, {pattern}) AS g FROM d)""" for n, (kind, pattern, _) in enumerate(kinds))
+    valid = " OR ".join(f"(kind = '{kind}' AND {test})" for kind, _, test in kinds)
+    names = ", ".join(f"'{k}'" for k in base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), raw AS ({each}),
+s AS (SELECT doc_id, o, kind, x.s AS s, x.s + length(x.m) AS e FROM (SELECT doc_id, o, kind, x, x.m AS m FROM raw) WHERE {valid}),
+a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)},
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (kind IN ({names})) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
+ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?"
+ORACLES["op6_secret_scans"] = span_sql([
+    ("assign", f"'{ASSIGN}[A-Za-z0-9+/_.=-]+'", f"length(regexp_replace(m, '^{ASSIGN}', '')) >= 8"),
+    ("access", "'AKIA[A-Z0-9]+'", "length(m) >= 16"), ("hex", "'[0-9a-f]+'", "length(m) >= 32"),
+    ("private_key", "'-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----'", "true"), ("github", "'gh[pousr]_[A-Za-z0-9]{36,}'", "true"),
+    ("slack", "'xox[abprs]-[A-Za-z0-9-]{10,}'", "true"), ("google", "'AIza[A-Za-z0-9_-]{35}'", "true"),
+    ("jwt", "'eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}'", "true"),
+], ["assign", "access", "hex"])
