@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsudoi.llm import dac, decontaminate, packing, secret_scan, simhash, toxicity, warc
+from tsudoi.llm import dac, decontaminate, packing, pii, secret_scan, simhash, toxicity, warc
 from tsudoi.llm.common import scratch, table
 from tsudoi.llm.tokens import vocabulary
 
@@ -48,6 +48,11 @@ def op8_content_addressed_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op9_weakly_supervised_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digests(pii.report(table(spark, folder, "documents")))
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
