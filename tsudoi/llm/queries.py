@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsudoi.llm import dac, decontaminate, packing, pii, secret_scan, simhash, toxicity, warc
+from tsudoi.llm import dac, decontaminate, license_scan, packing, pii, secret_scan, simhash, toxicity, warc
 from tsudoi.llm.common import scratch, table
 from tsudoi.llm.tokens import vocabulary
 
@@ -41,6 +41,12 @@ def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digests(secret_scan.report(table(spark, folder, "documents")))
 
 
+@query
+def op7_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.report(table(spark, folder, "documents"))
+    return found.select("doc_id", F.array_join("sentences", ",").alias("sentences"), F.array_join("licenses", ",").alias("licenses"), "unmatched")
+
+
 @query
 def op8_content_addressed_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "warc")
@@ -119,3 +125,31 @@ ORACLES["op6_secret_scans"] = span_sql([
     ("slack", "'xox[abprs]-[A-Za-z0-9-]{10,}'", "true"), ("google", "'AIza[A-Za-z0-9_-]{35}'", "true"),
     ("jwt", "'eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}'", "true"),
 ], ["assign", "access", "hex"])
+
+
+def license_sql() -> str:
+    """Sentences, then lines of unknown ones, by SQL lists; each rule replaces what it matches in the text of identifiers."""
+    known = ", ".join(f"('{t}', '{i}')" for i, every in license_scan.SENTENCES.items() for t in every)
+    norm = "trim(regexp_replace(lower({}), '[^a-z0-9+]+', ' ', 'g'))".format
+    steps, left, found = "", "q", []
+    for n, (name, ids) in enumerate(license_scan.RULES):
+        p = license_scan.pattern(ids)
+        steps += f", r{n} AS (SELECT *, replace({left}, '{p}', '#') AS q{n}, CASE WHEN contains({left}, '{p}') THEN '{name}' END AS l{n} FROM {'ids' if not n else f'r{n - 1}'})"
+        left = f"q{n}"
+        found.append((name, n))
+    # a licence stands where its first matching rule stands
+    pairs = ", ".join(f"l{n}" for _, n in found)
+    return f"""
+WITH known(t, id) AS (VALUES {known}), d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+sent AS (SELECT doc_id, i, s[i] AS raw FROM (SELECT doc_id, regexp_split_to_array(t, '[.!?;:]\\s+|\\n\\s*\\n') AS s FROM d), unnest(generate_series(1, len(s))) AS g(i)),
+whole AS (SELECT doc_id, i, 0 AS j, id, raw FROM sent LEFT JOIN known ON {norm('raw')} = known.t),
+line AS (SELECT doc_id, i, j, l[j] AS raw FROM (SELECT doc_id, i, string_split(raw, chr(10)) AS l FROM whole WHERE id IS NULL AND contains(raw, chr(10))), unnest(generate_series(1, len(l))) AS g(j)),
+met AS (SELECT doc_id, i, j, id FROM whole WHERE id IS NOT NULL UNION ALL SELECT doc_id, i, j, id FROM line JOIN known ON {norm('raw')} = known.t),
+ids AS (SELECT d.doc_id, string_agg(id, ',' ORDER BY i, j) AS sentences, coalesce(string_agg('<' || id || '>', '' ORDER BY i, j), '') AS q FROM d LEFT JOIN met ON d.doc_id = met.doc_id GROUP BY d.doc_id)
+{steps}
+SELECT doc_id, coalesce(sentences, '') AS sentences, array_to_string(list_transform(list_filter([{pairs}], lambda x, i: x IS NOT NULL AND list_position([{pairs}], x) = i), lambda x: x), ',') AS licenses,
+       CAST(len(regexp_extract_all({left}, '<')) AS BIGINT) AS unmatched FROM r{len(license_scan.RULES) - 1}
+"""
+
+
+ORACLES["op7_license_scans"] = license_sql()
