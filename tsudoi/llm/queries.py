@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsudoi.llm import dac, decontaminate, license_scan, packing, pii, secret_scan, simhash, toxicity, warc
+from tsudoi.llm import ann, dac, decontaminate, license_scan, packing, pii, secret_scan, simhash, toxicity, warc
 from tsudoi.llm.common import scratch, table
 from tsudoi.llm.tokens import vocabulary
 
@@ -19,6 +19,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"))
+
+
 @query
 def op2_directly_addressable_tokens(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "tokens")
