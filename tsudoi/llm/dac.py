@@ -108,11 +108,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
-    """The segments with ``start``, the ids of all earlier documents. The directory has one row for each file."""
+    """The segments with ``start``, the ids of all earlier documents. The directory has one small row for each file, so
+    it is sent to the segments, which stay where they are."""
     stored = spark.read.schema(SEGMENT).parquet(path)
     files = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = files.select("part", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    return stored.join(before, "part").withColumn("start", F.coalesce("before", F.lit(0)) + F.col("part_start")).drop("before")
+    return stored.join(F.broadcast(before), "part").withColumn("start", F.coalesce("before", F.lit(0)) + F.col("part_start")).drop("before")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

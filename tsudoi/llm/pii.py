@@ -89,20 +89,17 @@ def charclass(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), "edge").when(c.rlike("\\s"), "space").when(c.rlike("[A-Za-z0-9]"), "word").when(c.rlike("[.,;:!?]"), "stop").otherwise("other")
 
 
-def judged(text: Column, span: Column) -> Column:
+def judged(span: Column) -> Column:
     """The span with its votes (+, -, 0 in the order of LABELERS) and features (in the order of FEATURES)."""
-    kind, m = span["kind"], span["m"]
-    left = F.substring(text, F.greatest(span["s"] - 39, F.lit(1)), F.least(span["s"], F.lit(40)))
-    before = F.when(span["s"] > 0, F.substring(text, span["s"], F.lit(1)))
-    after = F.substring(text, span["e"] + 1, F.lit(1))
+    kind, m, left = span["kind"], span["m"], span["before"]
+    before, after = charclass(F.right(left, F.lit(1))), charclass(span["after"])
     vote = lambda yes, no: F.when(yes, "+").when(no, "-").otherwise("0")
     strict = by_kind(kind, SHAPES, m)
     checked = F.when(kind == "card", luhn(digits(m))).when(kind == "iban", mod97(m))
-    tight = charclass(before).isin("word") | charclass(after).isin("word")
-    loose = charclass(before).isin("space", "edge") & charclass(after).isin("space", "edge", "stop")
+    loose = before.isin("space", "edge") & after.isin("space", "edge", "stop")
     votes = F.array(vote(strict, ~strict), F.coalesce(vote(checked, ~checked), F.lit("0")), vote(by_kind(kind, GAZETTEER, left), F.lit(False)),
-                    vote(F.lit(False), left.rlike(f"(?i){AGAINST}")), vote(loose, tight))
-    features = F.array(F.least(F.floor(F.length(m) / 4), F.lit(8)).cast("string"), charclass(before), charclass(after))
+                    vote(F.lit(False), left.rlike(f"(?i){AGAINST}")), vote(loose, (before == "word") | (after == "word")))
+    features = F.array(F.least(F.floor(F.length(m) / 4), F.lit(8)).cast("string"), before, after)
     return F.struct(span["s"].alias("s"), span["o"].alias("o"), span["e"].alias("e"), kind.alias("kind"), m.alias("m"), votes.alias("votes"), features.alias("features"))
 
 
@@ -115,7 +112,7 @@ def candidates(docs: DataFrame, columns: list[str], result: str, text_col: str =
                      F.concat(none, *[spans_of(F.col(text), r, len(base) + n) for n, r in enumerate(more)]).alias(rest))
     apart = F.filter(rest, lambda x: ~F.exists(own, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
     every = F.concat(F.col(own), F.when(F.size(rest) > 0, apart).otherwise(none))
-    told = F.when(F.size(own) + F.size(rest) > 0, F.transform(every, lambda x: judged(F.col(text), x))).otherwise(F.array().cast(CANDIDATE))
+    told = F.when(F.size(own) + F.size(rest) > 0, F.transform(every, judged)).otherwise(F.array().cast(CANDIDATE))
     return now.select(*[F.col(f"`{c}`") for c in columns], told.alias(result))
 
 
