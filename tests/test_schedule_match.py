@@ -94,11 +94,80 @@ def test_blocking_loses_no_pair(spark):
     assert got == want and len(want) > 60
 
 
-def test_in_batch_leaders(spark):
-    rows = [(1, "t1", D(2026, 1, 1), "o1", "s1"), (2, "t2", D(2026, 1, 2), None, "s1"), (3, "t2", D(2026, 1, 2), None, "s3"), (4, "t4", None, None, "s4"), (5, "x", D(2026, 1, 5), "o1", None)]
-    df = spark.createDataFrame(rows, "seq long, title_key string, start_date date, official_key string, source_key string")
+KEYED = "seq long, title_key string, start_date date, official_key string, source_key string, core string, year string, edition string"
+
+
+def in_batch(spark, rows):
+    df = spark.createDataFrame([(*r, r[1], None, None) for r in rows], KEYED)
     dec = df.select("seq", F.lit("none").alias("duplicate_status"))
-    assert {r.seq: r.leader for r in match.attach_within_batch(df, dec).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
+    return {r.seq: (r.leader, r.tier) for r in match.attach_within_batch(df, dec).collect()}
+
+
+def test_in_batch_leaders(spark):
+    rows = [(1, "aaa", D(2026, 1, 1), "o1", "s1"), (2, "bbb", D(2026, 1, 2), None, "s1"), (3, "bbb", D(2026, 1, 2), None, "s3"), (4, "ccc", None, None, "s4"), (5, "ddd", D(2026, 1, 5), "o1", None)]
+    # 3 matches only 2, which is no draft
+    assert in_batch(spark, rows) == {1: (1, None), 2: (1, 2), 3: (3, None), 4: (4, None), 5: (1, 1)}
+
+
+def test_in_batch_chain_and_hot_key(spark):
+    chain = [(i, f"t{i:03d}x{i * 7919 % 1000:03d}", None, f"k{i}", None) for i in range(1, 61)]
+    chain = [(i, title, None, o, f"s{i}") for i, title, _, o, _ in chain]
+    links = [(i, title, None, f"k{(i + 1) // 2}" if i % 2 else f"k{i // 2}", f"s{i // 2}") for i, title, _, _, _ in chain]  # 1-2 by official, 2-3 by source, 3-4 by official, ...
+    got = in_batch(spark, links)
+    assert all(got[i][0] == (i if i % 2 else i - 1) for i in got)
+    hot = in_batch(spark, [(i, f"q{i * 7919 % 10007}", None, "same", None) for i in range(1, 200)])
+    assert all(leader == 1 for leader, _ in hot.values())
+
+
+def test_in_batch_similar_titles(spark):
+    got = in_batch(spark, [(1, "summer festival tokyo", D(2026, 1, 1), None, None), (2, "summer festival tokyoo", D(2026, 3, 1), None, None), (3, "winter market", None, None, None), (4, "summer festivall tokyoo", None, None, None)])
+    assert got == {1: (1, None), 2: (1, 7), 3: (3, None), 4: (1, 7)}
+
+
+def in_turn(rows, sim):
+    """The plain loop: each row against the drafts made so far."""
+    drafts, out = [], {}
+    for seq, title, start, o, s in rows:
+        hits = [(t, score, d[0]) for d in drafts for t, score, same in (
+            (1, 0, o and d[3] == o), (2, 0, s and d[4] == s), (3, 0, start and d[2] == start and d[1] == title), (7, -sim[title, d[1]], sim[title, d[1]] >= 0.72)) if same]
+        out[seq] = (min(hits)[2], min(hits)[0]) if hits else (seq, None)
+        if not hits:
+            drafts.append((seq, title, start, o, s))
+    return out
+
+
+def test_in_batch_equals_loop(spark):
+    from tsudoi.functions.text import string_similarity
+    r = random.Random(11)
+    words = ["quartz hall", "umbrella", "fjord trip", "zigzag", "melody", "oxygen bar", "pyramids", "kiwi fruit", "quartz halls", "melodys", "fjord trips"]
+    for _ in range(2):
+        rows = [(i, r.choice(words) + r.choice(["", "", f" {chr(97 + i % 26) * 9}"]), r.choice([None, D(2026, 1, r.randrange(1, 5))]), r.choice([None, None, f"o{r.randrange(25)}"]),
+                 r.choice([None, None, f"s{r.randrange(25)}"])) for i in range(1, 60)]
+        titles = spark.createDataFrame([(t,) for t in sorted({x[1] for x in rows})], "a string")
+        pairs = titles.join(titles.select(C("a").alias("b")), F.lit(True)).withColumn("s", string_similarity(C("a"), C("b"))).collect()
+        sim = {(p.a, p.b): 1.0 if p.a == p.b else p.s for p in pairs}
+        assert in_batch(spark, rows) == in_turn(rows, sim)
+
+
+def test_gap_before_1970(spark):
+    start = D(1970, 1, 1)
+    ev = spark.createDataFrame([(1, "a", None, ["x"]), (2, "a", None, ["x"])], "id long, area string, municipality string, category array<string>")
+    for first in (-3655, 3653):
+        sp = spark.createDataFrame([(1, start + dt.timedelta(first), start + dt.timedelta(first)), (2, start + dt.timedelta(first + 2), start + dt.timedelta(first + 2))], "event_id long, span_start date, span_end date")
+        assert {(r.source_id, r.gap_days) for r in related.related_events(ev, ev, sp, limit=6).collect()} == {(1, 2), (2, 2)}
+
+
+def test_held_between_equals_merged_spans(spark):
+    r = random.Random(2)
+    ev = spark.createDataFrame([(i, D(2026, 1, r.randrange(1, 28)) if i % 3 else None, None if i % 4 else D(2026, 1, 28)) for i in range(40)], "id long, start_date date, end_date date")
+    se = spark.createDataFrame([(r.randrange(30), D(2026, 1, r.randrange(1, 28)) if r.random() < 0.9 else None, D(2026, 1, r.randrange(1, 28)) if r.random() < 0.6 else None) for _ in range(90)],
+                               "event_id long, start_date date, end_date date")
+    spans = schedule.effective_spans(ev, se)
+    for d in (1, 9, 20):
+        today = F.lit(D(2026, 1, d))
+        assert sorted(x.id for x in schedule.held_between(ev, se, today, today).collect()) == sorted(x.event_id for x in schedule.on_day(spans, today).collect())
+        want = {x.event_id: (x.schedule_status, x.next_date) for x in schedule.schedule_facts(spans, today).collect()}
+        assert {x.id: (x.schedule_status, x.next_date) for x in schedule.with_schedule(ev, se, today).collect() if x.schedule_status} == want
 
 
 def test_related_equals_brute_force(spark):

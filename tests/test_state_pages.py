@@ -172,3 +172,33 @@ def test_every_query_has_a_stable_schema(spark):
     import __spark_entry__ as e
     assert e.entry(spark).columns == ["id", "slug", "day", "clock", "pos"]
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 120
+
+
+def test_decisions_see_earlier_links_and_creates(spark):
+    ev = spark.createDataFrame([(1, "taken", "draft")], "id long, slug string, status string")
+    url = "https://x.example.com/event/{}".format
+    review = lambda i, u, title: (i, "pending", "guide", u, 1, title, dt.date(2026, 1, 1), None)
+    rv = spark.createDataFrame([review(1, url(1), "a"), review(2, url(1), "b"), review(3, url(2), "c"), review(4, url(2), "d"), review(5, url(3), "e")],
+                               "id long, status string, source_name string, source_url string, candidate_event_id long, title string, start_date date, end_date date")
+    so = spark.createDataFrame([], "source_name string, source_url string")
+    dec = spark.createDataFrame([(1, 1, "link"), (2, 2, "create"), (3, 3, "create"), (4, 4, "create"), (5, 5, "create")], "seq long, review_id long, intent string")
+    got = {r.seq: (r.outcome, r.error) for r in state.dedupe_decision_outcome(dec, rv, ev, so).collect()}
+    assert got[1] == ("linked", None) and got[2] == ("error", "url_already_attached") and got[3] == ("created", None) and got[4] == ("error", "url_already_attached") and got[5] == ("created", None)
+
+
+def test_last_save_wins(spark):
+    old = spark.createDataFrame([(1, "draft", ["a"])], "event_id long, status string, bullets array<string>")
+    saves = spark.createDataFrame([(1, 1, "save", ["b"], False), (2, 1, "publish", None, False), (3, 2, "save", ["x"], False), (4, 2, "save", ["y"], False)],
+                                  "seq long, event_id long, intent string, bullets array<string>, forced boolean")
+    assert sorted((r.event_id, r.status, r.bullets) for r in state.save_summaries(old, saves).collect()) == [(1, "published", ["b"]), (2, "draft", ["y"])]
+    tr = spark.createDataFrame([], "event_id long, locale string, status string, title string, summary string")
+    ev = spark.createDataFrame([(1, "t", "s")], "id long, title string, summary string")
+    drafts = spark.createDataFrame([(1, 1, "en", "one", "x", False), (2, 1, "en", "two", "y", False)], "seq long, event_id long, locale string, title string, summary string, forced boolean")
+    assert [(r.title, r.status) for r in state.save_translations(tr, drafts, ev).collect()] == [("two", "draft")]
+
+
+def test_many_json_ld_nodes_keep_their_order(spark):
+    block = '<script type="application/ld+json">{"@graph":[' + ",".join(f'{{"@type":"Thing","name":"n{k}"}}' for k in range(1500)) + ']}</script>'
+    rows = spark.createDataFrame([(1, "http://x", block + "<script type='application/ld+json'>{}</script>" * 2200 + block)], "page_id long, url string, html string")
+    nodes = pages.json_ld_nodes(rows).orderBy("pos").collect()
+    assert len(nodes) == 5200 and [(n.pos.b, n.pos.j) for n in nodes[:1500]] == [(0, k) for k in range(1500)] and nodes[-1].pos.b == 2201

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tsudoi.functions.dates import NO_CLOCK, NO_DATE, ended_dates, timing, weekend
 from tsudoi.operators import schedule
 from tsudoi.plans.ranking import global_position, run_numbers
-from tsudoi.session import cut_lineage
 
 
 def published(parents: DataFrame) -> DataFrame:
@@ -39,17 +38,15 @@ def explore(parents: DataFrame, sessions: DataFrame, today: Column, *, free=Fals
         "id", "slug", status, "next_date", "clock",
         F.when(status == "today", 0).when(status == "upcoming", 1).otherwise(2).alias("rank"),
         F.coalesce("next_date", F.lit(NO_DATE)).alias("order_date"), F.coalesce("clock", F.lit(NO_CLOCK)).alias("order_clock"))
-    # the narrow rows are read twice below; without the cut the session shuffles would run twice
-    return global_position(cut_lineage(keyed), ["rank", "order_date"], ["order_clock"], "id").drop("rank", "order_date", "order_clock")
+    return global_position(keyed, ["rank", "order_date"], ["order_clock"], "id").drop("rank", "order_date", "order_clock")
 
 
 def held_on(parents: DataFrame, sessions: DataFrame, d: Column) -> DataFrame:
     """W4. Events really held on a day, by clock then id."""
     events = published(parents)
-    spans = schedule.effective_spans(events, sessions)
-    hit = events.join(schedule.on_day(spans, d).withColumnRenamed("event_id", "id"), "id", "left_semi").withColumn("day", d)
+    hit = schedule.held_between(events, sessions, d, d).withColumn("day", d)
     timed = schedule.clock_on_day(hit, sessions, "day").withColumn("order_clock", F.coalesce("clock", F.lit(NO_CLOCK)))
-    rows = cut_lineage(timed.select("id", "slug", "day", "clock", "order_clock"))
+    rows = timed.select("id", "slug", "day", "clock", "order_clock")
     return global_position(rows, ["order_clock"], [], "id").drop("order_clock")
 
 
@@ -57,11 +54,9 @@ def held_this_weekend(parents: DataFrame, sessions: DataFrame, today: Column) ->
     """W5. Events held on Saturday or Sunday, by first such day, clock, id."""
     events = published(parents)
     days = weekend(today)
-    first = (schedule.effective_spans(events, sessions).where(F.exists(days, schedule.covers))
-             .groupBy("event_id").agg(F.min(F.when(schedule.covers(days[0]), days[0]).otherwise(days[1])).alias("day"))
-             .withColumnRenamed("event_id", "id"))
+    first = schedule.next_day(events, sessions, days[0]).where(F.col("next_date") <= days[1]).select("id", F.col("next_date").alias("day"))
     timed = schedule.clock_on_day(events.join(first, "id"), sessions, "day").withColumn("order_clock", F.coalesce("clock", F.lit(NO_CLOCK)))
-    rows = cut_lineage(timed.select("id", "slug", "day", "clock", "order_clock"))
+    rows = timed.select("id", "slug", "day", "clock", "order_clock")
     return global_position(rows, ["day"], ["order_clock"], "id").drop("order_clock")
 
 
@@ -73,14 +68,10 @@ def by_slug(parents: DataFrame, slug: str) -> DataFrame:
 TIMING_ORDER = ("upcoming", "ongoing", "unknown", "ended")
 
 
-def operational(parents: DataFrame, today: Column, limit: int = 200, status: str | None = None,
-                limit_after: bool = True) -> DataFrame:
-    """W7. Operators' order: upcoming soonest first, ongoing and ended latest first, undated by last change.
-
-    ``limit_after`` sorts the whole table before cutting; False cuts an arbitrary ``limit`` rows first, as
-    the source system does."""
+def operational(parents: DataFrame, today: Column, limit: int = 200, status: str | None = None) -> DataFrame:
+    """W7. Operators' order: upcoming soonest first, ongoing and ended latest first, undated by last change. The
+    whole table is ordered before it is cut."""
     rows = parents if status is None else parents.where(F.col("status") == status)
-    rows = rows if limit_after else rows.limit(limit)
     group = timing(F.col("start_date"), F.col("end_date"), today)
     rows = rows.withColumn("timing", group)
     days = F.unix_date(F.when(F.col("timing") == "ended", F.coalesce("end_date", "start_date")).otherwise(F.col("start_date")))
@@ -105,8 +96,8 @@ def mood_pages(parents: DataFrame, sessions: DataFrame, today: Column, mood: str
     rows = explore(parents, sessions, today, **({flags[mood]: True} if mood in flags else {}))
     if mood in ("today", "weekend"):
         days = F.array(today) if mood == "today" else (weekend(today) if weekend_days is None else weekend_days)
-        hit = schedule.on_any_day(schedule.effective_spans(published(parents), sessions), days)
-        rows = rows.join(hit.withColumnRenamed("event_id", "id"), "id", "left_semi").drop("pos")
+        hit = schedule.held_between(published(parents), sessions, F.array_min(days), F.array_max(days))
+        rows = rows.join(hit.select("id"), "id", "left_semi").drop("pos")
         rows = rows.withColumn("rank", F.when(F.col("schedule_status") == "today", 0).otherwise(1)).withColumn(
             "order_clock", F.coalesce("clock", F.lit(NO_CLOCK)))
         rows = global_position(rows, ["rank", "next_date"], ["order_clock"], "id").drop("rank", "order_clock")

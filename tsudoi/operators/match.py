@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tsudoi.functions.text import (bigrams, blank_to_null, normalize_text, similarity_penalty, string_similarity, strip, title_core, title_edition,
                                    title_exact_key, title_year, venue_key)
 from tsudoi.functions.urls import normalize_url
+from tsudoi.operators.claims import first_claims
 from tsudoi.session import cut_lineage
 
 # Thresholds and weights of the decision.
@@ -247,24 +248,32 @@ def outcome_summary(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("duplicate_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def attach_within_batch(candidates: DataFrame, decisions: DataFrame, rounds: int = 20) -> DataFrame:
-    """J8. Rows that would become drafts also match earlier drafts of the same batch by an exact key:
-    (seq, leader) with the first row of each connected group of keys as leader.
-
-    Keys link rows to the lowest seq holding the key; labels are lowered until nothing changes, each
-    round cut with a checkpoint. The work per round is one pass over (row, key), never row pairs."""
-    drafts = candidates.join(decisions.where(F.col("duplicate_status") == "none").select("seq"), "seq", "left_semi")
-    titled = F.when((F.col("title_key") != "") & F.col("start_date").isNotNull(), F.concat_ws("|", F.lit("t"), "start_date", "title_key"))
-    keys = drafts.select("seq", F.explode(F.array_compact(F.array(
-        F.concat(F.lit("o|"), "official_key"), F.concat(F.lit("s|"), "source_key"), titled))).alias("key"))
-    keys = cut_lineage(keys)
-    label = drafts.select("seq", F.col("seq").alias("leader"))
-    for _ in range(rounds):
-        lowest = keys.join(label, "seq").groupBy("key").agg(F.min("leader").alias("low"))
-        nxt = keys.join(lowest, "key").groupBy("seq").agg(F.min("low").alias("low"))
-        new = cut_lineage(label.join(nxt, "seq", "left").select("seq", F.least("leader", F.coalesce("low", "leader")).alias("leader"), F.col("leader").alias("_old")))
-        changed = not new.where(F.col("leader") != F.col("_old")).isEmpty()
-        label = new.drop("_old")
-        if not changed:
-            return label
-    raise RuntimeError(f"labels still move after {rounds} rounds")
+def attach_within_batch(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """J8. Rows that would become drafts are matched, in order of seq, against the drafts made before them in the same
+    batch: (seq, leader, tier). A row that matches none is a draft itself (leader = seq, tier null); only drafts are
+    matched against, so a row that was attached or sent to review passes nothing on.
+
+    Tiers 1-3 are the exact ones (lowest tier, then first draft); 7 is the most similar draft title at or above the
+    lowest fuzzy threshold, which goes to review. Titles are compared once per distinct pair; rows of a shared key or
+    title never meet each other.
+    """
+    drafts = cut_lineage(candidates.join(decisions.where(F.col("duplicate_status") == "none").select("seq"), "seq", "left_semi"))
+    titled = F.when((F.col("title_key") != "") & F.col("start_date").isNotNull(), F.concat_ws("|", F.lit("3"), "start_date", "title_key"))
+    exact = drafts.select("seq", F.explode(F.array_compact(F.array(
+        F.concat(F.lit("1|"), "official_key"), F.concat(F.lit("2|"), "source_key"), titled))).alias("key"))
+    name = lambda p: F.to_json(F.struct(*[F.col(p + t).alias(t) for t in TITLE]))
+    titles = drafts.select("seq", name("").alias("key"))
+    alike = cut_lineage(similar_titles(drafts, drafts).select(name("a_").alias("a"), name("b_").alias("b"), "title_sim"))
+    own = exact.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct()
+    won = first_claims(drafts, exact.unionByName(titles), own.unionByName(alike.select("a", "b")))
+    leaders = won.where("won").select("seq")
+    by_key = exact.join(leaders, "seq", "left_semi").groupBy("key").agg(F.min("seq").alias("leader"))
+    rest = won.where(~F.col("won")).select("seq")
+    hits = exact.join(rest, "seq", "left_semi").join(by_key, "key").where(F.col("leader") < F.col("seq")).select(
+        "seq", F.struct(F.substring("key", 1, 1).cast("int").alias("tier"), F.lit(0.0).alias("o"), "leader").alias("b"))
+    first = titles.join(leaders, "seq", "left_semi").groupBy(F.col("key").alias("b")).agg(F.min("seq").alias("leader"))
+    by_title = alike.join(first, "b").select(F.col("a").alias("key"), (-F.col("title_sim")).alias("o"), "leader")
+    fuzzy = titles.join(rest, "seq", "left_semi").join(by_title, "key").where(F.col("leader") < F.col("seq")).select(
+        "seq", F.struct(F.lit(7).alias("tier"), "o", "leader").alias("b"))
+    found = hits.unionByName(fuzzy).groupBy("seq").agg(F.min("b").alias("b"))
+    return leaders.select("seq", F.col("seq").alias("leader"), F.lit(None).cast("int").alias("tier")).unionByName(found.select("seq", "b.leader", "b.tier"))

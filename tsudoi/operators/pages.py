@@ -100,7 +100,7 @@ def json_ld_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     arr = lambda c, path: F.try_variant_get(c, path, "array<variant>")
     listed = parsed.select(key, "b", F.posexplode(F.coalesce(arr("v", "$"), F.array("v"))).alias("i", "n"))
     nodes = listed.select(key, "b", "i", F.posexplode(F.coalesce(arr("n", '$["@graph"]'), F.array("n"))).alias("j", "node"))
-    return nodes.select(key, (F.col("b") * 1_000_000 + F.col("i") * 1_000 + F.col("j")).alias("pos"), "node")
+    return nodes.select(key, F.struct("b", "i", "j").alias("pos"), "node")
 
 
 def _str(node: str, path: str) -> Column:
@@ -178,7 +178,7 @@ def labelled_pairs(pages: DataFrame, key: str = "page_id", html: str = "html") -
     for kind, pattern in enumerate(PAIR_PATTERNS):
         rows = F.arrays_zip(F.regexp_extract_all("_h", F.lit(pattern), 1).alias("l"), F.regexp_extract_all("_h", F.lit(pattern), 2).alias("v"))
         frames.append(shown.select(key, F.posexplode(rows).alias("i", "p")).select(
-            key, (F.lit(kind * 1_000_000) + F.col("i")).alias("seq"), strip_tags(F.col("p.l")).alias("label"), strip_tags(F.col("p.v")).alias("value"),
+            key, F.struct(F.lit(kind).alias("kind"), "i").alias("seq"), strip_tags(F.col("p.l")).alias("label"), strip_tags(F.col("p.v")).alias("value"),
             attribute(F.regexp_extract(F.col("p.v"), r"(?is)(<a\b[^>]*>)", 1), "href").alias("href")))
     return frames[0].unionByName(frames[1]).where(F.col("label") != "")
 
@@ -293,10 +293,13 @@ def english_title_candidates(pages: DataFrame, key: str = "page_id") -> DataFram
     m = elements(F.col("html"), "meta")
     fixed = pages.select(key, F.posexplode(F.array(
         F.struct(F.lit("og:title").alias("source"), meta_content(m, "og:title").alias("value")), F.struct(F.lit("title").alias("source"), strip_tags(inner(F.col("html"), "title")).alias("value")),
-        F.struct(F.lit("twitter:title").alias("source"), meta_content(m, "twitter:title").alias("value")))).alias("seq", "x")).select(key, "seq", "x.*")
-    names = json_ld_nodes(pages, key).select(key, (F.col("pos") + 10).alias("seq"), F.lit("json-ld name").alias("source"), _str("node", "$.name").alias("value"))
+        F.struct(F.lit("twitter:title").alias("source"), meta_content(m, "twitter:title").alias("value")))).alias("n", "x"))
+    # page order within a kind; the kinds come one after the other
+    place = lambda part, *at: F.struct(F.lit(part).alias("part"), *[c.alias(n) for n, c in zip("bij", [*at, F.lit(0), F.lit(0)])]).alias("seq")
+    fixed = fixed.select(key, place(0, F.col("n")), "x.*")
+    names = json_ld_nodes(pages, key).select(key, place(1, F.col("pos.b"), F.col("pos.i"), F.col("pos.j")), F.lit("json-ld name").alias("source"), _str("node", "$.name").alias("value"))
     heads = pages.select(key, F.posexplode(F.regexp_extract_all(visible_html(F.col("html")), F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"), 1)).alias("i", "h")).select(
-        key, (F.col("i") + 2_000_000_000).cast("int").alias("seq"), F.lit("h1").alias("source"), strip_tags(F.col("h")).alias("value"))
+        key, place(2, F.col("i")), F.lit("h1").alias("source"), strip_tags(F.col("h")).alias("value"))
     return fixed.unionByName(names).unionByName(heads).where(F.col("value").isNotNull())
 
 
@@ -321,7 +324,7 @@ def visit_facts_json_ld(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     props = F.array_compact(F.array(
         some(free | paid, "price_type", F.when(free, "free").otherwise("paid"), "high"), some(free | paid, "price_min", F.when(free, F.lit(0)).otherwise(F.col("lo")), "high"),
         some(free | paid, "price_max", F.when(free, F.lit(0)).otherwise(F.col("hi")), "high"), some(F.lit(True), "reservation_url", F.col("u"), "medium")))
-    return per.select(key, "pos", F.posexplode(props).alias("k", "x")).select(key, (F.col("pos") * 10 + F.col("k")).alias("seq"), "x.*", F.lit("jsonld").alias("method"))
+    return per.select(key, "pos", F.posexplode(props).alias("k", "x")).select(key, F.struct("pos", "k").alias("seq"), "x.*", F.lit("jsonld").alias("method"))
 
 
 # Wording of the visit facts.

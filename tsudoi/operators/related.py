@@ -2,11 +2,11 @@
 
 An event is offered the four best others: same area first, then same municipality, then shared
 category, then any; inside a tier shared category first, then the nearest schedule, then the lowest
-id. Each tier is read from short lists (area, area+category, ...). Per list a top-K index over days
-answers "which K events of this list are nearest to this span": overlaps through dyadic day blocks,
-neighbours through the K next or previous start and end days. An index entry holds K ids at most, so
+id. Each tier is read from short lists (area, area+category, ...). Per list a top-k index over days
+answers "which k events of this list are nearest to this span": overlaps through dyadic day blocks,
+neighbours through the k next or previous start and end days. An index entry holds k ids at most, so
 neither a popular list nor a popular day grows a row, and events with equal spans ask only once.
-K = 8 is exact for four results: a fuller tier can hide at most three rows plus the event itself.
+k = 8 is exact for four results: a fuller tier can hide at most three rows plus the event itself.
 """
 from __future__ import annotations
 
@@ -17,8 +17,6 @@ from tsudoi.functions.text import blank_to_null, let, strip
 from tsudoi.plans.ranking import top_k
 from tsudoi.session import cut_lineage
 
-K, LEVELS = 8, 18  # 2**17 days reach past the year 2300
-
 
 def _place(c: str) -> Column:
     return blank_to_null(F.lower(strip(F.col(c))))
@@ -44,14 +42,14 @@ def _lists(events: DataFrame) -> DataFrame:
 _WALK = "struct<s:int,e:int,out:array<struct<lv:int,blk:int>>>"
 
 
-def _blocks(first: Column, last: Column) -> Column:
+def _blocks(first: Column, last: Column, levels: int) -> Column:
     """Dyadic blocks (level, block) that exactly cover [first, last]: per level an odd left end and an
     even right end are taken, then both ends move up one level; s > e ends the walk."""
     block = lambda lv, b: F.struct(lv.alias("lv"), b.alias("blk"))
 
     def step(acc: Column, lv: Column) -> Column:
-        left = (acc.s <= acc.e) & (acc.s % 2 == 1)
-        right = (acc.s <= acc.e) & (acc.e % 2 == 0)
+        left = (acc.s <= acc.e) & (acc.s.bitwiseAND(1) == 1)
+        right = (acc.s <= acc.e) & (acc.e.bitwiseAND(1) == 0)
         out = F.concat(acc.out, F.array_compact(F.array(F.when(left, block(lv, acc.s)), F.when(right, block(lv, acc.e)))))
         s, e = F.when(left, acc.s + 1).otherwise(acc.s), F.when(right, acc.e - 1).otherwise(acc.e)
         up = F.struct(F.shiftright(s, 1).alias("s"), F.shiftright(e, 1).alias("e"), out.alias("out"))
@@ -59,7 +57,7 @@ def _blocks(first: Column, last: Column) -> Column:
         return F.when(s <= e, up).otherwise(over).cast(_WALK)
 
     start = F.struct(first.alias("s"), last.alias("e"), F.array().alias("out")).cast(_WALK)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step).out
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step).out
 
 
 def _ancestors(d: Column, levels: int) -> Column:
@@ -71,21 +69,20 @@ def related_events(sources: DataFrame, pool: DataFrame, spans: DataFrame, limit:
 
     ``sources``/``pool``: id, area, municipality, category array; ``pool`` already without ended events.
     ``spans``: (event_id, span_start, span_end) of both."""
-    if limit > 4:
-        raise ValueError("the lists are sized for at most four results")
+    k = 2 * limit  # as many as can be asked of one list, the source itself and repeated offers aside
     numbered = cut_lineage(spans.select(F.col("event_id").alias("id"), F.unix_date("span_start").alias("s"), F.unix_date("span_end").alias("e")))
     # blocks larger than the longest span never occur, so no index is kept above that level
     longest = numbered.agg(F.max(F.col("e") - F.col("s") + 1)).head()[0] or 1
-    levels = min(LEVELS, int(longest).bit_length())
+    levels = int(longest).bit_length() + 1
     members = _lists(pool).select("id", "list").distinct()
     dated = cut_lineage(members.join(numbered, "id"))
 
     # overlap index: spans covering a day (blocks of the span), spans starting in a block (blocks above the start)
     entries = dated.select("list", "id", F.explode(F.concat(
-        F.transform(_blocks(F.col("s"), F.col("e")), lambda b: F.struct(F.lit("cover").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))),
+        F.transform(_blocks(F.col("s"), F.col("e"), levels), lambda b: F.struct(F.lit("cover").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))),
         F.transform(_ancestors(F.col("s"), levels), lambda b: F.struct(F.lit("start").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))))).alias("x"))
     block = ["list", "kind", "lv", "blk"]
-    index = top_k(entries.select("list", "x.*", "id").distinct(), block, [F.col("id")], K).groupBy(*block).agg(F.collect_list("id").alias("ids"))
+    index = top_k(entries.select("list", "x.*", "id").distinct(), block, [F.col("id")], k).groupBy(*block).agg(F.collect_list("id").alias("ids"))
 
     reads = _lists(sources)
     asked = cut_lineage(reads.join(numbered.withColumnRenamed("s", "qs").withColumnRenamed("e", "qe"), "id", "left"))
@@ -93,19 +90,19 @@ def related_events(sources: DataFrame, pool: DataFrame, spans: DataFrame, limit:
 
     probes = queries.select("list", "qs", "qe", F.explode(F.concat(
         F.transform(_ancestors(F.col("qs"), levels), lambda b: F.struct(F.lit("cover").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))),
-        F.transform(_blocks(F.col("qs"), F.col("qe")), lambda b: F.struct(F.lit("start").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))))).alias("x")).select("list", "qs", "qe", "x.*")
-    # a query meets a few blocks of at most K ids each; ids stay in short arrays until the query is answered
+        F.transform(_blocks(F.col("qs"), F.col("qe"), levels), lambda b: F.struct(F.lit("start").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))))).alias("x")).select("list", "qs", "qe", "x.*")
+    # a query meets a few blocks of at most k ids each; ids stay in short arrays until the query is answered
     overlap = probes.join(index, block).groupBy("list", "qs", "qe").agg(
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, K).alias("here"))
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k).alias("here"))
 
     def neighbours(edge: str, q: str, sign: int) -> DataFrame:
-        """The K nearest ids beyond day ``q``: each list keeps K ids per edge day and, from every such
-        day on, the K nearest; a query day first finds the next edge day."""
-        per_day = top_k(dated.select("list", F.col(edge).alias("d"), "id").distinct(), ["list", "d"], [F.col("id")], K).groupBy("list", "d").agg(
+        """The k nearest ids beyond day ``q``: each list keeps k ids per edge day and, from every such
+        day on, the k nearest; a query day first finds the next edge day."""
+        per_day = top_k(dated.select("list", F.col(edge).alias("d"), "id").distinct(), ["list", "d"], [F.col("id")], k).groupBy("list", "d").agg(
             F.array_sort(F.collect_list("id")).alias("ids"))
         order = F.col("d") * sign
-        ahead = Window.partitionBy("list").orderBy(order).rowsBetween(0, K - 1)
-        reach = per_day.select("list", "d", F.slice(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("d").alias("d"), i.alias("id")))).over(ahead)), 1, K).alias("near"))
+        ahead = Window.partitionBy("list").orderBy(order).rowsBetween(0, k - 1)
+        reach = per_day.select("list", "d", F.slice(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("d").alias("d"), i.alias("id")))).over(ahead)), 1, k).alias("near"))
         marks = per_day.select("list", "d", F.col("d").alias("mark")).unionByName(
             queries.select("list", F.col(q).alias("d"), F.lit(None).cast("int").alias("mark"))).distinct()
         # walked from the far end, so the frame only grows: one pass instead of one per row
@@ -120,11 +117,11 @@ def related_events(sources: DataFrame, pool: DataFrame, spans: DataFrame, limit:
                                     F.coalesce(F.col("by_s").cast("array<struct<gap:int,id:bigint>>"), none), F.coalesce(F.col("by_e").cast("array<struct<gap:int,id:bigint>>"), none)))
     # an id offered twice keeps its smallest gap, which comes first in the sorted array
     once = let(offered, lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: y.id == x.id)))
-    best = answers.select("list", "qs", "qe", F.explode(F.slice(once, 1, K)).alias("n")).select("list", "qs", "qe", "n.id", "n.gap")
+    best = answers.select("list", "qs", "qe", F.explode(F.slice(once, 1, k)).alias("n")).select("list", "qs", "qe", "n.id", "n.gap")
 
     # events without dates rank last; for a source without dates every event does
-    undated = top_k(members.join(numbered.select("id").distinct(), "id", "left_anti"), ["list"], [F.col("id")], K, "_k").drop("_k")
-    anyone = top_k(members, ["list"], [F.col("id")], K, "_k").drop("_k")
+    undated = top_k(members.join(numbered.select("id").distinct(), "id", "left_anti"), ["list"], [F.col("id")], k, "_k").drop("_k")
+    anyone = top_k(members, ["list"], [F.col("id")], k, "_k").drop("_k")
     as_source = asked.withColumnRenamed("id", "source_id")
     no_gap = F.lit(None).cast("int").alias("gap")
     offers = (as_source.join(best, ["list", "qs", "qe"]).select("source_id", "tier", "share", "id", "gap")

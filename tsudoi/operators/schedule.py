@@ -44,16 +44,39 @@ def covers(d: Column) -> Column:
 
 
 def schedule_facts(spans: DataFrame, today: Column) -> DataFrame:
-    """T13 and T15 in one aggregate: schedule status and next attendable day per event."""
+    """T13 and T15 in one aggregate: schedule status and next attendable day per event. Merged spans and the sessions
+    they were merged from give the same, as a merged span has no day that none of its sessions has."""
     open_span = F.col("span_end") >= today
     return spans.groupBy("event_id").agg(
         F.when(F.bool_or(covers(today)), "today").when(F.bool_or(open_span), "upcoming").otherwise("ended").alias("schedule_status"),
         F.min(F.when(open_span, F.greatest("span_start", today))).alias("next_date"))
 
 
+def as_spans(sessions: DataFrame) -> DataFrame:
+    return usable_sessions(sessions).select("event_id", F.col("start_date").alias("span_start"), F.col("end_date").alias("span_end"))
+
+
 def with_schedule(parents: DataFrame, sessions: DataFrame, today: Column) -> DataFrame:
-    facts = schedule_facts(effective_spans(parents, sessions), today)
-    return parents.join(facts.withColumnRenamed("event_id", "id"), "id", "left")
+    """T13, T15 from sessions, or from the parent's own dates where it has none: one map-side aggregate, one join."""
+    facts = schedule_facts(as_spans(sessions), today).select(F.col("event_id").alias("id"), F.col("schedule_status").alias("_s"), F.col("next_date").alias("_n"))
+    start, end = F.col("start_date"), span_end(F.col("start_date"), F.col("end_date"))
+    own = F.when((start <= today) & (today <= end), "today").when(end >= today, "upcoming").when(start.isNotNull(), "ended")
+    return parents.join(facts, "id", "left").withColumns({
+        "schedule_status": F.coalesce("_s", own), "next_date": F.when(F.col("_s").isNotNull(), F.col("_n")).when(end >= today, F.greatest(start, today))}).drop("_s", "_n")
+
+
+def next_day(parents: DataFrame, sessions: DataFrame, first: Column) -> DataFrame:
+    """The parents with ``next_date``, their first day held on or after ``first``; null if there is none."""
+    return with_schedule(parents, sessions, first).drop("schedule_status")
+
+
+def held_between(parents: DataFrame, sessions: DataFrame, first: Column, last: Column) -> DataFrame:
+    """T14 with the day test on the sessions themselves, so that it reaches their scan: parents held on a day from
+    ``first`` to ``last``. A parent's own dates count only if it has no usable session."""
+    touches = (F.col("start_date") <= last) & ((F.col("end_date") >= first) | (F.col("start_date") >= first))
+    ids = lambda df: df.select(F.col("event_id").alias("id"))
+    own = parents.where(touches).join(ids(sessions.where(F.col("start_date").isNotNull())), "id", "left_anti")
+    return parents.join(ids(sessions.where(touches)).distinct(), "id", "left_semi").unionByName(own)
 
 
 def on_day(spans: DataFrame, d: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tsudoi.functions import canon, classify, feeddates, images, place
 from tsudoi.functions.text import blank_to_null, nfkc, strip
 from tsudoi.functions.urls import source_event_id
+from tsudoi.operators.claims import first_claims
 from tsudoi.operators.importing import draft_refusal
 from tsudoi.operators.lookups import already_attached, missing_occurrences
 from tsudoi.plans.ranking import top_k
@@ -204,8 +205,9 @@ def fill_occurrences(occurrences: DataFrame, incoming: DataFrame, events: DataFr
 def dedupe_decision_outcome(decisions: DataFrame, reviews: DataFrame, events: DataFrame, sources: DataFrame) -> DataFrame:
     """M8. decisions(seq, review_id, intent link|create|reject) with outcome and, for errors, the reason.
 
-    Reviews carry the incoming title, dates and URL as columns. Only the first decision of a review counts;
-    of several creates with one URL or slug the first wins. Failed rows leave their review pending."""
+    Reviews carry the incoming title, dates and URL as columns. Only the first decision of a review counts.
+    Decisions are taken in order of seq: a link attaches its URL, so a later create with it is refused; a create
+    claims its URL and slug only if it succeeds. Failed rows leave their review pending."""
     first = decisions.groupBy("review_id").agg(F.min("seq").alias("_first"))
     r = reviews.select(F.col("id").alias("review_id"), F.col("status").alias("_status"), "source_name", "source_url", "candidate_event_id", "title", "start_date", "end_date")
     rows = decisions.join(first, "review_id").join(r, "review_id", "left")
@@ -219,8 +221,13 @@ def dedupe_decision_outcome(decisions: DataFrame, reviews: DataFrame, events: Da
             .when((F.col("intent") == "create") & F.col("_attached"), "url_already_attached").when((F.col("intent") == "create") & F.col("_slug"), "slug_exists"))
     rows = rows.withColumn("error", base)
     live = rows.where(F.col("error").isNull() & (F.col("intent") == "create"))
-    by_url = live.groupBy("source_name", "source_url").agg(F.min("seq").alias("_u"))
-    by_slug = live.groupBy("slug").agg(F.min("seq").alias("_s"))
+    # a create that an earlier link or successful create forestalls fails and claims neither its URL nor its slug
+    linked = rows.where(F.col("error").isNull() & (F.col("intent") == "link")).groupBy("source_name", "source_url").agg(F.min("seq").alias("_l"))
+    live = live.join(linked, ["source_name", "source_url"], "left").where(F.coalesce(F.col("seq") < F.col("_l"), F.lit(True)))
+    keys = live.select("seq", F.explode(F.array_compact(F.array(F.concat_ws("|", F.lit("u"), "source_name", "source_url"), F.concat(F.lit("s|"), "slug")))).alias("key"))
+    made = live.join(first_claims(live, keys).where("won"), "seq", "left_semi")
+    by_url = made.select("source_name", "source_url", F.col("seq").alias("_at")).unionByName(linked.withColumnRenamed("_l", "_at")).groupBy("source_name", "source_url").agg(F.min("_at").alias("_u"))
+    by_slug = made.select("slug", F.col("seq").alias("_s"))
     rows = rows.join(by_url, ["source_name", "source_url"], "left").join(by_slug, "slug", "left")
     late = F.col("error").isNull() & (F.col("intent") == "create")
     error = F.when(late & (F.col("seq") > F.col("_u")), "url_already_attached").when(late & (F.col("seq") > F.col("_s")), "slug_exists").otherwise(F.col("error"))
@@ -314,7 +321,7 @@ def classify_approvals(requested: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def summary_save_outcome(summaries: DataFrame, saves: DataFrame) -> DataFrame:
-    """M13. saves(event_id, intent save|publish|hide, bullets, forced): what happens to each.
+    """M13. saves(seq, event_id, intent save|publish|hide, bullets, forced): what happens to each.
     A published or hidden summary is not overwritten by a save unless forced; publishing needs bullets."""
     cur = summaries.select("event_id", F.col("status").alias("_s"), F.col("bullets").alias("_b"))
     rows = saves.join(cur, "event_id", "left")
@@ -326,23 +333,27 @@ def summary_save_outcome(summaries: DataFrame, saves: DataFrame) -> DataFrame:
 
 
 def save_summaries(summaries: DataFrame, saves: DataFrame) -> DataFrame:
-    """M13. New version of the summaries, one row per event."""
+    """M13. New version of the summaries, one row per event: of several accepted saves the last by seq wins, and
+    bullets it doesn't give come from the last save that does."""
     ok = summary_save_outcome(summaries, saves).where(~F.col("outcome").startswith("refused"))
+    given = F.when(F.col("bullets").isNotNull(), F.col("seq"))
+    ok = ok.groupBy("event_id").agg(F.max_by("outcome", "seq").alias("outcome"), F.max_by("bullets", given).alias("bullets"))
     status = F.when(F.col("outcome") == "published", "published").when(F.col("outcome") == "hidden", "hidden").otherwise("draft")
     new = ok.select("event_id", status.alias("status"), "bullets")
     return upsert(summaries, new, ["event_id"], keep_old_if_null=["bullets"])
 
 
 def save_translations(translations: DataFrame, drafts: DataFrame, events: DataFrame, fields: Sequence[str] = ("title", "summary")) -> DataFrame:
-    """M14. Drafts per (event_id, locale); protected translations stay unless forced, and a field the
-    original leaves empty is emptied."""
+    """M14. Drafts(seq, event_id, locale, forced); protected translations stay unless forced, and a field the
+    original leaves empty is emptied. Of several drafts of one (event_id, locale) that may be saved the last wins."""
     src = events.select(F.col("id").alias("event_id"), *[F.col(f).alias("_src_" + f) for f in fields])
     masked = drafts.join(src, "event_id")
     for f in fields:
         masked = masked.withColumn(f, F.when(F.coalesce(strip(F.col("_src_" + f)), F.lit("")) != "", F.col(f)))
     prot = translations.where(F.col("status").isin(*PROTECTED)).select("event_id", "locale", F.lit(True).alias("_p"))
     open_rows = masked.join(prot, ["event_id", "locale"], "left").where(F.col("_p").isNull() | F.col("forced")).withColumn("status", F.lit("draft"))
-    return upsert(translations, open_rows.select("event_id", "locale", "status", *fields), ["event_id", "locale"])
+    last = top_k(open_rows, ["event_id", "locale"], [F.col("seq").desc()], 1, "_r")
+    return upsert(translations, last.select("event_id", "locale", "status", *fields), ["event_id", "locale"])
 
 
 def backfill_municipality(events: DataFrame) -> DataFrame:

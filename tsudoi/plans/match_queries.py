@@ -103,11 +103,8 @@ def date_overlap(t):
     return t.sessions.join(c, "event_id").groupBy("event_id", "start_date", "end_date").agg(F.max(r).alias("ratio"))
 
 
-@query("in_batch_leaders", f"""WITH RECURSIVE keyed AS (SELECT seq, k FROM (SELECT seq, unnest(['u|' || {q.url_key('source_url')}, 'o|' || {q.url_key('official_url')}, 't|' || cast(start_date AS string) || {q.title_key('title')}]) AS k FROM incoming) WHERE k IS NOT NULL),
-edges AS (SELECT DISTINCT a.seq, b.low FROM keyed a JOIN (SELECT k, min(seq) AS low FROM keyed GROUP BY k) b ON a.k = b.k),
-sym AS (SELECT seq AS a, low AS b FROM edges UNION SELECT low, seq FROM edges),
-walk AS (SELECT a AS seq, a AS seen FROM sym UNION SELECT w.seq, s.b FROM walk w JOIN sym s ON s.a = w.seen)
-SELECT seq, min(seen) AS leader FROM walk GROUP BY seq""")
+@query("in_batch_leaders")
 def in_batch_leaders(t):
+    # the first import: nothing is in the catalogue yet
     cand = match.with_match_keys(t.incoming)
-    return match.attach_within_batch(cand, cand.select("seq", F.lit("none").alias("duplicate_status")))
+    return match.attach_within_batch(cand, match.decide(cand, match.match_pool(t.catalogue.limit(0)), keyed=True))

@@ -88,11 +88,11 @@ def start_clock_on_day(t):
 
 
 @query("schedule_gap", f"""WITH {SPANS},
-pairs AS (SELECT DISTINCT l_partkey AS left_id, l_orderkey % 200 AS right_id FROM lineitem)
+pairs AS (SELECT DISTINCT l_partkey AS left_id, l_suppkey AS right_id FROM lineitem)
 SELECT p.left_id, p.right_id, min(greatest(0, b.span_start - a.span_end, a.span_start - b.span_end)) AS gap_days
 FROM pairs p LEFT JOIN spans a ON a.event_id = p.left_id LEFT JOIN spans b ON b.event_id = p.right_id GROUP BY 1, 2""")
 def schedule_gap(t):
-    pairs = t.lineitem.select(F.col("l_partkey").alias("left_id"), (F.col("l_orderkey") % 200).alias("right_id")).distinct()
+    pairs = t.lineitem.select(F.col("l_partkey").alias("left_id"), F.col("l_suppkey").alias("right_id")).distinct()
     return schedule.schedule_gap(pairs, schedule.effective_spans(t.catalogue, t.sessions))
 
 
@@ -138,16 +138,26 @@ def explore_listing(t):
     return listing.explore(t.catalogue, t.sessions, day(TODAY))
 
 
-@query("free_listing", f"WITH {explore_sql(chr(112) + 'rice_type IN (' + repr('free') + ', ' + repr('partially_paid') + ')')} SELECT * FROM listed")
+@query("free_listing", f"""WITH {explore_sql("price_type IN ('free', 'partially_paid')")} SELECT * FROM listed""")
 def free_listing(t):
     return listing.explore(t.catalogue, t.sessions, day(TODAY), free=True)
 
 
-@query("kids_indoor_night_listing", f"WITH {explore_sql('is_kids AND is_indoor')} SELECT * FROM listed")
+@query("kids_indoor_night_listing", f"WITH {explore_sql('is_kids AND is_indoor AND is_night')} SELECT * FROM listed")
+def kids_indoor_night_listing(t):
+    return listing.explore(t.catalogue, t.sessions, day(TODAY), kids=True, indoor=True, night=True)
+
+
+@query("kids_indoor_listing", f"WITH {explore_sql('is_kids AND is_indoor')} SELECT * FROM listed")
 def kids_indoor_listing(t):
     return listing.explore(t.catalogue, t.sessions, day(TODAY), kids=True, indoor=True)
 
 
+@query("night_listing", f"WITH {explore_sql('is_night')} SELECT * FROM listed")
+def night_listing(t):
+    return listing.explore(t.catalogue, t.sessions, day(TODAY), night=True)
+
+
 @query("area_listing", f"""WITH {explore_sql("area = 'ueno'")} SELECT * FROM listed""")
 def area_listing(t):
     return listing.explore(t.catalogue, t.sessions, day(TODAY), area="ueno")

@@ -92,8 +92,8 @@ def feed_for_drafts(t):
 
 # dedupe reviews: one stored review per order line of some orders
 REV = """rev AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'linked' ELSE 'rejected' END AS status, CASE o_custkey % 3 WHEN 0 THEN 'guide' WHEN 1 THEN 'magazine' ELSE 'opendata' END AS source_name,
- 'https://r.example.com/' || cast(o_custkey % 400 AS string) AS source_url, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey % 7 END AS candidate_event_id FROM orders),
-inc AS (SELECT c_custkey AS seq, CASE c_custkey % 3 WHEN 0 THEN 'guide' WHEN 1 THEN 'magazine' ELSE 'opendata' END AS source_name, CASE WHEN c_custkey % 50 = 0 THEN '' ELSE 'https://r.example.com/' || cast(c_custkey % 500 AS string) END AS source_url,
+ 'https://r.example.com/' || cast(o_custkey AS string) AS source_url, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey % 7 END AS candidate_event_id FROM orders),
+inc AS (SELECT c_custkey AS seq, CASE c_custkey % 3 WHEN 0 THEN 'guide' WHEN 1 THEN 'magazine' ELSE 'opendata' END AS source_name, CASE WHEN c_custkey % 50 = 0 THEN '' ELSE 'https://r.example.com/' || cast(c_custkey AS string) END AS source_url,
  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 7 END AS candidate_event_id, CASE c_nationkey % 3 WHEN 0 THEN 'likely' WHEN 1 THEN 'ambiguous' ELSE 'exact' END AS duplicate_status FROM customer),
 bst AS (SELECT source_name, source_url, candidate_event_id, min(CASE WHEN status = 'pending' THEN 1 ELSE 0 END) AS o FROM rev GROUP BY 1, 2, 3),
 oc AS (SELECT inc.*, CASE WHEN inc.source_url = '' OR duplicate_status = 'exact' THEN 'skipped_invalid' WHEN o = 0 THEN 'skipped_resolved' WHEN o = 1 THEN 'updated_pending' ELSE 'inserted' END AS outcome
@@ -103,7 +103,7 @@ oc AS (SELECT inc.*, CASE WHEN inc.source_url = '' OR duplicate_status = 'exact'
 def stored_reviews(t):
     o = t.orders
     return o.select(C("o_orderkey").alias("id"), F.when(C("o_orderstatus") == "P", "pending").when(C("o_orderstatus") == "F", "linked").otherwise("rejected").alias("status"),
-                    name_of("o_custkey").alias("source_name"), F.concat(F.lit("https://r.example.com/"), (C("o_custkey") % 400).cast("string")).alias("source_url"),
+                    name_of("o_custkey").alias("source_name"), F.concat(F.lit("https://r.example.com/"), C("o_custkey").cast("string")).alias("source_url"),
                     F.when(C("o_custkey") % 5 != 0, C("o_custkey") % 7).alias("candidate_event_id"), F.lit("likely").alias("duplicate_status"), F.lit("old").alias("reason"),
                     F.lit(None).cast("string").alias("payload"), F.lit(None).cast("string").alias("scores"))
 
@@ -111,7 +111,7 @@ def stored_reviews(t):
 def incoming_reviews(t):
     c = t.customer
     return c.select(C("c_custkey").alias("seq"), name_of("c_custkey").alias("source_name"),
-                    F.when(C("c_custkey") % 50 == 0, "").otherwise(F.concat(F.lit("https://r.example.com/"), (C("c_custkey") % 500).cast("string"))).alias("source_url"),
+                    F.when(C("c_custkey") % 50 == 0, "").otherwise(F.concat(F.lit("https://r.example.com/"), C("c_custkey").cast("string"))).alias("source_url"),
                     F.when(C("c_custkey") % 5 != 0, C("c_custkey") % 7).alias("candidate_event_id"),
                     F.when(C("c_nationkey") % 3 == 0, "likely").when(C("c_nationkey") % 3 == 1, "ambiguous").otherwise("exact").alias("duplicate_status"), F.lit("new").alias("reason"),
                     C("c_name").alias("payload"), F.lit(None).cast("string").alias("scores"))
@@ -198,7 +198,7 @@ jn AS (SELECT dc.*, rv.status, rv.candidate_event_id, rv.source_name, rv.source_
   concat_ws('-', rv.source_name, coalesce(nullif(regexp_extract(rv.source_url, '/event/ar[0-9]+e([0-9]+)', 1), ''), nullif(regexp_extract(rv.source_url, '/event/([0-9]+)/?', 1), '')), cast(year(rv.start_date) AS string)) AS slug
   FROM dc LEFT JOIN rv ON rv.id = dc.review_id LEFT JOIN ev ON ev.id = rv.candidate_event_id LEFT JOIN so ON so.source_name = rv.source_name AND so.source_url = rv.source_url),
 e1 AS (SELECT *, CASE WHEN status IS NULL THEN 'review_not_found' WHEN status <> 'pending' OR seq <> fst THEN 'review_not_pending' WHEN intent = 'link' AND NOT cand THEN 'candidate_missing' WHEN intent = 'create' AND att THEN 'url_already_attached' END AS err FROM jn),
-e2 AS (SELECT *, CASE WHEN err IS NULL AND intent = 'create' AND seq > min(CASE WHEN err IS NULL AND intent = 'create' THEN seq END) OVER (PARTITION BY source_name, source_url) THEN 'url_already_attached'
+e2 AS (SELECT *, CASE WHEN err IS NULL AND intent = 'create' AND seq > min(CASE WHEN err IS NULL AND intent IN ('create', 'link') THEN seq END) OVER (PARTITION BY source_name, source_url) THEN 'url_already_attached'
   WHEN err IS NULL AND intent = 'create' AND seq > min(CASE WHEN err IS NULL AND intent = 'create' THEN seq END) OVER (PARTITION BY slug) THEN 'slug_exists' ELSE err END AS error FROM e1)"""
 
 
@@ -288,7 +288,7 @@ FROM (SELECT *, CASE size % 3 WHEN 0 THEN 'save' WHEN 1 THEN 'publish' ELSE 'hid
 def summary_saves(t):
     c = t.catalogue
     stored = c.where(C("size") > 5).select(C("id").alias("event_id"), "status", F.array(F.lit("x")).alias("bullets"))
-    saves = c.select(C("id").alias("event_id"), F.when(C("size") % 3 == 0, "save").when(C("size") % 3 == 1, "publish").otherwise("hide").alias("intent"),
+    saves = c.select(C("id").alias("seq"), C("id").alias("event_id"), F.when(C("size") % 3 == 0, "save").when(C("size") % 3 == 1, "publish").otherwise("hide").alias("intent"),
                      F.when(C("size") % 2 == 1, F.array(F.lit(" "))).otherwise(F.array(F.lit("b"))).alias("bullets"), (C("size") % 5 == 0).alias("forced"))
     return state.summary_save_outcome(stored, saves).select("event_id", "outcome")
 
@@ -297,7 +297,7 @@ def summary_saves(t):
 def translation_saves(t):
     c = t.catalogue
     stored = c.where(C("size") > 30).select(C("id").alias("event_id"), F.lit("en").alias("locale"), F.lit("published").alias("status"), F.lit("old").alias("title"), F.lit("old").alias("summary"))
-    drafts = c.select(C("id").alias("event_id"), F.lit("en").alias("locale"), F.lit("new").alias("title"), F.lit("new").alias("summary"), (C("size") % 5 == 0).alias("forced"))
+    drafts = c.select(C("id").alias("seq"), C("id").alias("event_id"), F.lit("en").alias("locale"), F.lit("new").alias("title"), F.lit("new").alias("summary"), (C("size") % 5 == 0).alias("forced"))
     return state.save_translations(stored, drafts, c).select("event_id", "status", "summary")
 
 
