@@ -59,10 +59,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     again = (F.col("size") >= least) & (F.col("first") != F.coalesce(F.col("page_id"), F.col("first") + 1))
     kind = F.when(F.coalesce(again, F.lit(False)) & F.col("same").isNull(), F.lit("revisit")).otherwise("response")
     joined.select("page_id", "key", header(kind, F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), F.col("first"), least).alias("header")).write.parquet(f"{path}/records")
-    # the bytes move once: only rows that hold the first id of their key
-    keys = first.select("key", F.col("first").alias("page_id"))
-    held = rows.select(F.col("page_id"), "key", "payload").alias("r").join(keys.alias("k"), F.col("r.page_id").eqNullSafe(F.col("k.page_id")) & (F.col("r.key") == F.col("k.key")), "left_semi")
-    held.select("key", "payload").dropDuplicates(["key"]).write.parquet(f"{path}/payloads")
+    # the bytes move once: only rows that hold the first id of their key, met and made unique by the same (name, key)
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    keys = first.select(F.coalesce(F.col("first").cast("string"), F.lit("")).alias("name"), "key")
+    held = rows.select(name.alias("name"), "key", "payload").join(keys, ["name", "key"], "left_semi")
+    held.dropDuplicates(["name", "key"]).select("key", "payload").write.parquet(f"{path}/payloads")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
