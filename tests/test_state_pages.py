@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tsudoi.functions import dates
 from tsudoi.functions.dates import day
 from tsudoi.operators import guard, lookups, pages, reactions, state, summaries
 from tsudoi.sources import readers
@@ -202,3 +203,26 @@ def test_many_json_ld_nodes_keep_their_order(spark):
     rows = spark.createDataFrame([(1, "http://x", block + "<script type='application/ld+json'>{}</script>" * 2200 + block)], "page_id long, url string, html string")
     nodes = pages.json_ld_nodes(rows).orderBy("pos").collect()
     assert len(nodes) == 5200 and [(n.pos.b, n.pos.j) for n in nodes[:1500]] == [(0, k) for k in range(1500)] and nodes[-1].pos.b == 2201
+
+
+def test_slugs_settle(spark):
+    drafts = [(1, "a", "u1"), (2, "a", "u2"), (3, "b", "u3"), (4, "c", "u4"), (5, "a", "u2"), (6, "d", "u6")]
+    from tsudoi.functions import canon
+    from tsudoi.operators import importing
+    taken = spark.createDataFrame([("b", "other"), ("c", "u4"), (None, "x")], "slug string, source_url string")
+    df = spark.createDataFrame(drafts, "seq long, slug string, source_url string")
+    suffix = {r.seq: r.s for r in df.select("seq", canon.suffixed_slug(df.slug, df.source_url).alias("s")).collect()}
+    taken = taken.unionByName(spark.createDataFrame([(suffix[3], "z")], "slug string, source_url string"))
+    got = {r.seq: r.final_slug for r in importing.settle_slugs(df, taken).collect()}
+    assert got == {1: "a", 2: suffix[2], 3: None, 4: "c", 5: None, 6: "d"}
+
+
+def test_audit_counters(spark):
+    df = spark.createDataFrame([(1, "s", None, ["other"]), (2, "s", "v", ["a", "other"]), (3, None, None, None), (4, None, "w", ["other"])], "id long, slug string, venue string, category array<string>")
+    from tsudoi.operators import audit
+    got = {r.rule: r.violations for r in audit.unique_violations(df, {"distinct": (["slug"], True), "equal": (["slug"], False)}).collect()}
+    assert got == {"distinct": 1, "equal": 2}
+    occ = spark.createDataFrame([(1,), (1,), (9,)], "event_id long")
+    assert {r.counter: r.n for r in audit.batch_counts(df, occ, ["venue"]).collect()} == {"null_venue": 2, "only_other": 2, "occurrences": 2}
+    rows = spark.createDataFrame([(1, 1, dt.date(2026, 1, 1), None), (2, 2, dt.date(2026, 3, 1), None), (3, 11, dt.date(2026, 1, 1), None)], "id long, pos long, start_date date, end_date date")
+    assert [r.id for r in audit.ended_in_front(rows, "pos", dates.day("2026-02-01")).collect()] == [1]

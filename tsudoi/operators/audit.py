@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +84,17 @@ def rule_violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return one.unpivot([], list(rules), "rule", "violations")
 
 
+def unique_violations(df: DataFrame, rules: Mapping[str, tuple[Sequence[str], bool]]) -> DataFrame:
+    """A17. (rule, violations): keys used more than once; rules: name -> (columns, nulls count as distinct)."""
+    frames = []
+    for name, (keys, distinct_nulls) in rules.items():
+        rows = df
+        for k in keys if distinct_nulls else ():
+            rows = rows.where(F.col(k).isNotNull())
+        frames.append(duplicate_keys(rows, keys).agg(F.lit(name).alias("rule"), F.count(F.lit(1)).alias("violations")))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def orphan_rows(child: DataFrame, parent: DataFrame, fk: str, pk: str = "id") -> DataFrame:
     """A17. Child rows without their parent."""
     return child.where(F.col(fk).isNotNull()).join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
@@ -95,6 +107,21 @@ def tri_state_counts(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     return long.select("flag", F.col("c.t").alias("n_true"), F.col("c.f").alias("n_false"), F.col("c.n").alias("n_null"))
 
 
+def batch_counts(batch: DataFrame, occurrences: DataFrame, columns: Sequence[str], category: str = "category") -> DataFrame:
+    """A18. Of a batch(id, ...): (counter, n) of nulls per column, of rows whose only category is "other", and of the
+    occurrences(event_id) that belong to it."""
+    only_other = F.coalesce(F.col(category) == F.array(F.lit("other")), F.lit(False))
+    one = batch.agg(*[F.count_if(F.col(c).isNull()).alias("null_" + c) for c in columns], F.count_if(only_other).alias("only_other"))
+    names = [*["null_" + c for c in columns], "only_other"]
+    held = occurrences.join(batch.select(F.col("id").alias("event_id")).distinct(), "event_id", "left_semi").agg(F.lit("occurrences").alias("counter"), F.count(F.lit(1)).alias("n"))
+    return one.unpivot([], names, "counter", "n").unionByName(held)
+
+
+def ended_in_front(ordered: DataFrame, pos: str, today: Column, n: int = 10) -> DataFrame:
+    """A20. Rows of a listing with positions that are over and still stand among the first n."""
+    return ordered.where((F.col(pos) <= n) & ended_dates(F.col("start_date"), F.col("end_date"), today))
+
+
 def summary_coverage(events: DataFrame, today: Column) -> DataFrame:
     """A19. Open published events with and without a summary."""
     open_ = events.where((F.col("status") == "published") & ~ended_dates(F.col("start_date"), F.col("end_date"), today))

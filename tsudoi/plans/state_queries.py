@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tsudoi.functions import canon, place
 from tsudoi.functions.dates import day
-from tsudoi.operators import audit, lookups, state, summaries
+from tsudoi.operators import audit, importing, lookups, state, summaries
 from tsudoi.operators import match as matching
 from tsudoi.operators import schedule
 from tsudoi.functions import classify, images
@@ -469,6 +469,31 @@ def constraint_audit(t):
     return audit.rule_violations(t.catalogue, rules).unionByName(orphans)
 
 
+@query("unique_audit", """SELECT 'slug' AS rule, count(*) AS violations FROM (SELECT slug FROM catalogue WHERE slug IS NOT NULL GROUP BY slug HAVING count(*) > 1)
+UNION ALL SELECT 'title_start', count(*) FROM (SELECT title, start_date FROM catalogue GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'session', count(*) FROM (SELECT event_id, start_date FROM sessions WHERE event_id IS NOT NULL AND start_date IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)""")
+def unique_audit(t):
+    return audit.unique_violations(t.catalogue, {"slug": (["slug"], True), "title_start": (["title", "start_date"], False)}).unionByName(
+        audit.unique_violations(t.sessions, {"session": (["event_id", "start_date"], True)}))
+
+
+@query("batch_counts", """SELECT 'null_venue' AS counter, count(*) FILTER (venue IS NULL) AS n FROM catalogue UNION ALL SELECT 'null_is_night', count(*) FILTER (is_night IS NULL) FROM catalogue
+UNION ALL SELECT 'only_other', count(*) FILTER (category = 'other') FROM catalogue UNION ALL SELECT 'occurrences', count(*) FROM sessions WHERE event_id IN (SELECT id FROM catalogue)""")
+def batch_counts(t):
+    return audit.batch_counts(t.catalogue.withColumn("category", F.split("category", ",")), t.sessions, ["venue", "is_night"])
+
+
+@query("settled_slugs", """WITH d AS (SELECT o_orderkey AS seq, 'part-' || o_custkey AS slug, 'https://s.example.com/' || o_orderkey AS source_url FROM orders),
+tk AS (SELECT 'part-' || s_suppkey AS slug, 'https://s.example.com/' || s_suppkey AS source_url FROM supplier),
+f AS (SELECT d.*, seq = min(seq) OVER (PARTITION BY slug) AND slug NOT IN (SELECT tk.slug FROM tk WHERE tk.source_url <> d.source_url) AS plain FROM d)
+SELECT seq, CASE WHEN plain THEN slug ELSE slug || '-' || substr(sha1('slug:' || source_url), 1, 8) END AS final_slug FROM f""")
+def settled_slugs(t):
+    url = lambda c: F.concat(F.lit("https://s.example.com/"), C(c).cast("string"))
+    drafts = t.orders.select(C("o_orderkey").alias("seq"), F.concat(F.lit("part-"), C("o_custkey").cast("string")).alias("slug"), url("o_orderkey").alias("source_url"))
+    taken = t.supplier.select(F.concat(F.lit("part-"), C("s_suppkey").cast("string")).alias("slug"), url("s_suppkey").alias("source_url"))
+    return importing.settle_slugs(drafts, taken).select("seq", "final_slug")
+
+
 @query("tri_state_counts", " UNION ALL ".join(f"SELECT '{f}' AS flag, count(*) FILTER ({f}) AS n_true, count(*) FILTER (NOT {f}) AS n_false, count(*) FILTER ({f} IS NULL) AS n_null FROM catalogue" for f in ("is_kids", "is_indoor", "is_night")))
 def tri_state_counts(t):
     return audit.tri_state_counts(t.catalogue, ["is_kids", "is_indoor", "is_night"])

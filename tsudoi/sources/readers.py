@@ -43,13 +43,14 @@ def read_open_data(spark: SparkSession, path: str, today: Column, encoding: str
         "lifecycle": feeddates.lifecycle(F.col("dates.occurrences"), today)}).drop("category_0", "category_1", "category_2", "contact_name", "contact_free")
 
 
-def read_json_feed(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
-    """S2. Files {events: [...]}: one row per event without an error; ``schema`` is the DDL of one event."""
+def read_json_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """S2. Files {events: [...]}: one row per event without an error; ``schema`` is the DDL of one event. A cut is the
+    caller's, who knows an order."""
     files = spark.read.schema(f"events array<struct<{schema}>>").option("multiLine", True).json(path)
     rows = files.select(F.explode("events").alias("e")).select("e.*")
     if "error" in rows.columns:
         rows = rows.where(F.col("error").isNull()).drop("error")
-    return rows if limit is None else rows.limit(limit)
+    return rows
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
