@@ -102,16 +102,20 @@ def clock_on_day(events: DataFrame, sessions: DataFrame, day_col: str, out: str
             .drop("_clock", "_has"))
 
 
-def gap_days(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    return F.greatest(F.lit(0), F.datediff(b_start, a_end), F.datediff(a_start, b_end))
-
-
 def schedule_gap(pairs: DataFrame, spans: DataFrame) -> DataFrame:
-    """T17. ``pairs(left_id, right_id)`` with the fewest days between the two schedules, null if one has none."""
-    a = spans.select(F.col("event_id").alias("left_id"), F.col("span_start").alias("a_start"), F.col("span_end").alias("a_end"))
-    b = spans.select(F.col("event_id").alias("right_id"), F.col("span_start").alias("b_start"), F.col("span_end").alias("b_end"))
-    gaps = (pairs.join(a, "left_id").join(b, "right_id").groupBy("left_id", "right_id")
-            .agg(F.min(gap_days(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))).alias("gap_days")))
+    """T17. ``pairs(left_id, right_id)`` with the fewest days between the two schedules, null if one has none.
+
+    The spans of both stand in one order of starts; each looks back at the latest end of the other schedule so far,
+    which is its nearest earlier span. So a pair costs the sum of its spans and not their product."""
+    def side(n: int, own: str) -> DataFrame:
+        mine = spans.select(F.col("event_id").alias(own), F.col("span_start").alias("_s"), F.col("span_end").alias("_e"))
+        return pairs.select("left_id", "right_id").distinct().join(mine, own).select("left_id", "right_id", "_s", "_e", F.lit(n).alias("_side"))
+
+    before = Window.partitionBy("left_id", "right_id").orderBy("_s", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    ends = [F.max(F.when(F.col("_side") == n, F.col("_e"))).over(before) for n in (0, 1)]
+    rows = side(0, "left_id").unionByName(side(1, "right_id")).withColumn("_other", F.when(F.col("_side") == 0, ends[1]).otherwise(ends[0]))
+    gaps = (rows.where(F.col("_other").isNotNull()).groupBy("left_id", "right_id")
+            .agg(F.min(F.greatest(F.lit(0), F.datediff("_s", "_other"))).alias("gap_days")))
     return pairs.join(gaps, ["left_id", "right_id"], "left")
 
 
