@@ -48,7 +48,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the texts of a slice hold about ``most`` bytes, or are one text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -91,7 +91,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept per worker."""
     if len(_powers.get(base, ())) < n:
-        out = np.full(max(2 * n, 1 << 16), base, np.uint64)
+        out = np.full(max(n + n // 8, 1 << 16), base, np.uint64)
         out[0] = 1
         with np.errstate(over="ignore"):
             _powers[base] = np.multiply.accumulate(out)

@@ -13,7 +13,7 @@ from itertools import filterfalse
 
 import numpy as np
 
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 600_000
 # White space by any definition other than space and newline, and the start of special tokens.
 ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|<\|")
 RUNS = re.compile(r"[ \n][ \n]")

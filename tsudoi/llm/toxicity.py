@@ -23,7 +23,7 @@ from tsudoi.llm.common import Words, fresh, mixed, slices, word_table
 
 BITS, BEGINNINGS = 20, (4, 5, 6)
 FLAGS = word_table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
-POSITIVES, UNLABELLED = 8_000, 16_000
+POSITIVES, UNLABELLED = 4_000, 8_000
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +74,9 @@ def fit(p_rows: list[np.ndarray], u_rows: list[np.ndarray], prior: float, most:
     place[chosen] = np.arange(len(chosen))
 
     def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-        c = place[np.concatenate(rows)]
-        return r[c >= 0], c[c >= 0]
+        each = [place[x] for x in rows]
+        each = [c[c >= 0] for c in each]  # few features are chosen, so little stays
+        return np.repeat(np.arange(len(rows)), [len(c) for c in each]), np.concatenate(each)
     (pr, pc), (ur, uc) = matrix(p_rows), matrix(u_rows)
     w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
