@@ -27,7 +27,7 @@ def payload_of(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
-def header(kind: Column, page_id: Column, url: Column, digest: Column, size: Column, refers_to: Column, least: int) -> Column:
+def header(kind: Column, page_id: Column, url: Column, digest: Column, size: Column, refers_to: Column) -> Column:
     """The WARC header block of one record. A revisit names the response and holds no payload."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     clean = F.regexp_replace(F.coalesce(url, F.lit("")), "[\\x00-\\x20\\x7F]", "")
@@ -58,7 +58,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     joined = facts.join(first, "key")
     again = (F.col("size") >= least) & (F.col("first") != F.coalesce(F.col("page_id"), F.col("first") + 1))
     kind = F.when(F.coalesce(again, F.lit(False)) & F.col("same").isNull(), F.lit("revisit")).otherwise("response")
-    joined.select("page_id", "key", header(kind, F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), F.col("first"), least).alias("header")).write.parquet(f"{path}/records")
+    joined.select("page_id", "key", header(kind, F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), F.col("first")).alias("header")).write.parquet(f"{path}/records")
     # the bytes move once: only rows that hold the first id of their key, met and made unique by the same (name, key)
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     keys = first.select(F.coalesce(F.col("first").cast("string"), F.lit("")).alias("name"), "key")
