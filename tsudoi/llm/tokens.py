@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import filterfalse
+from itertools import filterfalse, islice
 
 import numpy as np
 
@@ -41,8 +41,8 @@ class Encoder:
 
     def raw(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
+        if len(self.cache) > CACHE_ENTRIES:  # the chunks seen first are the frequent ones, so the later half goes
+            self.cache = dict(islice(self.cache.items(), CACHE_ENTRIES // 2))
         split, whole, new = [], [], set()
         known = self.cache.__contains__
         for i, text in enumerate(texts):
