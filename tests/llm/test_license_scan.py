@@ -56,3 +56,11 @@ def test_tables_fit_together():
     assert all(i in L.SENTENCES for _, ids in L.RULES for i in ids)
     for n, (_, ids) in enumerate(L.RULES):  # no rule is hidden by an earlier, shorter one
         assert not any(L.pattern(early) in L.pattern(ids) for _, early in L.RULES[:n])
+
+
+def test_colons_and_comment_headers(spark):
+    header = "".join(f" * {line}".rstrip() + "\n" for line in MIT.splitlines()[2:])
+    got = found(spark, [(1, "// SPDX-License-Identifier: MIT\n#include <x>"), (2, "Name: x\nLicense: Apache-2.0\nVersion: 1"), (3, f"/*\n{header} */\nint x;"),
+                        (4, "Copyright 2020 X\nLicensed under the\nMIT License")])
+    assert got[1] == (["mit_name"], ["MIT"], 0) and got[2] == (["apache2_name"], ["Apache-2.0"], 0)
+    assert got[3] == (["mit_grant", "mit_notice", "as_is_mit", "no_liability_mit"], ["MIT"], 0) and got[4] == (["mit_name"], ["MIT"], 0)

@@ -1,8 +1,8 @@
 """Licences by recognition of their sentences.
 
 A text is cut into sentences; each is normalised (lower case, everything but letters, digits and plus signs is one space)
-and looked up among known licence sentences, which gives its identifier. A sentence that isn't known and spans lines is
-looked up line by line. The identifiers of a text, in order, are then matched against ordered rules: a rule is a sequence
+and looked up among known licence sentences, which gives its identifier. Line ends and colons may end a sentence or stand
+inside one: of the known sentences from one such place to another, the longest counts. The identifiers of a text, in order, are then matched against ordered rules: a rule is a sequence
 of identifiers, and what it matches is taken out before the next rule looks, so the longest and most specific rules come
 first. All of it works on the row at hand: no shuffle.
 """
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BREAK = "[.!?;:]\\s+|\\n\\s*\\n"
+BREAK = "[.!?;]\\s+|\\n[\\s*#/]*\\n"  # a line of comment marks is blank
+HARD, SOFT = "\x01", "\x02"  # no sentence goes over a hard break; line ends and colons are soft
 
 # Published licence sentences, as normalised, by identifier.
 SENTENCES = {
@@ -72,10 +73,6 @@ RULES = [
 ANCHORS = ("licen", "permission", "warrant", "redistribut", "mpl", "liable", "copyright", "rights", "cc0", "public domain", "free software")
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9+]+", " "))
-
-
 def pattern(ids: list[str]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
@@ -85,15 +82,12 @@ def recognised(text: Column, sentences: dict[str, list[str]]) -> Column:
     known = {s: i for i, every in sentences.items() for s in every}
     names = list(known)
     table = F.map_from_arrays(F.array(*[F.lit(s) for s in names]), F.array(*[F.lit(known[s]) for s in names]))
-
-    def look(sentence: Column) -> Column:
-        # the sentence is bound once; lines are tried only if it isn't known as a whole
-        def lines(pair: Column) -> Column:
-            raw, norm = pair["raw"], pair["norm"]
-            return F.when(norm.isin(names), F.array(norm)).otherwise(F.when(F.contains(raw, F.lit("\n")), F.transform(F.split(raw, "\n"), normalised)).otherwise(F.array(F.lit(""))))
-        return F.flatten(F.transform(F.array(F.struct(sentence.alias("raw"), normalised(sentence).alias("norm"))), lines))
-    met = F.filter(F.flatten(F.transform(F.split(text, BREAK, -1), look)), lambda s: s.isin(names))
-    return F.transform(met, lambda s: table[s])
+    runs = "|".join(n.replace("+", "\\+").replace(" ", f"[ {SOFT}]+") for n in sorted(names, key=len, reverse=True))
+    marked = F.concat(F.lit(HARD), F.regexp_replace(F.translate(F.lower(text), HARD + SOFT, "  "), BREAK, HARD), F.lit(HARD))
+    marked = F.regexp_replace(F.regexp_replace(marked, ":\\s+|\\n", SOFT), f"[^a-z0-9+{HARD}{SOFT}]+", " ")
+    marked = F.regexp_replace(marked, f" ?([{HARD}{SOFT}]) ?", "$1")
+    met = F.regexp_extract_all(marked, F.lit(f"(?<=[{HARD}{SOFT}])(?:{runs})(?=[{HARD}{SOFT}])"), F.lit(0))
+    return F.transform(met, lambda s: table[F.regexp_replace(s, f"[ {SOFT}]+", " ")])
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES,
