@@ -60,3 +60,12 @@ def test_filter_and_empty_tables(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((i for i, _, _, _, c in plain(docs, bench) if not c), key=repr)
     assert D.report(df.limit(0), items).count() == 0
     assert not any(r.contaminated for r in D.report(df, items.limit(0)).collect())
+
+
+def test_repeated_items_are_dealt_once(spark, monkeypatch):
+    dealt, real = [], D.Windows.__init__
+    monkeypatch.setattr(D.Windows, "__init__", lambda self, items, *a: dealt.append(items) or real(self, items, *a))
+    text = cases.words(3, 12)
+    items = spark.createDataFrame([(1, text)] * 50 + [(2, cases.words(4, 12))], "item_id long, text string")
+    out = D.report(cases.docs(spark, [(9, text)]), items, block_bytes=200).collect()
+    assert out[0]["items"] == [1] and sorted(i for block in dealt for i, _ in block) == [1, 2] and len(dealt) == 1

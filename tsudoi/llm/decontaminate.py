@@ -152,6 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str], res
     """
     text, state = fresh(docs, "text_"), fresh(docs, "found_")
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text}`").alias("t")).where("item is not null and t is not null")
+    items = checkpointed(items.distinct())  # a repeated row would go to one block as often as it stands there
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     now = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").alias(text))
