@@ -87,3 +87,9 @@ def test_components_of_a_chain(spark):
     links = [(a, b) for a, b in zip(order, order[1:])] + [(100, 101), (101, 100), (200, 200), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got.get(x, x) for x in order} == {0} and got[101] == 100 and 200 not in got
+
+
+def test_keep_one_of_one_id_with_two_texts(spark):
+    a, b = cases.words(1, 40), cases.words(2, 40)
+    kept = simhash.keep_one(cases.docs(spark, [(5, a), (3, a), (5, b)]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, a), (5, b)]

@@ -17,10 +17,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tsudoi.llm.common import checkpointed, fresh, only, slices
+from tsudoi.llm.common import checkpointed, fresh, slices
 from tsudoi.llm.components import components
+from tsudoi.llm.similar import one_of_each
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 BLOCKS = 6
@@ -190,22 +190,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs with one document left of each component: that with the smallest id, else one without an id.
 
-    Rows that repeat an id within a component count as one document, of which one row stays.
+    Rows that repeat both id and text count as one document, of which one row stays.
     """
-    found_in = near_duplicates(docs, id_col, text_col, **options)
-    best = checkpointed(found_in.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("w")).select("w.doc_id", "w.fp"))
-    named = docs.join(best.where("doc_id is not null").select(F.col("doc_id").alias(fresh(docs, "kept"))), F.col(f"`{id_col}`") == F.col(fresh(docs, "kept")), "left_semi")
-    named = named.dropDuplicates([id_col])
-    # documents without an id are told apart by fingerprint; their texts are hashed again, as nothing else names them
-    fp = fresh(docs, "fp")
-    names = [*docs.columns, fp]
-    text_at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t, options.get("shingle", SHINGLE), options.get("seed", SEED)) for t in batch.column(text_at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=names)
-    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
-    loose = docs.where(F.col(f"`{id_col}`").isNull()).mapInArrow(run, schema)
-    loose = loose.join(best.where("doc_id is null").select(F.col("fp").alias(fresh(docs, "kept"))), F.col(fp) == F.col(fresh(docs, "kept")), "left_semi")
-    return named.unionByName(only(loose.dropDuplicates([fp]), *docs.columns))
+    whole = fresh(docs, "id")
+    named = docs.withColumn(whole, F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark")))
+    members = near_duplicates(named, whole, text_col, **options).select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.mark").alias("mark"), "root")
+    return one_of_each(docs, members, id_col, text_col)
