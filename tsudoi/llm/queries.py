@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsudoi.llm import ann, dac, decontaminate, license_scan, packing, pii, secret_scan, simhash, toxicity, warc
+from tsudoi.llm import ann, collocations, dac, decontaminate, license_scan, packing, pii, secret_scan, simhash, toxicity, warc
 from tsudoi.llm.common import scratch, table
 from tsudoi.llm.tokens import vocabulary
 
@@ -167,3 +167,36 @@ WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
+
+
+@query
+def op13_de_bruijn_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def collocation_sql(least: int = 30, top: int = 2000) -> str:
+    """Counts every run of one to four words directly."""
+    runs = " UNION ALL ".join(f"SELECT lang, {m} AS m, unnest(list_transform(range(1, len(w) - {m - 2}), lambda i: array_to_string(w[i:i + {m - 1}], ' '))) AS p FROM words" for m in (1, 2, 3, 4))
+    part = "array_to_string(w[{}:{}], ' ')".format
+    cuts = " UNION ALL ".join(f"SELECT lang, p, a, {k} AS k, {part(1, k)} AS x, {part(k + 1, 4)} AS y FROM kept WHERE m > {k}" for k in (1, 2, 3))
+    subs = " UNION ALL ".join(f"SELECT lang, {part(i, i + m - 1)} AS p, a FROM cand WHERE m > {m} AND m >= {i + m - 1}" for m in (2, 3) for i in (1, 2, 3) if i + m <= 5)
+    return f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS s FROM d),
+words AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(s, '[\\x20\\x09]+'), lambda y: y <> '') AS w FROM pieces),
+f AS MATERIALIZED (SELECT lang, m, p, count(*) AS a FROM ({runs}) GROUP BY lang, m, p),
+total AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+often AS MATERIALIZED (SELECT * FROM f WHERE a >= {least}),
+cand AS MATERIALIZED (SELECT *, string_split(p, ' ') AS w FROM often WHERE m > 1),
+subs AS ({subs}),
+cover AS (SELECT lang, p, max(a) AS most FROM subs GROUP BY lang, p),
+kept AS MATERIALIZED (SELECT c.* FROM cand c LEFT JOIN cover v ON c.lang = v.lang AND c.p = v.p WHERE v.most IS NULL OR 100 * v.most < 80 * c.a),
+cuts AS ({cuts}),
+scored AS (SELECT c.lang, c.p, c.a, c.k, fx.a AS l, fy.a AS r, (2000000::HUGEINT * c.a) // (fx.a + fy.a) AS score FROM cuts c JOIN often fx ON fx.lang = c.lang AND fx.p = c.x JOIN often fy ON fy.lang = c.lang AND fy.p = c.y),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM weakest)
+SELECT placed.lang, CAST(rank AS BIGINT) AS rank, p AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM placed JOIN total ON total.lang = placed.lang WHERE rank <= {top}
+"""
+
+
+ORACLES["op13_de_bruijn_collocations"] = collocation_sql()
