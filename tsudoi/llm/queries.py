@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsudoi.llm import ann, collocations, dac, decontaminate, license_scan, packing, pii, secret_scan, simhash, toxicity, warc
+from tsudoi.llm import ann, collocations, dac, decontaminate, license_scan, packing, pii, secret_scan, simhash, toxicity, voronoi, warc
 from tsudoi.llm.common import scratch, table
 from tsudoi.llm.tokens import vocabulary
 
@@ -200,3 +200,17 @@ SELECT placed.lang, CAST(rank AS BIGINT) AS rank, p AS phrase, a, l, r, CAST(n A
 
 
 ORACLES["op13_de_bruijn_collocations"] = collocation_sql()
+
+
+@query
+def op11_voronoi_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return voronoi.nearest(table(spark, folder, "embeddings"))
+
+
+ORACLES["op11_voronoi_top_k"] = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings
+             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT *, row_number() OVER () AS rn FROM v),
+s AS (SELECT q.rn, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM n q JOIN n c ON c.rn <> q.rn WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
