@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsudoi.llm import ann, collocations, dac, decontaminate, license_scan, packing, pii, secret_scan, simhash, toxicity, voronoi, warc
+from tsudoi.llm import ann, balltree, collocations, dac, decontaminate, license_scan, packing, pii, secret_scan, simhash, toxicity, voronoi, warc
 from tsudoi.llm.common import scratch, table
 from tsudoi.llm.tokens import vocabulary
 
@@ -214,3 +214,23 @@ n AS (SELECT *, row_number() OVER () AS rn FROM v),
 s AS (SELECT q.rn, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM n q JOIN n c ON c.rn <> q.rn WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+
+@query
+def op12_ball_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return balltree.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLES["op12_ball_tree_search"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, {TERMS} AS w FROM documents),
+size AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+item AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS MATERIALIZED (SELECT DISTINCT i, item_id, t FROM (SELECT i, item_id, unnest({TERMS}) AS t FROM item)),
+occ AS (SELECT rn, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d),
+tf AS MATERIALIZED (SELECT rn, doc_id, n, t, count(*)::BIGINT AS tf FROM occ WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY t, docs),
+x AS (SELECT rn, doc_id, tf.t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))) AS v FROM tf JOIN weight ON weight.t = tf.t, size),
+s AS (SELECT i, item_id, rn, doc_id, sum(v)::BIGINT AS score FROM asked JOIN x ON x.t = asked.t GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE doc_id IS NOT NULL) WHERE rank <= 10
+"""
