@@ -2,8 +2,10 @@
 
 A node is a run of three words and an edge the run of four that overlaps two nodes. Every word occurrence gives one row:
 the edge that starts there, or, near the end of its piece, the shorter run that is left. Only these longest runs are
-shuffled, once, dealt by language and first two words. Counts of shorter phrases are then node flow: what leaves a node
-over its edges, plus the pieces that end in it, so f(3 words) = sum of f(edges out) + ends, and so on down to single words.
+counted from the texts. Counts of shorter phrases are then node flow: what leaves a node over its edges, plus the pieces
+that end in it, so f(3 words) = sum of f(edges out) + ends, and so on down to single words. A pair of words that occurs
+less often than a phrase must is in no phrase and in no part of one, so pieces are cut there before runs are taken; such
+pairs are told by counters of hashed pairs, which may take a rare pair for a frequent one but never the reverse.
 
 Edges that occur often enough form the graph that phrases come from. Chains of edges whose inner nodes pass their whole
 flow on (weight in = node flow = weight out) are unary paths; they are compacted by pointer doubling to one row that holds
@@ -16,38 +18,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsudoi.llm.common import Words, checkpointed, slices, word_table
+from tsudoi.llm.common import BASE, Words, checkpointed, mixed, slices, word_table
 
 BREAKS = b".,;:!?\n\v\f\r"
 FLAGS = word_table(bytes(b for b in range(256) if b not in BREAKS + b" \t"))
 BREAK = word_table(BREAKS)
 LEAST, TOP, SHARE, LONGEST = 30, 2000, 80, 4
-COMBINE = 1 << 20
+COMBINE, BLOCK = 1 << 20, 1 << 16
 
 
-def runs(column: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """(row, pair, rest) for each word: the run of up to four words of its piece that starts there; rest is after the second word."""
-    words = Words(column, FLAGS)
+class Pieces:
+    """Words of texts with the language hash of each, and whether a word and the next stand in one piece."""
+
+    def __init__(self, text: pa.Array, lang: pa.Array):
+        self.words = words = Words(text, FLAGS)
+        piece = np.cumsum(BREAK[words.data])[words.start]
+        self.joined = (np.diff(words.row) == 0) & (np.diff(piece) == 0)
+        code = lang.dictionary_encode()
+        names = np.array([xxhash.xxh64_intdigest(x) for x in code.dictionary.to_pylist()], np.uint64)
+        self.lang = names[code.indices.to_numpy()][words.row]
+
+    def pairs(self) -> np.ndarray:
+        """A hash for each word but the last and the one after it."""
+        h = self.words.hash
+        with np.errstate(over="ignore"):
+            return mixed(h[:-1] * np.uint64(BASE) + h[1:] + self.lang[:-1])
+
+
+def runs(text: pa.Array, lang: pa.Array, bits: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(row, pair, rest) for each word: the run of up to four words that starts there; rest is after the second word.
+
+    A run ends with its piece, and at a pair whose bit isn't set.
+    """
+    found = Pieces(text, lang)
+    words = found.words
     m = len(words.start)
     if not m:
         return words.row, pa.array([], pa.string()), pa.array([], pa.string())
-    piece = np.cumsum(BREAK[words.data])[words.start]
-    last = np.append(np.flatnonzero((np.diff(words.row) != 0) | (np.diff(piece) != 0)), m - 1)  # last word of each piece
+    slot = found.pairs() & np.uint64(len(bits) * 8 - 1)
+    on = found.joined & ((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    last = np.append(np.flatnonzero(~on), m - 1)  # where runs end
     end = last[np.searchsorted(last, np.arange(m))]
     # the words once more, one blank after each: a run is then a stretch of bytes
     length = words.end - words.start
     start = np.cumsum(length + 1) - length - 1
-    text = np.full(int(start[-1] + length[-1]) + 1, 32, np.uint8)
+    copy = np.full(int(start[-1] + length[-1]) + 1, 32, np.uint8)
     at = np.repeat(words.start - np.cumsum(length) + length, length) + np.arange(length.sum())
-    text[at + np.repeat(start - words.start, length)] = words.data[at]
-    stop = start + length
-    i = np.arange(m)
-    second, fourth = np.minimum(i + 1, end), np.minimum(i + LONGEST - 1, end)
-    has = end >= i + 2
-    return words.row, stretches(text, start, stop[second]), stretches(text, start[np.minimum(i + 2, m - 1)], np.where(has, stop[fourth], start[np.minimum(i + 2, m - 1)]))
+    copy[at + np.repeat(start - words.start, length)] = words.data[at]
+    stop, i = start + length, np.arange(m)
+    third = start[np.minimum(i + 2, m - 1)]
+    return words.row, stretches(copy, start, stop[np.minimum(i + 1, end)]), stretches(copy, third, np.where(end >= i + 2, stop[np.minimum(i + LONGEST - 1, end)], third))
 
 
 def stretches(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
@@ -58,18 +82,77 @@ def stretches(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(taken))
 
 
-def longest_runs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, pair, rest, n): runs with their counts in a part of the input; equal runs of nearby documents are one row."""
+def prepared(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("t")).where("t is not null")
+
+
+def often_paired(texts: DataFrame, least: int, slots: int | None = None) -> np.ndarray:
+    """A bit for each slot of hashed pairs of neighbouring words: set if the pairs of that slot occur ``least`` times or more.
+
+    A pair whose bit isn't set is rarer, and so is every phrase that holds it. Each task counts into an array of bytes that
+    stop at ``least``, sent on in blocks; the blocks of all tasks are summed where they meet, and the driver gets one bit a
+    slot. There is a slot for 64 bytes of text, from 2^16 to 2^26 (8 MB of bits): more text makes the filter less sharp, never wrong.
+    """
+    if not 1 <= least <= 127:
+        raise ValueError("least must be from 1 to 127")
+    if slots is None:
+        size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        slots = 1 << min(26, max(16, (size // 64).bit_length()))
+    block = min(slots, BLOCK)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, rows = np.zeros(slots, np.uint8), [], 0
+
+        def add() -> None:
+            slot, n = np.unique(np.concatenate(held), return_counts=True)
+            seen[slot] = np.minimum(seen[slot] + np.minimum(n, least), least)
+        for batch in batches:
+            for part in slices(batch, "t"):
+                found = Pieces(part.column("t"), part.column("lang"))
+                if len(found.joined):
+                    held.append((found.pairs()[found.joined] & np.uint64(slots - 1)).astype(np.int64))
+                    rows += len(held[-1])
+                if rows >= COMBINE:
+                    add()
+                    held, rows = [], 0
+        if held:
+            add()
+        for k in np.flatnonzero(seen.reshape(-1, block).any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen[k * block:(k + 1) * block].tobytes()])], names=["k", "seen"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()])], names=["k", "bits"])
+        for batch in batches:
+            for k, seen in zip(batch.column("k").to_pylist(), batch.column("seen")):
+                if k != now:
+                    if now is not None:
+                        yield out()
+                    now, sums = k, np.zeros(block, np.uint8)
+                sums = np.minimum(sums + np.frombuffer(seen.as_buffer(), np.uint8), least).astype(np.uint8)
+        if now is not None:
+            yield out()
+    found = texts.mapInArrow(count, "k int, seen binary").repartition("k").sortWithinPartitions("k").mapInArrow(total, "k int, bits binary").toArrow()
+    bits = np.zeros(slots // 8, np.uint8)
+    for k, b in zip(found.column("k").to_pylist(), found.column("bits")):
+        bits[k * block // 8:(k + 1) * block // 8] = np.frombuffer(b.as_buffer(), np.uint8)
+    return bits
+
+
+def longest_runs(texts: DataFrame, least: int, slots: int | None = None) -> DataFrame:
+    """(lang, pair, rest, n): the runs of texts(lang, t) with their counts; single words are complete, other runs end at pairs that are too rare."""
     def combined(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         found = pa.concat_tables(tables).group_by(["lang", "pair", "rest"]).aggregate([("n", "sum")]).rename_columns(["lang", "pair", "rest", "n"])
-        found = found.select(["lang", "pair", "rest", "n"]).cast(pa.schema([("lang", pa.string()), ("pair", pa.string()), ("rest", pa.string()), ("n", pa.int64())]))
-        yield from found.to_batches(max_chunksize=1 << 16)
+        yield from found.cast(pa.schema([("lang", pa.string()), ("pair", pa.string()), ("rest", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=1 << 16)
+    sent = texts.sparkSession.sparkContext.broadcast(often_paired(texts, least, slots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
             for part in slices(batch, "t"):
-                row, pair, rest = runs(part.column("t"))
+                row, pair, rest = runs(part.column("t"), part.column("lang"), sent.value)
                 if len(row):
                     held.append(pa.table({"lang": part.column("lang").take(pa.array(row)), "pair": pair, "rest": rest, "n": np.ones(len(row), np.int64)}))
                     rows += len(row)
@@ -78,32 +161,23 @@ def longest_runs(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                     held, rows = [], 0
         if held:
             yield from combined(held)
-    lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
-    return docs.select(lang.alias("lang"), F.col(f"`{text_col}`").alias("t")).where("t is not null").mapInArrow(run, "lang string, pair string, rest string, n long")
-
-
-def word_at(phrase: Column, k: int) -> Column:
-    return F.substring_index(F.substring_index(phrase, " ", k), " ", -1)
+    return texts.mapInArrow(run, "lang string, pair string, rest string, n long").groupBy("lang", "pair", "rest").agg(F.sum("n").alias("n"))
 
 
 def first_words(phrase: Column, k: int) -> Column:
     return F.substring_index(phrase, " ", k)
 
 
-def counted(found: DataFrame, least: int) -> DataFrame:
-    """(lang, size, phrase, f): phrases of one to four words with at least ``least`` occurrences, and size 0: all words of a language.
-
-    One exchange by (lang, pair) serves four-, three- and two-word counts; single words are summed from those of pairs.
-    """
-    dealt = found.repartition("lang", "pair")
-    total, often = F.sum("n").alias("f"), F.col("f") >= least
-    edges = dealt.where(F.contains("rest", F.lit(" "))).groupBy("lang", "pair", "rest").agg(total).where(often)
-    nodes = dealt.where("rest <> ''").groupBy("lang", "pair", F.substring_index("rest", " ", 1).alias("rest")).agg(total).where(often)
-    pairs = dealt.groupBy("lang", "pair").agg(total)
-    words = pairs.groupBy("lang", F.substring_index("pair", " ", 1).alias("phrase")).agg(F.sum("f").alias("f"))
-    whole = words.groupBy("lang").agg(F.sum("f").alias("f")).select("lang", F.lit(0).alias("size"), F.lit("").alias("phrase"), "f")
-    named = lambda df, k: df.select("lang", F.lit(k).alias("size"), F.concat_ws(" ", "pair", "rest").alias("phrase"), "f")
-    return (named(edges, 4).unionAll(named(nodes, 3))
+def counted(runs: DataFrame, least: int) -> DataFrame:
+    """(lang, size, phrase, f): phrases of one to four words with at least ``least`` occurrences, and size 0: all words of a language."""
+    often, total = F.col("f") >= least, F.sum("f").alias("f")
+    runs = checkpointed(runs.withColumnRenamed("n", "f"))
+    nodes = runs.where("rest <> ''").groupBy("lang", "pair", first_words(F.col("rest"), 1).alias("rest")).agg(total)  # edges out, and pieces that end there
+    pairs = runs.groupBy("lang", "pair").agg(total)
+    words = runs.groupBy("lang", first_words(F.col("pair"), 1).alias("phrase")).agg(total)
+    whole = words.groupBy("lang").agg(total).select("lang", F.lit(0).alias("size"), F.lit("").alias("phrase"), "f")
+    named = lambda df, k: df.where(often).select("lang", F.lit(k).alias("size"), F.concat_ws(" ", "pair", "rest").alias("phrase"), "f")
+    return (named(runs.where(F.contains("rest", F.lit(" "))), 4).unionAll(named(nodes, 3))
             .unionAll(pairs.where(often & F.contains("pair", F.lit(" "))).select("lang", F.lit(2).alias("size"), F.col("pair").alias("phrase"), "f"))
             .unionAll(words.where(often).select("lang", F.lit(1).alias("size"), "phrase", "f")).unionAll(whole))
 
@@ -180,4 +254,4 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     rows count as often as they stand there; very long texts are read whole. Extra columns are ignored; an empty table gives
     an empty one. Arithmetic is in whole numbers, products in 38 decimal digits.
     """
-    return ranked(checkpointed(counted(longest_runs(docs, text_col, lang_col), least)), top, share)
+    return ranked(checkpointed(counted(longest_runs(prepared(docs, text_col, lang_col), least), least)), top, share)
