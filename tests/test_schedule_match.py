@@ -125,11 +125,12 @@ def test_in_batch_similar_titles(spark):
 
 
 def in_turn(rows, sim):
-    """The plain loop: each row against the drafts made so far."""
+    """The plain loop: each row against the drafts made so far; without venues, alike titles on one day are likely (5)."""
     drafts, out = [], {}
     for seq, title, start, o, s in rows:
         hits = [(t, score, d[0]) for d in drafts for t, score, same in (
-            (1, 0, o and d[3] == o), (2, 0, s and d[4] == s), (3, 0, start and d[2] == start and d[1] == title), (7, -sim[title, d[1]], sim[title, d[1]] >= 0.72)) if same]
+            (1, 0, o and d[3] == o), (2, 0, s and d[4] == s), (3, 0, start and d[2] == start and d[1] == title),
+            (5, -sim[title, d[1]], start and d[2] == start and sim[title, d[1]] >= 0.82), (7, -sim[title, d[1]], sim[title, d[1]] >= 0.72)) if same]
         out[seq] = (min(hits)[2], min(hits)[0]) if hits else (seq, None)
         if not hits:
             drafts.append((seq, title, start, o, s))

@@ -210,6 +210,23 @@ def fuzzy_matches(candidates: DataFrame, pool: DataFrame) -> DataFrame:
         "seq", "best.tier", "best.id", "best.title_sim", "best.ratio", "best.venue_sim", "best.area_match")
 
 
+def verdict() -> dict[str, Column]:
+    """Status, reason, confidence and action from the columns tier, title_sim, ratio, venue_sim, area_match and strong."""
+    t, r, v, tier = F.col("title_sim"), F.col("ratio"), F.col("venue_sim"), F.col("tier")
+    own = F.coalesce(F.col("area_match"), F.lit(False))
+    conf = (F.when(tier <= 2, 1.0).when(tier == 3, 0.98)
+            .when(tier == 4, F.least(F.lit(0.95), 0.55 + t * 0.2 + r * 0.12 + v * 0.1 + F.when(own, 0.03).otherwise(0.0)))
+            .when(tier == 5, F.least(F.lit(0.9), 0.5 + t * 0.25 + r * 0.1)).when(tier == 6, 0.45 + t * 0.2)
+            .when(tier == 7, 0.35 + t * 0.2 + F.when(F.col("strong"), 0.05).otherwise(0.0)).otherwise(0.0))
+    reasons = {1: "exact: official_url", 2: "exact: source_url", 3: "exact: title + start_date", 4: "likely: title + date + venue",
+               5: "likely: title + date", 6: "ambiguous: title + date, venues differ", 7: "ambiguous: title only"}
+    reason = F.coalesce(F.create_map(*[F.lit(x) for kv in reasons.items() for x in kv])[tier], F.lit("none"))
+    status = F.when(tier <= 3, "exact").when(tier <= 5, "likely").when(tier <= 7, "ambiguous").otherwise("none")
+    action = F.when(tier <= 3, "attach_source_only").when(tier.isNotNull(), "review_required").otherwise("create_draft")
+    named = {"duplicate_status": status, "reason": reason, "confidence": F.round(conf, 3), "action": action}
+    return {name: column.alias(name) for name, column in named.items()}
+
+
 def decide(candidates: DataFrame, pool: DataFrame, keyed: bool = False, ascii_only: bool = False) -> DataFrame:
     """J7. One row per candidate: duplicate_status, matched_id, reason, confidence, action and scores.
 
@@ -224,23 +241,13 @@ def decide(candidates: DataFrame, pool: DataFrame, keyed: bool = False, ascii_on
     found = exact.select("seq", "tier", "id", none("double").alias("title_sim"), none("double").alias("ratio"), none("double").alias("venue_sim"),
                          none("boolean").alias("area_match")).unionByName(fuzzy)
     out = cand.select("seq").join(found, "seq", "left")
-    t, r, v, tier = F.col("title_sim"), F.col("ratio"), F.col("venue_sim"), F.col("tier")
-    own = F.coalesce(F.col("area_match"), F.lit(False))
-    conf = (F.when(tier <= 2, 1.0).when(tier == 3, 0.98)
-            .when(tier == 4, F.least(F.lit(0.95), 0.55 + t * 0.2 + r * 0.12 + v * 0.1 + F.when(own, 0.03).otherwise(0.0)))
-            .when(tier == 5, F.least(F.lit(0.9), 0.5 + t * 0.25 + r * 0.1)).when(tier == 6, 0.45 + t * 0.2)
-            .when(tier == 7, 0.35 + t * 0.2 + F.when(F.col("strong"), 0.05).otherwise(0.0)).otherwise(0.0))
-    reasons = {1: "exact: official_url", 2: "exact: source_url", 3: "exact: title + start_date", 4: "likely: title + date + venue",
-               5: "likely: title + date", 6: "ambiguous: title + date, venues differ", 7: "ambiguous: title only"}
-    reason = F.coalesce(F.create_map(*[F.lit(x) for kv in reasons.items() for x in kv])[tier], F.lit("none"))
-    status = F.when(tier <= 3, "exact").when(tier <= 5, "likely").when(tier <= 7, "ambiguous").otherwise("none")
     # a title-only hit can still have strong dates below the high title threshold
     starts = pool.select("id", F.col("start_date").alias("_es"))
     out = out.join(starts, "id", "left").join(cand.select("seq", F.col("start_date").alias("_cs")), "seq")
-    out = out.withColumn("strong", date_strong(F.col("_cs"), F.col("_es"), F.coalesce(r, F.lit(0.0))))
-    action = F.when(tier <= 3, "attach_source_only").when(tier.isNotNull(), "review_required").otherwise("create_draft")
-    return out.select("seq", status.alias("duplicate_status"), F.col("id").alias("matched_id"), reason.alias("reason"), F.round(conf, 3).alias("confidence"),
-                      action.alias("action"), "title_sim", F.col("ratio").alias("date_overlap"), "venue_sim", "area_match", "tier")
+    out = out.withColumn("strong", date_strong(F.col("_cs"), F.col("_es"), F.coalesce("ratio", F.lit(0.0))))
+    v = verdict()
+    return out.select("seq", v["duplicate_status"], F.col("id").alias("matched_id"), v["reason"], v["confidence"], v["action"],
+                      "title_sim", F.col("ratio").alias("date_overlap"), "venue_sim", "area_match", "tier")
 
 
 def outcome_summary(decisions: DataFrame) -> DataFrame:
@@ -248,15 +255,26 @@ def outcome_summary(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("duplicate_status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def fuzzy_tier() -> Column:
+    """Tier 4 to 7 of a pair whose titles are alike, from title_sim, ratio, venue_sim and both sides' facts (c_*, e_*)."""
+    near = (F.col("title_sim") >= TITLE_HIGH) & date_strong(F.col("c_start_date"), F.col("e_start_date"), F.col("ratio"))
+    loose = ~F.col("c_has_venue") | ~F.col("e_has_venue") | (F.col("venue_sim") >= VENUE_MIN)
+    return F.when(near & (F.col("venue_sim") >= VENUE_HIGH), 4).when(near & loose, 5).when(near, 6).otherwise(7)
+
+
 def attach_within_batch(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """J8. Rows that would become drafts are matched, in order of seq, against the drafts made before them in the same
-    batch: (seq, leader, tier). A row that matches none is a draft itself (leader = seq, tier null); only drafts are
-    matched against, so a row that was attached or sent to review passes nothing on.
-
-    Tiers 1-3 are the exact ones (lowest tier, then first draft); 7 is the most similar draft title at or above the
-    lowest fuzzy threshold, which goes to review. Titles are compared once per distinct pair; rows of a shared key or
-    title never meet each other.
+    batch: (seq, leader, tier) and the verdict on the row, as ``decide`` gives it for the catalogue. A row that matches none
+    is a draft itself (leader = seq, tier null); only drafts are matched against, so a row that was attached or sent to
+    review passes nothing on.
+
+    Tiers 1-3 are the exact ones (lowest tier, then first draft). A row that lost by its title meets the drafts before
+    it whose titles are alike: strong dates make it likely (4, 5) or a venue conflict (6), otherwise the most
+    similar title decides (7). A title belongs to one draft at most, so a row meets few. Facts (dates, venue, area) that the
+    candidates don't carry count as unknown.
     """
+    unknown = {"span_last": F.col("start_date"), "venue_key": F.lit(""), "has_venue": F.lit(False), "area_key": F.lit(None).cast("string")}
+    candidates = candidates.withColumns({name: value for name, value in unknown.items() if name not in candidates.columns})
     drafts = cut_lineage(candidates.join(decisions.where(F.col("duplicate_status") == "none").select("seq"), "seq", "left_semi"))
     titled = F.when((F.col("title_key") != "") & F.col("start_date").isNotNull(), F.concat_ws("|", F.lit("3"), "start_date", "title_key"))
     exact = drafts.select("seq", F.explode(F.array_compact(F.array(
@@ -265,15 +283,23 @@ def attach_within_batch(candidates: DataFrame, decisions: DataFrame) -> DataFram
     titles = drafts.select("seq", name("").alias("key"))
     alike = cut_lineage(similar_titles(drafts, drafts).select(name("a_").alias("a"), name("b_").alias("b"), "title_sim"))
     own = exact.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct()
-    won = first_claims(drafts, exact.unionByName(titles), own.unionByName(alike.select("a", "b")))
-    leaders = won.where("won").select("seq")
+    won = cut_lineage(first_claims(drafts, exact.unionByName(titles), own.unionByName(alike.select("a", "b"))))
+    leaders, rest = won.where("won").select("seq"), won.where(~F.col("won")).select("seq")
+    none = lambda t: F.lit(None).cast(t)
     by_key = exact.join(leaders, "seq", "left_semi").groupBy("key").agg(F.min("seq").alias("leader"))
-    rest = won.where(~F.col("won")).select("seq")
     hits = exact.join(rest, "seq", "left_semi").join(by_key, "key").where(F.col("leader") < F.col("seq")).select(
-        "seq", F.struct(F.substring("key", 1, 1).cast("int").alias("tier"), F.lit(0.0).alias("o"), "leader").alias("b"))
-    first = titles.join(leaders, "seq", "left_semi").groupBy(F.col("key").alias("b")).agg(F.min("seq").alias("leader"))
-    by_title = alike.join(first, "b").select(F.col("a").alias("key"), (-F.col("title_sim")).alias("o"), "leader")
-    fuzzy = titles.join(rest, "seq", "left_semi").join(by_title, "key").where(F.col("leader") < F.col("seq")).select(
-        "seq", F.struct(F.lit(7).alias("tier"), "o", "leader").alias("b"))
-    found = hits.unionByName(fuzzy).groupBy("seq").agg(F.min("b").alias("b"))
-    return leaders.select("seq", F.col("seq").alias("leader"), F.lit(None).cast("int").alias("tier")).unionByName(found.select("seq", "b.leader", "b.tier"))
+        "seq", F.struct(F.substring("key", 1, 1).cast("int").alias("tier"), F.lit(0.0).alias("o1"), F.lit(0.0).alias("o2"), "leader", none("double").alias("title_sim"),
+                        none("double").alias("ratio"), none("double").alias("venue_sim"), none("boolean").alias("area_match"), none("boolean").alias("strong")).alias("b"))
+    side = lambda of, prefix, title, seq: drafts.join(of, "seq", "left_semi").select(F.col("seq").alias(seq), name("").alias(title), *[F.col(f).alias(prefix + f) for f in FACTS])
+    met = side(rest, "c_", "a", "seq").join(alike, "a").join(side(leaders, "e_", "b", "leader"), "b").where(F.col("leader") < F.col("seq"))
+    met = met.withColumn("ratio", overlap_ratio(F.col("c_start_date"), F.col("c_span_last"), F.col("e_start_date"), F.col("e_span_last")))
+    met = met.withColumns({"venue_sim": venue_similarity(F.col("c_venue_key"), F.col("e_venue_key"), bigrams(F.col("c_venue_key")), bigrams(F.col("e_venue_key"))),
+                           "area_match": F.col("c_area_key") == F.col("e_area_key"), "strong": date_strong(F.col("c_start_date"), F.col("e_start_date"), F.col("ratio"))})
+    met = met.withColumn("tier", fuzzy_tier())
+    total = F.col("title_sim") * 0.4 + F.col("ratio") * 0.28 + F.col("venue_sim") * 0.22 + F.when(F.coalesce("area_match", F.lit(False)), 0.1).otherwise(0.0)
+    fuzzy = met.select("seq", F.struct("tier", F.when(F.col("tier") == 4, -total).otherwise(-F.col("title_sim")).alias("o1"),
+                                       F.when(F.col("tier") == 5, -F.col("ratio")).otherwise(F.lit(0.0)).alias("o2"), "leader", "title_sim", "ratio", "venue_sim", "area_match", "strong").alias("b"))
+    found = hits.unionByName(fuzzy).groupBy("seq").agg(F.min("b").alias("b")).select("seq", "b.*")
+    found = found.unionByName(leaders.select("seq", F.col("seq").alias("leader")), allowMissingColumns=True)
+    v = verdict()
+    return found.select("seq", "leader", "tier", v["duplicate_status"], v["reason"], v["confidence"], v["action"], "title_sim", F.col("ratio").alias("date_overlap"), "venue_sim", "area_match")

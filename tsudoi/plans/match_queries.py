@@ -103,8 +103,45 @@ def date_overlap(t):
     return t.sessions.join(c, "event_id").groupBy("event_id", "start_date", "end_date").agg(F.max(r).alias("ratio"))
 
 
-@query("in_batch_leaders")
+CONFIDENCE = """cast(floor(round(CASE WHEN tier <= 2 THEN 1.0 WHEN tier = 3 THEN 0.98 WHEN tier = 4 THEN least(0.95, 0.55 + sim * 0.2 + r * 0.12 + v * 0.1 + CASE WHEN am THEN 0.03 ELSE 0.0 END)
+  WHEN tier = 5 THEN least(0.9, 0.5 + sim * 0.25 + r * 0.1) WHEN tier = 6 THEN 0.45 + sim * 0.2 WHEN tier = 7 THEN 0.35 + sim * 0.2 + CASE WHEN strong THEN 0.05 ELSE 0.0 END ELSE 0.0 END, 3) * 100 + 0.000001) AS bigint)"""
+
+# rows are settled as soon as all rows before them that could stand in their way are; nobody is compared with rows after it
+IN_BATCH = f"""WITH RECURSIVE cand0 AS MATERIALIZED (SELECT seq, start_date, {KEYS} FROM incoming),
+lt AS MATERIALIZED (SELECT *, row_number() OVER () AS tid FROM (SELECT DISTINCT title_key, core, year, edition FROM cand0)),
+cand AS MATERIALIZED (SELECT c.*, lt.tid FROM cand0 c JOIN lt ON lt.title_key = c.title_key AND lt.core = c.core AND lt.year IS NOT DISTINCT FROM c.year AND lt.edition IS NOT DISTINCT FROM c.edition),
+cores AS MATERIALIZED (SELECT DISTINCT core FROM lt),
+half AS MATERIALIZED (SELECT ac, bc, {dice('ac', 'bc')} AS s FROM (SELECT a.core AS ac, b.core AS bc FROM cores a JOIN cores b ON a.core <= b.core
+  AND (least(length(a.core), length(b.core)) >= 0.55 * greatest(length(a.core), length(b.core)) OR contains(a.core, b.core) OR contains(b.core, a.core)))),
+cp AS (SELECT ac, bc, s FROM half WHERE s >= 0.72 UNION SELECT bc, ac, s FROM half WHERE s >= 0.72),
+alike AS MATERIALIZED (SELECT * FROM (SELECT a.tid AS ta, b.tid AS tb, CASE WHEN a.title_key = b.title_key THEN 1.0
+  ELSE least(1.0, s * CASE WHEN a.edition <> b.edition THEN 0.85 ELSE 1 END * CASE WHEN a.year <> b.year THEN 0.9 ELSE 1 END) END AS sim
+  FROM lt a JOIN cp ON cp.ac = a.core JOIN lt b ON b.core = cp.bc) WHERE sim >= 0.72),
+keyed AS MATERIALIZED (SELECT seq, 1 AS tier, official_key AS k FROM cand WHERE official_key IS NOT NULL UNION ALL SELECT seq, 2, source_key FROM cand WHERE source_key IS NOT NULL
+  UNION ALL SELECT seq, 3, start_date || '|' || title_key FROM cand WHERE title_key <> '' AND start_date IS NOT NULL),
+met AS MATERIALIZED (SELECT a.seq AS a, b.seq AS b, a.tier, NULL::DOUBLE AS sim FROM keyed a JOIN keyed b ON a.tier = b.tier AND a.k = b.k AND b.seq < a.seq
+  UNION ALL SELECT a.seq, b.seq, 7, sim FROM cand a JOIN alike ON ta = a.tid JOIN cand b ON b.tid = tb AND b.seq < a.seq),
+rivals AS MATERIALIZED (SELECT DISTINCT a, b FROM met),
+state(seq, won) USING KEY (seq) AS (SELECT seq, true FROM cand WHERE seq NOT IN (SELECT a FROM rivals)
+  UNION SELECT x.a, NOT bool_or(coalesce(s.won, false)) FROM rivals x LEFT JOIN recurring.state s ON s.seq = x.b WHERE x.a NOT IN (SELECT seq FROM recurring.state)
+  GROUP BY x.a HAVING bool_or(coalesce(s.won, false)) OR count(s.seq) = count(*)),
+pairs AS (SELECT m.*, c.start_date = e.start_date OR coalesce(CASE WHEN greatest(c.start_date, e.start_date) <= least(c.span_last, e.span_last) THEN greatest(1, least(c.span_last, e.span_last) - greatest(c.start_date, e.start_date) + 1)::double
+    / least(greatest(1, c.span_last - c.start_date + 1), greatest(1, e.span_last - e.start_date + 1)) END, 0.0) >= 0.5 AS strong,
+  coalesce(CASE WHEN greatest(c.start_date, e.start_date) <= least(c.span_last, e.span_last) THEN greatest(1, least(c.span_last, e.span_last) - greatest(c.start_date, e.start_date) + 1)::double
+    / least(greatest(1, c.span_last - c.start_date + 1), greatest(1, e.span_last - e.start_date + 1)) END, 0.0) AS r,
+  {venue_sim('c.venue_key', 'e.venue_key')} AS v, c.area_key = e.area_key AS am, c.has_venue AND e.has_venue AS placed
+  FROM met m JOIN state w ON w.seq = m.b AND w.won JOIN state l ON l.seq = m.a AND NOT l.won JOIN cand c ON c.seq = m.a JOIN cand e ON e.seq = m.b),
+tiers AS (SELECT * REPLACE (CASE WHEN tier < 7 THEN tier WHEN sim >= 0.82 AND strong THEN CASE WHEN v >= 0.75 THEN 4 WHEN NOT placed OR v >= 0.55 THEN 5 ELSE 6 END ELSE 7 END AS tier) FROM pairs),
+best AS (SELECT * FROM tiers QUALIFY row_number() OVER (PARTITION BY a ORDER BY tier, CASE tier WHEN 4 THEN -(sim * 0.4 + r * 0.28 + v * 0.22 + CASE WHEN am THEN 0.1 ELSE 0.0 END) WHEN 5 THEN -sim WHEN 6 THEN -sim WHEN 7 THEN -sim ELSE 0.0 END,
+  CASE tier WHEN 5 THEN -r ELSE 0.0 END, b) = 1),
+final AS (SELECT a AS seq, b AS leader, tier, sim, r, v, am, strong FROM best UNION ALL SELECT seq, seq, NULL, NULL, NULL, NULL, NULL, NULL FROM state WHERE won)
+SELECT seq, leader, tier, CASE WHEN tier <= 3 THEN 'exact' WHEN tier <= 5 THEN 'likely' WHEN tier <= 7 THEN 'ambiguous' ELSE 'none' END AS duplicate_status,
+ CASE WHEN tier <= 3 THEN 'attach_source_only' WHEN tier IS NOT NULL THEN 'review_required' ELSE 'create_draft' END AS action, {CONFIDENCE} AS confidence FROM final"""
+
+
+@query("in_batch_leaders", IN_BATCH)
 def in_batch_leaders(t):
     # the first import: nothing is in the catalogue yet
     cand = match.with_match_keys(t.incoming)
-    return match.attach_within_batch(cand, match.decide(cand, match.match_pool(t.catalogue.limit(0)), keyed=True))
+    found = match.attach_within_batch(cand, match.decide(cand, match.match_pool(t.catalogue.limit(0)), keyed=True))
+    return found.select("seq", "leader", "tier", "duplicate_status", "action", F.floor(C("confidence") * 100 + 0.000001).alias("confidence"))
