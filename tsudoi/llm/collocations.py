@@ -3,9 +3,9 @@
 A node is a run of three words and an edge the run of four that overlaps two nodes. Every word occurrence gives one row:
 the edge that starts there, or, near the end of its piece, the shorter run that is left. Only these longest runs are
 counted from the texts. Counts of shorter phrases are then node flow: what leaves a node over its edges, plus the pieces
-that end in it, so f(3 words) = sum of f(edges out) + ends, and so on down to single words. A pair of words that occurs
-less often than a phrase must is in no phrase and in no part of one, so pieces are cut there before runs are taken; such
-pairs are told by counters of hashed pairs, which may take a rare pair for a frequent one but never the reverse.
+that end in it, so f(3 words) = sum of f(edges out) + ends, and so on down to single words. A run of two or three words
+that occurs less often than a phrase must is in no phrase and in no part of one, so longest runs end before it; such runs
+are told by counters of hashed runs, which may take a rare one for a frequent one but never the reverse.
 
 Edges that occur often enough form the graph that phrases come from. Chains of edges whose inner nodes pass their whole
 flow on (weight in = node flow = weight out) are unary paths; they are compacted by pointer doubling to one row that holds
@@ -42,27 +42,41 @@ class Pieces:
         names = np.array([xxhash.xxh64_intdigest(x) for x in code.dictionary.to_pylist()], np.uint64)
         self.lang = names[code.indices.to_numpy()][words.row]
 
-    def pairs(self) -> np.ndarray:
-        """A hash for each word but the last and the one after it."""
-        h = self.words.hash
+    def grams(self, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the runs of one word more than the filters go, in one piece, whose shorter runs all pass."""
+        at, h = np.flatnonzero(self.joined), self.words.hash
         with np.errstate(over="ignore"):
-            return mixed(h[:-1] * np.uint64(BASE) + h[1:] + self.lang[:-1])
+            code = h[at] * np.uint64(BASE) + h[at + 1] + self.lang[at]
+            for k, bits in enumerate(filters):
+                fine = passes(bits, mixed(code))
+                at, code = at[fine], code[fine]
+                both = np.flatnonzero(np.diff(at) == 1)  # the run that starts at the next word passes too
+                at, code = at[both], code[both] * np.uint64(BASE) + h[at[both] + k + 2]
+        return at, mixed(code)
 
 
-def runs(text: pa.Array, lang: pa.Array, bits: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+def passes(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
+    slot = code & np.uint64(len(bits) * 8 - 1)
+    return ((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def runs(text: pa.Array, lang: pa.Array, filters: list[np.ndarray]) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """(row, pair, rest) for each word: the run of up to four words that starts there; rest is after the second word.
 
-    A run ends with its piece, and at a pair whose bit isn't set.
+    A run ends with its piece, and before the word with which its last two or three words don't pass the filters.
     """
     found = Pieces(text, lang)
     words = found.words
     m = len(words.start)
     if not m:
         return words.row, pa.array([], pa.string()), pa.array([], pa.string())
-    slot = found.pairs() & np.uint64(len(bits) * 8 - 1)
-    on = found.joined & ((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-    last = np.append(np.flatnonzero(~on), m - 1)  # where runs end
-    end = last[np.searchsorted(last, np.arange(m))]
+    size = np.ones(m, np.int64)
+    pair, code = found.grams([])
+    size[pair[passes(filters[0], code)]] = 2
+    triple, code = found.grams(filters[:1])
+    triple = triple[passes(filters[1], code)]
+    size[triple] = 3
+    size[triple[:-1][np.diff(triple) == 1]] = 4
     # the words once more, one blank after each: a run is then a stretch of bytes
     length = words.end - words.start
     start = np.cumsum(length + 1) - length - 1
@@ -71,7 +85,7 @@ def runs(text: pa.Array, lang: pa.Array, bits: np.ndarray) -> tuple[np.ndarray,
     copy[at + np.repeat(start - words.start, length)] = words.data[at]
     stop, i = start + length, np.arange(m)
     third = start[np.minimum(i + 2, m - 1)]
-    return words.row, stretches(copy, start, stop[np.minimum(i + 1, end)]), stretches(copy, third, np.where(end >= i + 2, stop[np.minimum(i + LONGEST - 1, end)], third))
+    return words.row, stretches(copy, start, stop[i + np.minimum(size, 2) - 1]), stretches(copy, third, np.where(size > 2, stop[i + size - 1], third))
 
 
 def stretches(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
@@ -86,19 +100,17 @@ def prepared(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("t")).where("t is not null")
 
 
-def often_paired(texts: DataFrame, least: int, slots: int | None = None) -> np.ndarray:
-    """A bit for each slot of hashed pairs of neighbouring words: set if the pairs of that slot occur ``least`` times or more.
+def often(texts: DataFrame, least: int, filters: list[np.ndarray], slots: int) -> np.ndarray:
+    """A bit for each slot of hashed runs of neighbouring words, pairs or, given a filter of pairs, runs of three: set if the
+    runs of that slot occur ``least`` times or more.
 
-    A pair whose bit isn't set is rarer, and so is every phrase that holds it. Each task counts into an array of bytes that
-    stop at ``least``, sent on in blocks; the blocks of all tasks are summed where they meet, and the driver gets one bit a
-    slot. There is a slot for 64 bytes of text, from 2^16 to 2^26 (8 MB of bits): more text makes the filter less sharp, never wrong.
+    A run whose bit isn't set is rarer, and so is every phrase that holds it. Each task counts into an array of bytes that
+    stop at ``least``, sent on in blocks; the blocks of all tasks are summed where they meet, and the driver gets one bit a slot.
     """
     if not 1 <= least <= 127:
         raise ValueError("least must be from 1 to 127")
-    if slots is None:
-        size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-        slots = 1 << min(26, max(16, (size // 64).bit_length()))
     block = min(slots, BLOCK)
+    sent = texts.sparkSession.sparkContext.broadcast(filters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, rows = np.zeros(slots, np.uint8), [], 0
@@ -108,10 +120,8 @@ def often_paired(texts: DataFrame, least: int, slots: int | None = None) -> np.n
             seen[slot] = np.minimum(seen[slot] + np.minimum(n, least), least)
         for batch in batches:
             for part in slices(batch, "t"):
-                found = Pieces(part.column("t"), part.column("lang"))
-                if len(found.joined):
-                    held.append((found.pairs()[found.joined] & np.uint64(slots - 1)).astype(np.int64))
-                    rows += len(held[-1])
+                held.append((Pieces(part.column("t"), part.column("lang")).grams(sent.value)[1] & np.uint64(slots - 1)).astype(np.int64))
+                rows += len(held[-1])
                 if rows >= COMBINE:
                     add()
                     held, rows = [], 0
@@ -138,15 +148,26 @@ def often_paired(texts: DataFrame, least: int, slots: int | None = None) -> np.n
     bits = np.zeros(slots // 8, np.uint8)
     for k, b in zip(found.column("k").to_pylist(), found.column("bits")):
         bits[k * block // 8:(k + 1) * block // 8] = np.frombuffer(b.as_buffer(), np.uint8)
+    sent.destroy()
     return bits
 
 
+def filters_of(texts: DataFrame, least: int, slots: int | None = None) -> list[np.ndarray]:
+    """The filters of pairs and of runs of three. There is a slot for 64 bytes of text, from 2^16 to 2^26 (8 MB of bits): more
+    text makes the filters less sharp, never wrong."""
+    if slots is None:
+        size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        slots = 1 << min(26, max(16, (size // 64).bit_length()))
+    pairs = often(texts, least, [], slots)
+    return [pairs, often(texts, least, [pairs], slots)]
+
+
 def longest_runs(texts: DataFrame, least: int, slots: int | None = None) -> DataFrame:
-    """(lang, pair, rest, n): the runs of texts(lang, t) with their counts; single words are complete, other runs end at pairs that are too rare."""
+    """(lang, pair, rest, n): the runs of texts(lang, t) with their counts; single words are complete, other runs end where pairs or runs of three are too rare."""
     def combined(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         found = pa.concat_tables(tables).group_by(["lang", "pair", "rest"]).aggregate([("n", "sum")]).rename_columns(["lang", "pair", "rest", "n"])
         yield from found.cast(pa.schema([("lang", pa.string()), ("pair", pa.string()), ("rest", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=1 << 16)
-    sent = texts.sparkSession.sparkContext.broadcast(often_paired(texts, least, slots))
+    sent = texts.sparkSession.sparkContext.broadcast(filters_of(texts, least, slots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -156,7 +177,7 @@ def longest_runs(texts: DataFrame, least: int, slots: int | None = None) -> Data
                 if len(row):
                     held.append(pa.table({"lang": part.column("lang").take(pa.array(row)), "pair": pair, "rest": rest, "n": np.ones(len(row), np.int64)}))
                     rows += len(row)
-                if rows >= COMBINE:
+                if rows >= COMBINE // 4:
                     yield from combined(held)
                     held, rows = [], 0
         if held:
