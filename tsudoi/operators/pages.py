@@ -1,7 +1,7 @@
 """Page jobs (P1-P10, W18, W19): metadata, plain text, JSON-LD, labelled facts, cards, visit facts.
 
-Everything is a Spark expression over the html column: tags are cut out by regular expressions into
-arrays of small strings, JSON-LD goes through the variant type. No page is parsed on the driver.
+A page is read once, by ``markup.with_facts``, into a typed struct of what its markup holds; everything else is a Spark
+expression over that struct, JSON-LD by the variant type, so a page job needs neither a second scan nor an exchange.
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tsudoi.functions import images
 from tsudoi.functions.dates import safe_date, time_of_iso
 from tsudoi.functions.feeddates import listing_dates
+from tsudoi.functions.markup import with_facts
 from tsudoi.functions.text import WS, any_match, blank_to_null, clean_text, let, nfkc, squeeze, strip, truncate
 from tsudoi.functions.urls import absolute_url
 from tsudoi.plans.ranking import top_k
@@ -47,52 +48,40 @@ def plain_text(html: Column) -> Column:
     return strip(F.regexp_replace(text, "\n{3,}", "\n\n"))
 
 
-def attribute(tag: Column, name: str) -> Column:
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.coalesce(*[blank_to_null(F.regexp_extract(tag, pattern, i)) for i in (1, 2, 3)])
-
-
-def elements(html: Column, tag: str) -> Column:
-    """Start tags of one element name, in page order."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is)(<{tag}\b[^>]*>)"), 1)
-
-
-def inner(html: Column, tag: str) -> Column:
-    """Content of the first such element."""
-    return blank_to_null(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))
-
-
 def meta_content(metas: Column, *names: str) -> Column:
     """Content of the first meta tag, by name or property, in the order of ``names``."""
-    def one(name: str) -> Column:
-        hit = F.filter(metas, lambda m: (F.lower(F.coalesce(attribute(m, "name"), attribute(m, "property"), F.lit(""))) == name)
-                       & F.coalesce(strip(attribute(m, "content")) != "", F.lit(False)))
-        return strip(decode_basic(attribute(F.get(hit, F.lit(0)), "content")))
+    one = lambda name: F.get(F.filter(metas, lambda m: (m["name"] == name) & F.coalesce(m["content"] != "", F.lit(False))), F.lit(0))["content"]
     return F.coalesce(*[one(n) for n in names])
 
 
+def metadata(facts: str, url: Column) -> dict[str, Column]:
+    """Title, description, site_name, published, canonical and the excerpt of a page from its facts."""
+    f = lambda name: F.col(f"{facts}.{name}")
+    m, title, description = f("metas"), F.coalesce(meta_content(f("metas"), "og:title"), f("title")), meta_content(f("metas"), "og:description", "description", "twitter:description")
+    body = F.concat_ws(" — ", description, blank_to_null(f("main")))
+    return {"title": title, "description": description, "site_name": meta_content(m, "og:site_name"),
+            "published": F.coalesce(meta_content(m, "article:published_time", "pubdate", "publishdate"), blank_to_null(f("time"))),
+            "canonical": absolute_url(F.coalesce(f("canonical"), meta_content(m, "og:url")), url),
+            "excerpt": truncate(F.coalesce(blank_to_null(body), title, F.lit("")), 400)}
+
+
 def page_metadata(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """P1. Adds title, description, site_name, published, canonical and a short excerpt; drops the html."""
-    step = pages.withColumn("_clean", F.regexp_replace(F.col(html), COMMENTS, " "))
-    c = F.col("_clean")
-    step = step.withColumns({"_metas": elements(c, "meta"), "_links": elements(c, "link"), "_times": elements(c, "time"),
-                             "_main": strip_tags(F.coalesce(inner(c, "article"), inner(c, "main"), F.lit("")))})
-    m = F.col("_metas")
-    canonical = F.get(F.filter("_links", lambda l: F.lower(attribute(l, "rel")) == "canonical"), F.lit(0))
-    step = step.withColumns({
-        "title": F.coalesce(meta_content(m, "og:title"), clean_text(decode_basic(inner(c, "title")))),
-        "description": meta_content(m, "og:description", "description", "twitter:description"), "site_name": meta_content(m, "og:site_name"),
-        "published": F.coalesce(meta_content(m, "article:published_time", "pubdate", "publishdate"), attribute(F.get("_times", F.lit(0)), "datetime")),
-        "canonical": absolute_url(F.coalesce(attribute(canonical, "href"), meta_content(m, "og:url")), F.col(url))})
-    body = F.concat_ws(" — ", "description", blank_to_null(F.col("_main")))
-    return step.withColumn("excerpt", truncate(F.coalesce(blank_to_null(body), F.col("title"), F.lit("")), 400)).drop(
-        html, "_clean", "_metas", "_links", "_times", "_main")
+    return with_facts(pages, html).withColumns(metadata("_facts", F.col(url))).drop("_facts")
 
 
 # ---- JSON-LD -------------------------------------------------------------------------------------
 LD_BLOCK = r"""(?is)<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>"""
 
 
+def node_list(blocks: Column) -> Column:
+    """The nodes of JSON-LD blocks as one array, arrays and @graph flattened in page order; bad JSON is skipped."""
+    arr = lambda c, path: F.try_variant_get(c, path, "array<variant>")
+    parsed = F.filter(F.transform(blocks, lambda b: F.try_parse_json(strip(b))), lambda v: v.isNotNull())
+    listed = F.flatten(F.transform(parsed, lambda v: F.coalesce(arr(v, "$"), F.array(v))))
+    return F.flatten(F.transform(listed, lambda n: F.coalesce(arr(n, '$["@graph"]'), F.array(n))))
+
+
 def json_ld_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """P3. (key, pos, node variant): blocks, arrays and @graph flattened in page order; bad JSON is skipped."""
     blocks = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(LD_BLOCK), 1)).alias("b", "raw"))
@@ -103,13 +92,13 @@ def json_ld_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     return nodes.select(key, F.struct("b", "i", "j").alias("pos"), "node")
 
 
-def _str(node: str, path: str) -> Column:
+def _str(node: str | Column, path: str) -> Column:
     """A text value; numbers and objects at the path do not count as text."""
     v = F.try_variant_get(node, path, "variant")
     return F.when(F.schema_of_variant(v) == "STRING", clean_text(F.try_variant_get(node, path, "string")))
 
 
-def _types(node: str) -> Column:
+def _types(node: str | Column) -> Column:
     return F.coalesce(F.try_variant_get(node, '$["@type"]', "array<string>"), F.array_compact(F.array(F.try_variant_get(node, '$["@type"]', "string"))))
 
 
@@ -140,32 +129,38 @@ def offers_price_text(node: str) -> Column:
     return blank_to_null(F.array_join(F.array_compact(F.transform(offer_list(node), one)), " / "))
 
 
-def json_ld_fields(nodes: DataFrame, pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
-    """P4. Event facts per page: name, dates, clocks, venue, address, area, price text, url, image."""
-    ev = event_nodes(nodes, key).join(pages.select(key, F.col(url).alias("_page")), key)
-    g = lambda p: _str("node", p)
+def first_event(nodes: Column) -> Column:
+    return F.get(F.filter(nodes, lambda n: F.coalesce(F.array_contains(_types(n), "Event"), F.lit(False))), F.lit(0))
+
+
+def event_facts(node: str, page: Column) -> dict[str, Column]:
+    """Name, dates, clocks, venue, address, area, price text, url and image of an Event node."""
+    g = lambda p: _str(node, p)
     parts = F.concat_ws(" ", g("$.location.address.streetAddress"), g("$.location.address.addressLocality"), g("$.location.address.addressRegion"))
     address = F.coalesce(g("$.location.address"), blank_to_null(parts))
-    image = F.coalesce(F.try_variant_get("node", "$.image", "array<variant>"), F.array_compact(F.array(F.try_variant_get("node", "$.image", "variant"))))
+    image = F.coalesce(F.try_variant_get(node, "$.image", "array<variant>"), F.array_compact(F.array(F.try_variant_get(node, "$.image", "variant"))))
 
     def image_text(v: Column) -> Column:
         return F.coalesce(F.try_variant_get(v, "$.contentUrl", "string"), F.try_variant_get(v, "$.url", "string"),
                           F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
-    urls = F.array_compact(F.transform(image, lambda v: images.valid_image(image_text(v), F.col("_page"))))
-    iso = lambda p: g(p)
-    return ev.select(
-        key, g("$.name").alias("title"), g("$.description").alias("description"), safe_date(F.substring(iso("$.startDate"), 1, 10)).alias("start_date"),
-        safe_date(F.substring(iso("$.endDate"), 1, 10)).alias("end_date"), time_of_iso(iso("$.startDate")).alias("start_time"),
-        time_of_iso(iso("$.endDate")).alias("end_time"), g("$.location.name").alias("venue"), strip_postal(address).alias("address"),
-        g("$.location.address.addressLocality").alias("area"), offers_price_text("node").alias("price_text"),
-        absolute_url(g("$.url"), F.col("_page")).alias("official_url"), F.get(urls, F.lit(0)).alias("image_url"))
+    urls = F.array_compact(F.transform(image, lambda v: images.valid_image(image_text(v), page)))
+    return {"title": g("$.name"), "description": g("$.description"), "start_date": safe_date(F.substring(g("$.startDate"), 1, 10)),
+            "end_date": safe_date(F.substring(g("$.endDate"), 1, 10)), "start_time": time_of_iso(g("$.startDate")),
+            "end_time": time_of_iso(g("$.endDate")), "venue": g("$.location.name"), "address": strip_postal(address),
+            "area": g("$.location.address.addressLocality"), "price_text": offers_price_text(node),
+            "official_url": absolute_url(g("$.url"), page), "image_url": F.get(urls, F.lit(0))}
+
+
+def json_ld_fields(nodes: DataFrame, pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+    """P4. Event facts per page: name, dates, clocks, venue, address, area, price text, url, image."""
+    ev = event_nodes(nodes, key).join(pages.select(key, F.col(url).alias("_page")), key)
+    return ev.select(key, *[c.alias(name) for name, c in event_facts("node", F.col("_page")).items()])
 
 
 # ---- labelled facts ------------------------------------------------------------------------------
 PRICE_LABEL = "^(料金|入場料|入場|チケット|観覧料|参加費|利用料|一般|大人|学生|高校生|中学生|小人|シニア)"
 PRICE_VALUE = r"([0-9]{1,3}(?:,[0-9]{3})*\s*円|無料|入場無料|有料|¥\s*[0-9]|各[0-9]|要問合せ|要予約)"
-PAIR_PATTERNS = (r"(?is)<tr\b[^>]*>\s*<th\b[^>]*>(.*?)</th\s*>\s*<td\b[^>]*>(.*?)</td\s*>", r"(?is)<dt\b[^>]*>(.*?)</dt\s*>\s*<dd\b[^>]*>(.*?)</dd\s*>")
 # Label words per field; the first field a label fits takes the value.
 LABELS = (("開催期間|開催日|期間", "period"), ("開催時間|開館時間|営業時間|開催時刻|開始時間|開演時間|開場時間|^時間$", "hours"), ("住所|所在地", "address"),
           ("会場|開催場所|場所", "venue"), (PRICE_LABEL, "price"), ("公式|ホームページ|URL", "official_url"))
@@ -173,27 +168,36 @@ LABELS = (("開催期間|開催日|期間", "period"), ("開催時間|開館時
 
 def labelled_pairs(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """P5. (key, seq, label, value, href) of table rows and definition lists, in page order per kind."""
-    shown = pages.select(key, visible_html(F.col(html)).alias("_h"))
-    frames = []
-    for kind, pattern in enumerate(PAIR_PATTERNS):
-        rows = F.arrays_zip(F.regexp_extract_all("_h", F.lit(pattern), 1).alias("l"), F.regexp_extract_all("_h", F.lit(pattern), 2).alias("v"))
-        frames.append(shown.select(key, F.posexplode(rows).alias("i", "p")).select(
-            key, F.struct(F.lit(kind).alias("kind"), "i").alias("seq"), strip_tags(F.col("p.l")).alias("label"), strip_tags(F.col("p.v")).alias("value"),
-            attribute(F.regexp_extract(F.col("p.v"), r"(?is)(<a\b[^>]*>)", 1), "href").alias("href")))
-    return frames[0].unionByName(frames[1]).where(F.col("label") != "")
+    pairs = with_facts(pages.select(key, html), html).select(key, F.posexplode("_facts.pairs").alias("i", "p"))
+    return pairs.select(key, F.struct("p.kind", "i").alias("seq"), "p.label", "p.value", "p.href")
 
 
-def labelled_facts(pairs: DataFrame, key: str = "page_id") -> DataFrame:
-    """P5. (key, field, value, href): the first fitting label per field; update dates are no facts."""
-    field = None
+def label_field(label: Column) -> Column:
+    """P5: the field a label names, null if none; update dates are no facts."""
+    field = F.when(label.rlike("更新日"), F.lit(None).cast("string"))
     for pattern, name in LABELS:
-        field = F.when(F.col("label").rlike(pattern), name) if field is None else field.when(F.col("label").rlike(pattern), name)
-    rows = pairs.where(~F.col("label").rlike("更新日")).withColumn("field", field).where(F.col("field").isNotNull() & ((F.col("value") != "") | F.col("href").isNotNull()))
-    rows = rows.where((F.col("field") != "price") | (F.col("value").rlike(PRICE_VALUE) & F.char_length("value").between(2, 180)))
+        field = field.when(label.rlike(pattern), name)
+    return field
+
+
+def telling(field: Column, value: Column, href: Column) -> Column:
+    """P5: whether a labelled value says something; a price needs an amount or a price word."""
+    return field.isNotNull() & ((value != "") | href.isNotNull()) & ((field != "price") | (value.rlike(PRICE_VALUE) & F.char_length(value).between(2, 180)))
+
+
+def labelled_facts(pairs: DataFrame, key: str = "page_id") -> DataFrame:
+    """P5. (key, field, value, href): the first fitting label per field."""
+    rows = pairs.withColumn("field", label_field(F.col("label"))).where(telling(F.col("field"), F.col("value"), F.col("href")))
     best = rows.groupBy(key, "field").agg(F.min(F.struct("seq", "label", "value", "href")).alias("b"))
     return best.select(key, "field", "b.label", "b.value", "b.href")
 
 
+def fact_list(pairs: Column) -> Column:
+    """P5 in one row: structs (field, label, value, href) of the pairs that say something, in their order."""
+    named = F.transform(pairs, lambda p: F.struct(label_field(p["label"]).alias("field"), p["label"].alias("label"), p["value"].alias("value"), p["href"].alias("href")))
+    return F.filter(named, lambda p: F.coalesce(telling(p["field"], p["value"], p["href"]), F.lit(False)))
+
+
 # ---- field choice --------------------------------------------------------------------------------
 def choose_fields(candidates: DataFrame, key: str = "page_id") -> DataFrame:
     """W19. candidates(key, field, tier, seq, value, source): the first non-empty value by tier, with its source."""
@@ -206,101 +210,102 @@ DETAIL_FIELDS = ("title", "description", "start_date", "end_date", "start_time",
 
 
 def detail_records(pages: DataFrame, listing: DataFrame | None = None, key: str = "page_id") -> DataFrame:
-    """P6. One record per page from JSON-LD (tier 1), labelled facts (2), page and meta (3) and the listing (4),
-    with field_sources telling where each value came from."""
-    ld = json_ld_fields(json_ld_nodes(pages, key), pages, key)
-    meta = page_metadata(pages.select(key, "url", "html"))
-    facts = labelled_facts(labelled_pairs(pages, key), key)
-    h1 = pages.select(key, visible_html(F.col("html")).alias("_h")).select(key, clean_text(strip_tags(inner(F.col("_h"), "h1"))).alias("title"))
-
-    def long(df: DataFrame, tier: int, source: str, seq: int, fields: Sequence[str]) -> DataFrame:
-        values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), F.lit(f"{source}.{f}").alias("source")) for f in fields])
-        return df.select(key, F.explode(values).alias("x")).select(key, "x.field", F.lit(tier).alias("tier"), F.lit(seq).alias("seq"), "x.value", "x.source")
-
-    period = facts.where(F.col("field") == "period").select(key, listing_dates(F.col("value")).alias("d")).select(key, "d.*")
-    named = facts.where(F.col("field").isin("venue", "address", "price", "official_url")).select(
-        key, F.when(F.col("field") == "price", "price_text").otherwise(F.col("field")).alias("field"), F.lit(2).alias("tier"), F.lit(0).alias("seq"),
-        F.when(F.col("field") == "official_url", F.coalesce("href", "value")).when(F.col("field") == "address", strip_postal(F.col("value"))).otherwise(F.col("value")).alias("value"),
-        F.concat(F.lit("table."), F.col("label")).alias("source"))
-    every = (long(ld, 1, "jsonld", 0, DETAIL_FIELDS).unionByName(named).unionByName(long(period, 2, "table", 0, ("start_date", "end_date")))
-             .unionByName(long(h1, 3, "h1", 0, ("title",))).unionByName(long(meta, 3, "meta", 1, ("title", "description"))))
-    if listing is not None:
-        every = every.unionByName(long(listing, 4, "listing", 0, [f for f in DETAIL_FIELDS if f in listing.columns]))
-    chosen = choose_fields(every, key)
-    # at most one row per field and page, so the map is small
-    return chosen.groupBy(key).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in DETAIL_FIELDS],
-                                   F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "source")))).alias("field_sources"))
+    """P6. One record per page from JSON-LD (tier 1), labelled facts (2), page and meta (3) and the listing (4, one row per
+    key), with field_sources telling where each value came from. One scan and no exchange, but for a listing's join.
+    Pages that say nothing give no record."""
+    read = with_facts(pages.select(key, "url", "html"))
+    read = read.select(key, "url", "_facts", first_event(node_list(F.col("_facts.json_ld"))).alias("_event"), fact_list(F.col("_facts.pairs")).alias("_labelled"))
+    ld, meta = event_facts("_event", F.col("url")), metadata("_facts", F.col("url"))
+    fact = lambda field: F.get(F.filter("_labelled", lambda p: p["field"] == field), F.lit(0))
+    listed = [] if listing is None else [f for f in DETAIL_FIELDS if f in listing.columns]
+    step = read.select(key, "url", *[ld[f].alias("ld_" + f) for f in DETAIL_FIELDS], F.get("_facts.h1", F.lit(0)).alias("_h1"), meta["title"].alias("_title"), meta["description"].alias("_description"),
+                       *[fact(f).alias("t_" + f) for f in ("period", "venue", "address", "price", "official_url")])
+    step = step.withColumn("_period", listing_dates(F.col("t_period.value")))
+    if listed:
+        step = step.join(listing.select(key, *[F.col(f).alias("l_" + f) for f in listed]), key, "left")
+    told: dict[str, list[tuple[Column, Column]]] = {f: [(F.col("ld_" + f).cast("string"), F.lit("jsonld." + f))] for f in DETAIL_FIELDS}
+    table = lambda name, value: (value, F.concat(F.lit("table."), F.col(f"t_{name}.label")))
+    told["venue"].append(table("venue", F.col("t_venue.value")))
+    told["address"].append(table("address", strip_postal(F.col("t_address.value"))))
+    told["price_text"].append(table("price", F.col("t_price.value")))
+    told["official_url"].append(table("official_url", F.coalesce("t_official_url.href", "t_official_url.value")))
+    for f in ("start_date", "end_date"):
+        told[f].append((F.col("_period." + f).cast("string"), F.lit("table." + f)))
+    told["title"] += [(F.col("_h1"), F.lit("h1.title")), (F.col("_title"), F.lit("meta.title"))]
+    told["description"].append((F.col("_description"), F.lit("meta.description")))
+    for f in listed:
+        told[f].append((F.col("l_" + f).cast("string"), F.lit("listing." + f)))
+    chosen = {f: F.coalesce(*[F.when(strip(v) != "", F.struct(v.alias("value"), s.alias("source"))) for v, s in ways]) for f, ways in told.items()}
+    step = step.select(key, *[c.alias(f) for f, c in chosen.items()])
+    sources = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f + ".source").alias("source")) for f in sorted(DETAIL_FIELDS)]), lambda s: s["source"].isNotNull())
+    return step.where(F.coalesce(*DETAIL_FIELDS).isNotNull()).select(key, *[F.col(f + ".value").alias(f) for f in DETAIL_FIELDS], F.map_from_entries(sources).alias("field_sources"))
 
 
 # ---- listing cards -------------------------------------------------------------------------------
-CARD = r"(?is)<(li|article)\b[^>]*>(.*?)</\1\s*>"
-
-
 def listing_cards(pages: DataFrame, detail_link: str, key: str = "page_id", url: str = "url") -> DataFrame:
     """P7. (key, pos, title, detail_url, date_text, start_date, end_date, area, venue, tags, summary, image_url):
     one row per card whose link matches ``detail_link``, the first per detail URL and page."""
-    blocks = pages.select(key, url, F.posexplode(F.regexp_extract_all(visible_html(F.col("html")), F.lit(CARD), 2)).alias("pos", "card"))
-    link = lambda c: F.get(F.filter(elements(c, "a"), lambda a: any_match(attribute(a, "href"), detail_link)), F.lit(0))
-    step = blocks.withColumn("_a", link(F.col("card"))).where(F.col("_a").isNotNull())
-    classed = lambda name: clean_text(strip_tags(F.regexp_extract("card", rf"""(?is)<(\w+)\b[^>]*class\s*=\s*["'][^"']*{name}[^"']*["'][^>]*>(.*?)</\1\s*>""", 2)))
-    heading = F.coalesce(attribute(F.col("_a"), "title"), clean_text(strip_tags(F.regexp_extract("card", r"(?is)<h[2-4]\b[^>]*>(.*?)</h[2-4]\s*>", 1))),
-                         clean_text(strip_tags(inner(F.col("card"), "a"))))
-    text = strip_tags(F.col("card"))
-    date_text = blank_to_null(F.regexp_extract(text, r"((?:開催中\s*|終了間近\s*)?(?:[〜～]\s*)?[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日[^。\n]{0,60})", 1))
-    tags = F.transform(F.regexp_extract_all("card", F.lit(r"""(?is)<(\w+)\b[^>]*class\s*=\s*["'][^"']*tag[^"']*["'][^>]*>(.*?)</\1\s*>"""), 2), strip_tags)
-    paragraphs = F.filter(F.transform(F.regexp_extract_all("card", F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), 1), strip_tags),
-                          lambda p: F.char_length(p).between(8, 200) & ~any_match(p, r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月"))
-    rows = step.select(key, "pos", heading.alias("title"), absolute_url(attribute(F.col("_a"), "href"), F.col(url)).alias("detail_url"), date_text.alias("date_text"),
-                       classed("area").alias("area"), classed("venue").alias("venue"), tags.alias("tags"), F.get(paragraphs, F.lit(0)).alias("summary"),
-                       absolute_url(attribute(F.get(elements(F.col("card"), "img"), F.lit(0)), "src"), F.col(url)).alias("image_url"))
+    blocks = with_facts(pages.select(key, url, "html")).select(key, url, F.posexplode("_facts.cards").alias("pos", "card"))
+    link = F.get(F.filter("card.links", lambda a: F.coalesce(any_match(a["href"], detail_link), F.lit(False))), F.lit(0))
+    step = blocks.withColumn("_a", link).where(F.col("_a").isNotNull())
+    marked = lambda name: F.transform(F.filter("card.classed", lambda e: F.contains(e["cls"], F.lit(name))), lambda e: e["text"])
+    heading = F.coalesce(blank_to_null(F.col("_a.title")), blank_to_null(F.col("card.heading")), blank_to_null(F.get("card.links", F.lit(0))["text"]))
+    date_text = blank_to_null(F.regexp_extract("card.text", r"((?:開催中\s*|終了間近\s*)?(?:[〜～]\s*)?[0-9]{4}\s*年\s*[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日[^。\n]{0,60})", 1))
+    paragraphs = F.filter("card.paragraphs", lambda p: F.char_length(p).between(8, 200) & ~any_match(p, r"[0-9]{4}\s*年\s*[0-9]{1,2}\s*月"))
+    rows = step.select(key, "pos", heading.alias("title"), absolute_url(F.col("_a.href"), F.col(url)).alias("detail_url"), date_text.alias("date_text"),
+                       blank_to_null(F.get(marked("area"), F.lit(0))).alias("area"), blank_to_null(F.get(marked("venue"), F.lit(0))).alias("venue"), marked("tag").alias("tags"),
+                       F.get(paragraphs, F.lit(0)).alias("summary"), absolute_url(F.col("card.image"), F.col(url)).alias("image_url"))
     rows = rows.where(F.char_length("title") >= 2).withColumn("_d", listing_dates(F.col("date_text"))).withColumns(
         {"start_date": F.col("_d.start_date"), "end_date": F.col("_d.end_date")}).drop("_d")
     return top_k(rows, [key, "detail_url"], [F.col("pos")], 1, "_f").drop("_f")
 
 
 # ---- images --------------------------------------------------------------------------------------
+def scored_images(imgs: Column, page: Column) -> Column:
+    """Structs (s, pos, image_url) of the usable <img> tags; the smallest is the best, s is the negative score."""
+    def one(img: Column, pos: Column) -> Column:
+        size = lambda n: F.regexp_replace(img[n], "(?i)px$", "").try_cast("double")
+        cls, alt, w, h = F.lower(F.coalesce(img["cls"], F.lit(""))), F.lower(F.coalesce(img["alt"], F.lit(""))), size("width"), size("height")
+
+        def graded(url: Column) -> Column:
+            u = F.lower(url)
+            pts = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
+            largest = F.greatest(F.coalesce(w, F.lit(0.0)), F.coalesce(h, F.lit(0.0)))
+            score = (F.lit(10) + pts(u.rlike(r"/spot/(ex|ev)[0-9]+/"), 50) + pts(u.rlike("/assets/images/event(/|_draft/)"), 50) + pts(cls.rlike("js-image-view-image"), 40)
+                     + pts(cls.rlike("event|exhibition|spot"), 10) + pts((alt != "") & ~alt.rlike("facebook|twitter|youtube|instagram|logo"), 5)
+                     - pts(u.rlike("/shared/"), 20) - pts(u.rlike("/assets/pr/"), 100) - pts(u.rlike(r"ogp\.png"), 100)
+                     + F.when(largest >= 200, 15).when(largest >= 100, 5).otherwise(0))
+            small = F.coalesce((w > 0) & (w < 48), F.lit(False)) | F.coalesce((h > 0) & (h < 48), F.lit(False))
+            return F.when(url.isNotNull() & ~small, F.struct((-score).alias("s"), pos.alias("pos"), url.alias("image_url")))
+        return let(images.valid_image(img["src"], page), graded)
+    return F.filter(F.transform(imgs, one), lambda x: x.isNotNull() & (x["s"] <= -20))
+
+
 def best_html_image(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """W18. (key, image_url, score): the best-scoring <img> of each page, the first of equals, at least 20 points."""
-    imgs = pages.select(key, F.col(url).alias("_page"), F.posexplode(elements(F.col("html"), "img")).alias("pos", "tag"))
-    size = lambda n: F.regexp_replace(attribute(F.col("tag"), n), "(?i)px$", "").try_cast("double")
-    step = imgs.withColumns({"image_url": images.valid_image(attribute(F.col("tag"), "src"), F.col("_page")), "w": size("width"), "h": size("height"),
-                             "cls": F.lower(F.coalesce(attribute(F.col("tag"), "class"), F.lit(""))), "alt": F.lower(F.coalesce(attribute(F.col("tag"), "alt"), F.lit("")))})
-    u = F.lower("image_url")
-    pts = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
-    largest = F.greatest(F.coalesce("w", F.lit(0.0)), F.coalesce("h", F.lit(0.0)))
-    score = (F.lit(10) + pts(u.rlike(r"/spot/(ex|ev)[0-9]+/"), 50) + pts(u.rlike("/assets/images/event(/|_draft/)"), 50) + pts(F.col("cls").rlike("js-image-view-image"), 40)
-             + pts(F.col("cls").rlike("event|exhibition|spot"), 10) + pts((F.col("alt") != "") & ~F.col("alt").rlike("facebook|twitter|youtube|instagram|logo"), 5)
-             - pts(u.rlike("/shared/"), 20) - pts(u.rlike("/assets/pr/"), 100) - pts(u.rlike(r"ogp\.png"), 100)
-             + F.when(largest >= 200, 15).when(largest >= 100, 5).otherwise(0))
-    small = F.coalesce((F.col("w") > 0) & (F.col("w") < 48), F.lit(False)) | F.coalesce((F.col("h") > 0) & (F.col("h") < 48), F.lit(False))
-    good = step.where(F.col("image_url").isNotNull() & ~small).withColumn("score", score).where(F.col("score") >= 20)
-    return good.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "pos", "image_url")).alias("b")).select(key, "b.image_url", (-F.col("b.s")).alias("score"))
+    best = with_facts(pages.select(key, url, "html")).select(key, F.array_min(scored_images(F.col("_facts.images"), F.col(url))).alias("b"))
+    return best.where(F.col("b").isNotNull()).select(key, "b.image_url", (-F.col("b.s")).alias("score"))
 
 
 def event_images(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """W18. (key, image_url, source): JSON-LD, then og:image, twitter:image, the best <img>."""
-    ld = json_ld_fields(json_ld_nodes(pages, key), pages, key).select(key, F.col("image_url").alias("_ld"))
-    html = best_html_image(pages, key).select(key, F.col("image_url").alias("_html"))
-    metas = pages.select(key, "url", elements(F.col("html"), "meta").alias("_m"))
-    metas = metas.select(key, images.meta_image(meta_content(F.col("_m"), "og:image"), F.col("url")).alias("_og"),
-                         images.meta_image(meta_content(F.col("_m"), "twitter:image"), F.col("url")).alias("_tw"))
+    read = with_facts(pages.select(key, "url", "html")).withColumn("_event", first_event(node_list(F.col("_facts.json_ld"))))
+    m, page = F.col("_facts.metas"), F.col("url")
+    found = read.select(key, event_facts("_event", page)["image_url"].alias("_ld"), images.meta_image(meta_content(m, "og:image"), page).alias("_og"),
+                        images.meta_image(meta_content(m, "twitter:image"), page).alias("_tw"), F.array_min(scored_images(F.col("_facts.images"), page))["image_url"].alias("_html"))
     source = F.when(F.col("_ld").isNotNull(), "jsonld").when(F.col("_og").isNotNull(), "og:image").when(F.col("_tw").isNotNull(), "twitter:image").when(F.col("_html").isNotNull(), "html")
-    return metas.join(ld, key, "left").join(html, key, "left").select(key, F.coalesce("_ld", "_og", "_tw", "_html").alias("image_url"), source.alias("source"))
+    return found.select(key, F.coalesce("_ld", "_og", "_tw", "_html").alias("image_url"), source.alias("source"))
 
 
 def english_title_candidates(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """W20 input: (key, seq, source, value) from og, title, twitter, JSON-LD names and h1."""
-    m = elements(F.col("html"), "meta")
-    fixed = pages.select(key, F.posexplode(F.array(
-        F.struct(F.lit("og:title").alias("source"), meta_content(m, "og:title").alias("value")), F.struct(F.lit("title").alias("source"), strip_tags(inner(F.col("html"), "title")).alias("value")),
-        F.struct(F.lit("twitter:title").alias("source"), meta_content(m, "twitter:title").alias("value")))).alias("n", "x"))
-    # page order within a kind; the kinds come one after the other
-    place = lambda part, *at: F.struct(F.lit(part).alias("part"), *[c.alias(n) for n, c in zip("bij", [*at, F.lit(0), F.lit(0)])]).alias("seq")
-    fixed = fixed.select(key, place(0, F.col("n")), "x.*")
-    names = json_ld_nodes(pages, key).select(key, place(1, F.col("pos.b"), F.col("pos.i"), F.col("pos.j")), F.lit("json-ld name").alias("source"), _str("node", "$.name").alias("value"))
-    heads = pages.select(key, F.posexplode(F.regexp_extract_all(visible_html(F.col("html")), F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"), 1)).alias("i", "h")).select(
-        key, place(2, F.col("i")), F.lit("h1").alias("source"), strip_tags(F.col("h")).alias("value"))
-    return fixed.unionByName(names).unionByName(heads).where(F.col("value").isNotNull())
+    """W20 input: (key, seq, source, value) from og, title, twitter, JSON-LD names and h1, one kind after the other."""
+    m = F.col("_facts.metas")
+    one = lambda part, source, value, n=F.lit(0): F.struct(F.struct(F.lit(part).alias("part"), n.alias("n")).alias("seq"), F.lit(source).alias("source"), value.alias("value"))
+    fixed = F.array(one(0, "og:title", meta_content(m, "og:title")), one(1, "title", F.col("_facts.title")), one(2, "twitter:title", meta_content(m, "twitter:title")))
+    names = F.transform(node_list(F.col("_facts.json_ld")), lambda node, i: one(3, "json-ld name", _str(node, "$.name"), i))
+    heads = F.transform("_facts.h1", lambda h, i: one(4, "h1", h, i))
+    read = with_facts(pages.select(key, "html")).select(key, F.explode(F.concat(fixed, names, heads)).alias("x"))
+    return read.select(key, "x.*").where(F.col("value").isNotNull())
 
 
 # ---- visit facts ---------------------------------------------------------------------------------
