@@ -234,11 +234,13 @@ def detail_records(pages: DataFrame, listing: DataFrame | None = None, key: str
     told["title"] += [(F.col("_h1"), F.lit("h1.title")), (F.col("_title"), F.lit("meta.title"))]
     told["description"].append((F.col("_description"), F.lit("meta.description")))
     for f in listed:
-        told[f].append((F.col("l_" + f).cast("string"), F.lit("listing." + f)))
-    chosen = {f: F.coalesce(*[F.when(strip(v) != "", F.struct(v.alias("value"), s.alias("source"))) for v, s in ways]) for f, ways in told.items()}
-    step = step.select(key, *[c.alias(f) for f, c in chosen.items()])
+        told[f].append((strip(F.col("l_" + f).cast("string")), F.lit("listing." + f)))
+    chosen = {f: F.coalesce(*[F.when(v != "", F.struct(v.alias("value"), s.alias("source"))) for v, s in ways]) for f, ways in told.items()}
+    # a generator leaves empty records out; a filter would be pushed down and compute every field twice
+    whole = F.filter(F.array(F.struct(*[c.alias(f) for f, c in chosen.items()])), lambda r: F.coalesce(*[r[f] for f in DETAIL_FIELDS]).isNotNull())
+    step = step.select(key, F.explode(whole).alias("_r")).select(key, "_r.*")
     sources = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f + ".source").alias("source")) for f in sorted(DETAIL_FIELDS)]), lambda s: s["source"].isNotNull())
-    return step.where(F.coalesce(*DETAIL_FIELDS).isNotNull()).select(key, *[F.col(f + ".value").alias(f) for f in DETAIL_FIELDS], F.map_from_entries(sources).alias("field_sources"))
+    return step.select(key, *[F.col(f + ".value").alias(f) for f in DETAIL_FIELDS], F.map_from_entries(sources).alias("field_sources"))
 
 
 # ---- listing cards -------------------------------------------------------------------------------
