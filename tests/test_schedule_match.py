@@ -41,10 +41,22 @@ def test_timed_groups(spark):
     assert (got[2].groups[0].shown, got[2].hidden, got[2].parent_clock_ok) == (2, 0, False)
 
 
+def test_positions_by_ranges(spark):
+    """A third of the rows on one day, ids a million apart: every range stays small."""
+    rows = [(i * 1_000_003, "hot" if i % 3 == 0 else f"d{i % 50:02d}", None if i % 7 == 0 else i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, day string, h int")
+    out = global_position(df, ["day", "h", "id"], parts=8)
+    got = {r.id: r.pos for r in out.collect()}
+    assert got == {i: n + 1 for n, (i, _, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[2] is not None, r[2] or 0, r[0])))}
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) < 2 * len(rows) / 8 and out.columns == ["id", "day", "h", "pos"]
+    assert global_position(df.limit(0), ["day", "id"]).count() == 0
+
+
 def test_positions_survive_hot_groups(spark):
     rows = [(i, "a" if i % 3 else "b", i % 2) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, g string, h int")
-    got = {r.id: r.pos for r in global_position(df, ["g"], ["h"], "id", block=7).collect()}
+    got = {r.id: r.pos for r in global_position(df, ["g", "h", "id"], parts=7).collect()}
     assert got == {i: n + 1 for n, (i, _, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[2], r[0])))}
     keys = [random.Random(1).choice("xy") for _ in range(100)]
     runs = run_numbers(spark.createDataFrame([(0, i, k) for i, k in enumerate(keys)], "l int, pos long, k string"), ["l"], "pos", "k", "n", block=9)

@@ -38,7 +38,7 @@ def explore(parents: DataFrame, sessions: DataFrame, today: Column, *, free=Fals
         "id", "slug", status, "next_date", "clock",
         F.when(status == "today", 0).when(status == "upcoming", 1).otherwise(2).alias("rank"),
         F.coalesce("next_date", F.lit(NO_DATE)).alias("order_date"), F.coalesce("clock", F.lit(NO_CLOCK)).alias("order_clock"))
-    return global_position(keyed, ["rank", "order_date"], ["order_clock"], "id").drop("rank", "order_date", "order_clock")
+    return global_position(keyed, ["rank", "order_date", "order_clock", "id"]).drop("rank", "order_date", "order_clock")
 
 
 def held_on(parents: DataFrame, sessions: DataFrame, d: Column) -> DataFrame:
@@ -47,7 +47,7 @@ def held_on(parents: DataFrame, sessions: DataFrame, d: Column) -> DataFrame:
     hit = schedule.held_between(events, sessions, d, d).withColumn("day", d)
     timed = schedule.clock_on_day(hit, sessions, "day").withColumn("order_clock", F.coalesce("clock", F.lit(NO_CLOCK)))
     rows = timed.select("id", "slug", "day", "clock", "order_clock")
-    return global_position(rows, ["order_clock"], [], "id").drop("order_clock")
+    return global_position(rows, ["order_clock", "id"]).drop("order_clock")
 
 
 def held_this_weekend(parents: DataFrame, sessions: DataFrame, today: Column) -> DataFrame:
@@ -57,7 +57,7 @@ def held_this_weekend(parents: DataFrame, sessions: DataFrame, today: Column) ->
     first = schedule.next_day(events, sessions, days[0]).where(F.col("next_date") <= days[1]).select("id", F.col("next_date").alias("day"))
     timed = schedule.clock_on_day(events.join(first, "id"), sessions, "day").withColumn("order_clock", F.coalesce("clock", F.lit(NO_CLOCK)))
     rows = timed.select("id", "slug", "day", "clock", "order_clock")
-    return global_position(rows, ["day"], ["order_clock"], "id").drop("order_clock")
+    return global_position(rows, ["day", "order_clock", "id"]).drop("order_clock")
 
 
 def by_slug(parents: DataFrame, slug: str) -> DataFrame:
@@ -100,7 +100,7 @@ def mood_pages(parents: DataFrame, sessions: DataFrame, today: Column, mood: str
         rows = rows.join(hit.select("id"), "id", "left_semi").drop("pos")
         rows = rows.withColumn("rank", F.when(F.col("schedule_status") == "today", 0).otherwise(1)).withColumn(
             "order_clock", F.coalesce("clock", F.lit(NO_CLOCK)))
-        rows = global_position(rows, ["rank", "next_date"], ["order_clock"], "id").drop("rank", "order_clock")
+        rows = global_position(rows, ["rank", "next_date", "order_clock", "id"]).drop("rank", "order_clock")
     total = rows.agg(F.count(F.lit(1)).alias("_total")).scalar()
     page = F.ceil(F.col("pos") / page_size)
     return rows.select("id", "pos", page.alias("page"), F.greatest(total - page * page_size, F.lit(0)).alias("rest"))

@@ -91,15 +91,39 @@ def saveable(relevance: Column) -> Column:
 def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """J16. Adds allowed: the longest matching prefix wins, a tie forbids, no rule allows.
 
-    ``rules(origin, kind allow|disallow, prefix)``. The rules of one origin are one robots file, so they
-    are gathered per origin and each URL meets one row instead of one row per rule."""
-    per_origin = rules.where(F.col("prefix") != "").groupBy("origin").agg(F.collect_set(F.struct("kind", "prefix")).alias("_rules"))
+    ``rules(origin, kind allow|disallow, prefix)``. A path is cut into those of its own prefixes whose lengths its origin
+    has rules of, and these meet the rules by equality, one row a (origin, prefix): an origin with a third of all rules or
+    all URLs is split like any other, and no list of rules is ever gathered. Each (origin, path) is judged once.
+    """
+    size = F.char_length("prefix")
+    known = rules.where(size > 0).groupBy("origin", "prefix").agg(F.bool_or(F.col("kind") == "allow").alias("_allow"), F.bool_or(F.col("kind") == "disallow").alias("_forbid"))
+    lengths = known.groupBy("origin").agg(F.collect_set(size).alias("_sizes"))  # numbers up to the longest prefix
     rows = urls.withColumns({"_origin": F.concat(scheme(F.col(url)), F.lit("://"), host(F.col(url))), "_path": path(F.col(url))})
-    joined = rows.join(per_origin.withColumnRenamed("origin", "_origin"), "_origin", "left")
-    longest = lambda kind: F.coalesce(F.array_max(F.transform(F.filter("_rules", lambda r: (r.kind == kind) & F.col("_path").startswith(r.prefix)),
-                                                              lambda r: F.char_length(r.prefix))), F.lit(-1))
-    return (joined.withColumn("allowed", F.col("_path").isNotNull() & ((longest("disallow") < 0) | (longest("allow") > longest("disallow"))))
-            .drop("_origin", "_path", "_rules"))
+    paths = rows.where(F.col("_path").isNotNull()).select(F.col("_origin").alias("origin"), "_path").distinct().join(lengths, "origin")
+    own = F.transform(F.filter("_sizes", lambda n: n <= F.char_length("_path")), lambda n: F.substring("_path", F.lit(1), n))
+    met = paths.select("origin", "_path", F.explode(own).alias("prefix")).join(known, ["origin", "prefix"])
+    longest = lambda c: F.coalesce(F.max(F.when(F.col(c), size)), F.lit(-1))
+    judged = met.groupBy(F.col("origin").alias("_origin"), "_path").agg(longest("_allow").alias("_a"), longest("_forbid").alias("_f"))
+    fine = F.col("_f").isNull() | (F.col("_f") < 0) | (F.col("_a") > F.col("_f"))
+    return rows.join(judged, ["_origin", "_path"], "left").withColumn("allowed", F.col("_path").isNotNull() & fine).select(*urls.columns, "allowed")
+
+
+def robots_rules(files: DataFrame, agent: str) -> DataFrame:
+    """J16. (origin, kind, prefix) of robots files(origin, text): the rules of the first group that names a part of the
+    agent's name, else of the first group for everyone. Lines of a file are numbered; a line that names an agent starts a
+    group unless it follows another such line; fields other than allow and disallow don't end the names."""
+    line = strip(F.regexp_replace("line", "#.*$", ""))
+    lines = files.select("origin", F.posexplode(F.split("text", "\r?\n")).alias("n", "line")).where(F.contains(line, F.lit(":")))
+    cut = lines.select("origin", "n", F.lower(strip(F.substring_index(line, ":", 1))).alias("field"), strip(F.regexp_replace(line, "^[^:]*:", "")).alias("value"))
+    cut = cut.where(F.col("field").isin("user-agent", "allow", "disallow"))
+    w = Window.partitionBy("origin").orderBy("n")  # the lines of one file
+    opens = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(w), F.lit("")) != "user-agent")
+    grouped = cut.withColumn("_opens", opens.cast("int")).withColumn("_group", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_group > 0")
+    name = F.lower("value")
+    named = grouped.where("field = 'user-agent'").groupBy("origin").agg(
+        F.min(F.when((name != "*") & F.contains(F.lit(agent.lower()), name), F.col("_group"))).alias("_own"), F.min(F.when(name == "*", F.col("_group"))).alias("_any"))
+    mine = named.select("origin", F.coalesce("_own", "_any").alias("_group"))
+    return grouped.where("field <> 'user-agent'").join(mine, ["origin", "_group"]).select("origin", F.col("field").alias("kind"), F.col("value").alias("prefix"))
 
 
 def not_collected(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

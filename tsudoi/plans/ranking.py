@@ -1,8 +1,8 @@
 """Global and hot-group positions without one task holding a whole group.
 
-A window without PARTITION BY, or over a key that owns a third of the rows, sorts everything in one
-task. Here the rows are cut into blocks whose size is bounded; block totals are aggregated first
-(map-side combined), offsets are summed over the small totals, and only the rows of one block meet.
+A window without PARTITION BY, or over a key that owns a third of the rows, sorts everything in one task. Global positions
+come from ranges instead: rows are range-partitioned by the whole order, sorted where they are, and the sizes of the ranges
+become offsets. Runs inside a hot group are numbered in blocks of positions whose size is bounded.
 """
 from __future__ import annotations
 
@@ -11,29 +11,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsudoi.session import cut_lineage
+
 BLOCK = 1_000_000
 
 
-def global_position(df: DataFrame, level1: Sequence[str], level2: Sequence[str], key: str,
-                    out: str = "pos", block: int = BLOCK) -> DataFrame:
-    """1-based position in the order (level1, level2, key).
+def global_position(df: DataFrame, order: Sequence[str], out: str = "pos", parts: int | None = None) -> DataFrame:
+    """1-based position in the order of the columns ``order``, nulls first; together they tell rows apart, or equal rows get
+    positions in any order.
 
-    ``level1`` must have few distinct values (calendar days); ``level2`` refines it; ``key`` is a
-    unique whole number, so (level1, level2, key // block) holds at most ``block`` rows. Sort columns
-    must not be null.
+    The ranges are cut at sampled rows of the whole order, so neither a day that holds a third of the rows nor
+    widely spaced ids make one large. The sorted rows are written once; only one count a range is summed up.
     """
-    one, two = list(level1), [*level2, "_blk"]
-    rows = df.withColumn("_blk", F.floor(F.col(key) / F.lit(block)))
-    totals = rows.groupBy(*one, *two).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*one).orderBy(*two).rowsBetween(Window.unboundedPreceding, -1)
-    inner = totals.select(*one, *two, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o2"))
-    top = totals.groupBy(*one).agg(F.sum("_n").alias("_n"))
-    outer = top.select(*one, F.coalesce(
-        F.sum("_n").over(Window.orderBy(*one).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o1"))
-    offsets = inner.join(outer, one).select(*one, *two, (F.col("_o1") + F.col("_o2")).alias("_off"))
-    rank = F.row_number().over(Window.partitionBy(*one, *two).orderBy(key))
-    return (rows.withColumn("_rn", rank).join(offsets, [*one, *two])
-            .withColumn(out, F.col("_off") + F.col("_rn")).drop("_rn", "_off", "_blk"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = cut_lineage(ranged).withColumn("_range", F.shiftright("_at", 33))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each of ``parts`` ranges
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_before") + place + 1).drop("_range", "_at", "_before")
 
 
 def run_numbers(df: DataFrame, group: Sequence[str], pos: str, key: str, out: str, block: int = BLOCK) -> DataFrame:
