@@ -343,19 +343,59 @@ def save_summaries(summaries: DataFrame, saves: DataFrame) -> DataFrame:
     return upsert(summaries, new, ["event_id"], keep_old_if_null=["bullets"])
 
 
+def open_translation_drafts(translations: DataFrame, drafts: DataFrame, events: DataFrame) -> DataFrame:
+    """M14. The drafts(seq, event_id, locale, forced) that may be saved: the event exists, and a published or hidden
+    translation of that locale stays unless the draft is forced."""
+    prot = translations.where(F.col("status").isin(*PROTECTED)).select("event_id", "locale", F.lit(True).alias("_p"))
+    known = drafts.join(events.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+    return known.join(prot, ["event_id", "locale"], "left").where(F.col("_p").isNull() | F.col("forced")).drop("_p")
+
+
 def save_translations(translations: DataFrame, drafts: DataFrame, events: DataFrame, fields: Sequence[str] = ("title", "summary")) -> DataFrame:
     """M14. Drafts(seq, event_id, locale, forced); protected translations stay unless forced, and a field the
     original leaves empty is emptied. Of several drafts of one (event_id, locale) that may be saved the last wins."""
     src = events.select(F.col("id").alias("event_id"), *[F.col(f).alias("_src_" + f) for f in fields])
-    masked = drafts.join(src, "event_id")
+    masked = open_translation_drafts(translations, drafts, events).join(src, "event_id")
     for f in fields:
         masked = masked.withColumn(f, F.when(F.coalesce(strip(F.col("_src_" + f)), F.lit("")) != "", F.col(f)))
-    prot = translations.where(F.col("status").isin(*PROTECTED)).select("event_id", "locale", F.lit(True).alias("_p"))
-    open_rows = masked.join(prot, ["event_id", "locale"], "left").where(F.col("_p").isNull() | F.col("forced")).withColumn("status", F.lit("draft"))
-    last = top_k(open_rows, ["event_id", "locale"], [F.col("seq").desc()], 1, "_r")
+    last = top_k(masked.withColumn("status", F.lit("draft")), ["event_id", "locale"], [F.col("seq").desc()], 1, "_r")
     return upsert(translations, last.select("event_id", "locale", "status", *fields), ["event_id", "locale"])
 
 
+def said_bullets(bullets: Column, most: int | None = None) -> Column:
+    """Trimmed bullets that say something, the first ``most`` of them."""
+    said = F.filter(F.transform(F.coalesce(bullets, F.array().cast("array<string>")), strip), lambda b: F.coalesce(b != "", F.lit(False)))
+    return said if most is None else F.slice(said, 1, most)
+
+
+# Fixed value: bullets of a summary that are translated.
+TRANSLATED_BULLETS = 5
+
+
+def reaction_translation_outcome(translations: DataFrame, drafts: DataFrame, events: DataFrame, summaries: DataFrame, stored: DataFrame) -> DataFrame:
+    """M14. drafts(seq, event_id, locale, forced, with_reaction, bullets) with summary_id and outcome.
+
+    A reaction translation is only saved together with the event's own (``translations``), from the event's published summary
+    (``summaries``: id, event_id, status, bullets) with bullets; one that is published or hidden (``stored``: summary_id,
+    locale, status, bullets) stays unless forced. An event has one summary; of several published ones the last id counts."""
+    allowed = open_translation_drafts(translations, drafts, events).select("seq", F.lit(True).alias("_open"))
+    shown = summaries.where(F.col("status") == "published").groupBy("event_id").agg(F.max("id").alias("summary_id"), F.max_by("bullets", "id").alias("_said"))
+    old = stored.select("summary_id", "locale", F.col("status").alias("_s"))
+    rows = drafts.join(allowed, "seq", "left").join(shown, "event_id", "left").join(old, ["summary_id", "locale"], "left")
+    outcome = (F.when(~F.coalesce("with_reaction", F.lit(False)), "not_asked").when(F.col("_open").isNull(), "event_translation_refused")
+               .when(F.col("summary_id").isNull(), "no_published_summary").when(F.col("_s").isin(*PROTECTED) & ~F.col("forced"), "refused_protected")
+               .when(F.size(said_bullets(F.col("_said"), TRANSLATED_BULLETS)) == 0, "no_bullets").when(F.col("_s").isNull(), "created_draft").otherwise("saved_draft"))
+    return rows.withColumn("outcome", outcome).select(*drafts.columns, "summary_id", "outcome")
+
+
+def save_reaction_translations(translations: DataFrame, drafts: DataFrame, events: DataFrame, summaries: DataFrame, stored: DataFrame) -> DataFrame:
+    """M14. New version of ``stored``: accepted drafts become draft translations of the summary; the last by seq wins."""
+    rows = reaction_translation_outcome(translations, drafts, events, summaries, stored).where(F.col("outcome").isin("created_draft", "saved_draft"))
+    last = rows.groupBy("summary_id", "locale").agg(F.max_by("bullets", "seq").alias("bullets"))
+    new = last.select("summary_id", "locale", F.lit("draft").alias("status"), said_bullets(F.col("bullets"), TRANSLATED_BULLETS).alias("bullets"))
+    return upsert(stored, new, ["summary_id", "locale"])
+
+
 def backfill_municipality(events: DataFrame) -> DataFrame:
     """M15. Published rows without a municipality get the inferred one; the area stays."""
     step = place.with_municipality(events, out="_m")

@@ -301,6 +301,37 @@ def translation_saves(t):
     return state.save_translations(stored, drafts, c).select("event_id", "status", "summary")
 
 
+def _reaction_tables(t):
+    """Translations, drafts, summaries and stored reaction translations; who has which comes from sizes and linked sessions."""
+    c, one = t.catalogue, F.lit("en")
+    tr = c.where(C("size") > 30).select(C("id").alias("event_id"), one.alias("locale"), F.when(C("size") % 2 == 0, "published").otherwise("draft").alias("status"), "title", "summary")
+    # every order announces a translation of its customer's event; later orders come later
+    drafts = t.incoming.select("seq", C("custkey").alias("event_id"), one.alias("locale"), (C("orderstatus") == "P").alias("forced"), (C("priority") != "5-LOW").alias("with_reaction"),
+                               F.array(C("title"), F.lit(" "), C("venue")).alias("bullets"))
+    summaries = c.where(C("size") % 4 != 0).select((C("id") + 1000000).alias("id"), C("id").alias("event_id"), "status", F.when(C("size") % 7 != 0, F.array(C("title_ja"))).alias("bullets"))
+    stored = c.where(C("size") % 3 == 0).select((C("id") + 1000000).alias("summary_id"), one.alias("locale"), F.when(C("size") % 2 == 0, "hidden").otherwise("draft").alias("status"), F.array(F.lit("old")).alias("bullets"))
+    return tr, drafts, c, summaries, stored
+
+
+REACTION_DRAFTS = """WITH d AS (SELECT i.seq, i.custkey AS event_id, orderstatus = 'P' AS forced, i.title, i.venue, CASE WHEN priority = '5-LOW' THEN 'not_asked'
+ WHEN c.size > 30 AND c.size % 2 = 0 AND orderstatus <> 'P' THEN 'event_translation_refused' WHEN c.status <> 'published' OR c.size % 4 = 0 THEN 'no_published_summary'
+ WHEN c.size % 6 = 0 AND orderstatus <> 'P' THEN 'refused_protected' WHEN c.size % 7 = 0 THEN 'no_bullets' WHEN c.size % 3 = 0 THEN 'saved_draft' ELSE 'created_draft' END AS outcome
+ FROM incoming i JOIN catalogue c ON c.id = i.custkey)"""
+
+
+@query("reaction_translation_outcome", f"{REACTION_DRAFTS} SELECT seq, outcome FROM d")
+def reaction_translation_outcome(t):
+    return state.reaction_translation_outcome(*_reaction_tables(t)).select("seq", "outcome")
+
+
+@query("reaction_translation_saves", f"""{REACTION_DRAFTS}, last AS (SELECT event_id, arg_max(title, seq) AS title, arg_max(coalesce(venue, ''), seq) AS venue FROM d WHERE outcome IN ('saved_draft', 'created_draft') GROUP BY 1)
+SELECT coalesce(l.event_id, c.id) + 1000000 AS summary_id, CASE WHEN l.event_id IS NOT NULL OR c.size % 2 = 1 THEN 'draft' ELSE 'hidden' END AS status,
+ CASE WHEN l.event_id IS NULL THEN 'old' WHEN l.venue = '' THEN trim(l.title) ELSE trim(l.title) || '|' || trim(l.venue) END AS bullets
+FROM (SELECT * FROM catalogue WHERE size % 3 = 0) c FULL JOIN last l ON l.event_id = c.id""")
+def reaction_translation_saves(t):
+    return state.save_reaction_translations(*_reaction_tables(t)).select("summary_id", "status", F.array_join("bullets", "|").alias("bullets"))
+
+
 @query("published_translation", "SELECT id, CASE WHEN size > 20 AND size % 4 <> 0 THEN 'T' || cast(id AS string) ELSE title END AS title, CASE WHEN size > 20 THEN 's' END AS summary_translated FROM catalogue")
 def published_translation(t):
     c = t.catalogue
