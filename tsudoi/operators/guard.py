@@ -106,12 +106,12 @@ def judged_bullets(model: DataFrame, facts: DataFrame) -> DataFrame:
     rows = rows.withColumns({"text": F.substring(strip(F.col("b.text")), 1, 120), "n_sources": F.coalesce("n_sources", F.lit(0))})
     rows = rows.withColumns({"inferred": classify.bullet_theme(F.col("text")), "given": F.col("b.theme")})
     theme = F.when(~F.coalesce(F.col("given").isin(*classify.THEME_ORDER), F.lit(False)), F.col("inferred")).otherwise(F.col("given"))
-    rows = rows.withColumn("theme", theme)
+    rows = rows.withColumns({"theme": theme, "_base": theme})
     specific = (F.col("inferred") != "other") & F.col("theme").isin("other", "enjoyment")
     rows = rows.withColumn("theme", F.when(specific, F.col("inferred")).otherwise(F.col("theme")))
     exp = F.coalesce(F.col("exp")[F.col("theme")], F.lit(0))
     said = F.coalesce(F.when(F.col("b.evidence_count") > 0, F.col("b.evidence_count").cast("int")), F.lit(1))
-    rows = rows.withColumns({"first_hand": exp, "evidence": F.when((F.col("theme") != "other") & (exp > 0), exp).otherwise(said).cast("int")})
+    rows = rows.withColumns({"first_hand": exp, "_said": said.cast("int"), "evidence": F.when((F.col("theme") != "other") & (exp > 0), exp).otherwise(said).cast("int")})
     t, th, few = F.col("text"), F.col("theme"), F.col("n_sources") < FEW_SOURCES
     cited = F.coalesce(F.col("b.cited"), F.array().cast("array<string>"))
     reason = (F.when(few & any_match(t, WRAP_UP), "wrap_up").when(any_match(t, VAGUE) | classify.is_peripheral(t), "peripheral")
@@ -121,16 +121,26 @@ def judged_bullets(model: DataFrame, facts: DataFrame) -> DataFrame:
               .when((th == "other") & ~any_match(t, classify.VISIT_CRITICAL), "other")
               .when(any_match(t, INDOOR_OUTDOOR) & ~F.coalesce("mentions_room", F.lit(False)), "room_not_in_sources")
               .when(~th.isin("other", "recommended_time") & (F.col("first_hand") < 1), "no_first_hand"))
-    rows = rows.withColumn("drop_reason", reason)
+    rows = rows.withColumns({"drop_reason": reason, "_raw": t})
     rows = rows.withColumn("text", F.when(F.col("drop_reason").isNull(), rewrite(t, F.col("evidence"), F.col("n_sources"), th)).otherwise(t))
     some = F.col("evidence") >= 2
     no_photo_words = F.regexp_replace("text", "写真|フォト|撮っ|撮影", "")
     normal = (F.when((th == "photo") & any_match(F.col("text"), classify.THEMES["rain"]), F.when(some, PHOTO_SOME).otherwise(PHOTO_ONE))
               .when((th == "rain") & any_match(F.col("text"), classify.THEMES["photo"]) & ~any_match(no_photo_words, classify.THEMES["rain"]), F.when(some, RAIN_SOME).otherwise(RAIN_ONE))
               .otherwise(F.col("text")))
-    rows = rows.withColumn("text", F.when(F.col("drop_reason").isNull(), normal).otherwise(F.col("text")))
+    rows = rows.withColumns({"_soft": F.col("text"), "text": F.when(F.col("drop_reason").isNull(), normal).otherwise(F.col("text"))})
     strong = F.col("drop_reason").isNull() & few & any_match(F.col("text"), STRONG)
-    return rows.withColumn("drop_reason", F.when(strong, "strong_phrase").otherwise(F.col("drop_reason"))).select("event_id", "pos", "text", "theme", "evidence", "drop_reason")
+    open_, known = F.col("drop_reason").isNull(), th != "other"
+    step = lambda n, cond, *words: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(n).alias("step"), F.concat(*[w if isinstance(w, Column) else F.lit(w) for w in words]).alias("action")))
+    log = F.array_compact(F.array(
+        step(1, (F.col("_base") == "enjoyment") & (th != "enjoyment"), "theme_reconcile_", F.col("_base"), "_to_", th),
+        step(2, known & (F.col("first_hand") > 0) & (F.col("_said") > F.col("first_hand")), "evidence_capped_", th),
+        step(2, known & (F.col("first_hand") > 0) & (F.col("_said") < F.col("first_hand")), "evidence_raised_", th),
+        step(2, known & (F.col("first_hand") == 0) & (th != "enjoyment"), "no_experience_evidence_", th),
+        step(3, ~open_, "drop_", F.col("drop_reason")), step(4, open_ & (F.col("_soft") != F.col("_raw")), "soften_bullet"),
+        step(5, open_ & (F.col("text") != F.col("_soft")), "normalize_", th, "_bullet"), step(6, strong, "drop_strong_phrase")))
+    rows = rows.withColumn("log", log)
+    return rows.withColumn("drop_reason", F.when(strong, "strong_phrase").otherwise(F.col("drop_reason"))).select("event_id", "pos", "text", "theme", "evidence", "drop_reason", "log")
 
 
 def _injected(model: DataFrame, facts: DataFrame, kept: DataFrame) -> DataFrame:
@@ -147,39 +157,85 @@ def _injected(model: DataFrame, facts: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.select("event_id", F.explode(F.array_compact(F.array(*items))).alias("x")).select("event_id", "x.*")
 
 
+def _signal(key: str) -> tuple[Column, Column, Column]:
+    """What the model said of a signal, the first-hand posts on it, and the polarity of the sources."""
+    said = F.coalesce(F.when(F.col("signals")[key].isin("positive", "negative", "mixed", "neutral", "unknown"), F.col("signals")[key]), F.lit("unknown"))
+    return said, F.coalesce(F.col("exp")[key], F.lit(0)), F.coalesce(F.col("polarity")[key], F.lit("unknown"))
+
+
+def _opposite(said: Column, derived: Column) -> Column:
+    return ((said == "positive") & (derived == "negative")) | ((said == "negative") & (derived == "positive"))
+
+
 def _aligned(key: str) -> Column:
     """One signal: model polarity against first-hand evidence."""
-    said = F.coalesce(F.when(F.col("signals")[key].isin("positive", "negative", "mixed", "neutral", "unknown"), F.col("signals")[key]), F.lit("unknown"))
-    n, derived = F.coalesce(F.col("exp")[key], F.lit(0)), F.coalesce(F.col("polarity")[key], F.lit("unknown"))
+    said, n, derived = _signal(key)
     clear = said.isin("positive", "negative", "mixed")
-    opposite = ((said == "positive") & (derived == "negative")) | ((said == "negative") & (derived == "positive"))
     return (F.when(n < 2, F.when(clear | (n < 1), "unknown").otherwise(said)).when(said == "unknown", F.when(derived == "unknown", "neutral").otherwise(derived))
-            .when(clear & (opposite | (derived == "mixed")), "mixed").otherwise(said))
+            .when(clear & (_opposite(said, derived) | (derived == "mixed")), "mixed").otherwise(said))
 
 
-def guard_summaries(model: DataFrame, sources: DataFrame) -> DataFrame:
-    """M19. model(event_id, bullets array<struct<text,theme,evidence_count,cited>>, signals map, recommended_time,
-    recommended_evidence, confidence) checked against sources(event_id, excerpt, class)."""
+def _guarded(model: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M19. The judged bullets, the pool that one bullet a theme is chosen from, and a row for each event with the chosen
+    bullets (_b), those left after near copies went (_clean), the evidence for the recommended time (_rec) and the facts."""
     # both are read several times below and are small: a row per event, at most ten bullets each
     facts = cut_lineage(evidence_of(sources))
     judged = cut_lineage(judged_bullets(model, facts))
-    kept = judged.where(F.col("drop_reason").isNull()).drop("drop_reason")
-    chosen = one_per_theme(kept.unionByName(_injected(model, facts, kept)))
-    lists = chosen.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("slot", "text", "theme", "evidence"))).alias("_b"))
+    kept = judged.where(F.col("drop_reason").isNull()).drop("drop_reason", "log")
+    pool = kept.unionByName(_injected(model, facts, kept))
+    lists = one_per_theme(pool).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("slot", "text", "theme", "evidence"))).alias("_b"))
     out = model.join(facts, "event_id", "left").join(lists, "event_id", "left")
     rec_first = F.coalesce(F.col("exp")["recommended_time"], F.lit(0))
-    rec = F.least(rec_first, F.coalesce("recommended_evidence", rec_first))
-    clean = near_copy_fold(F.coalesce("_b", F.array().cast("array<struct<slot:int,text:string,theme:string,evidence:int>>")))
+    none = F.array().cast("array<struct<slot:int,text:string,theme:string,evidence:int>>")
+    out = out.withColumns({"_b": F.coalesce("_b", none), "_rec": F.least(rec_first, F.coalesce("recommended_evidence", rec_first))})
+    return judged, pool, out.withColumn("_clean", near_copy_fold(F.col("_b")))
+
+
+def _confidence() -> tuple[Column, Column]:
+    given = F.when(F.col("confidence").isin("low", "medium", "high"), F.col("confidence")).otherwise("low")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return given, confidence_cap(given, zero(F.col("n_sources")), zero(F.col("n_experience")))
+
+
+def guard_summaries(model: DataFrame, sources: DataFrame) -> DataFrame:
+    """M19. model(event_id, bullets array<struct<text,theme,evidence_count,cited>>, signals map, recommended_time,
+    recommended_evidence, confidence) checked against sources(event_id, excerpt, class)."""
+    _, _, out = _guarded(model, sources)
     note = F.array(F.struct(F.lit(1).alias("slot"), F.lit(LOW_SOURCE_NOTE).alias("text"), F.lit("other").alias("theme"), F.lit(0).alias("evidence")))
-    out = out.withColumn("_kept", clean).withColumn("_kept", F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(note))
-    out = out.withColumn("_rec", rec)
+    out = out.withColumn("_kept", F.when(F.size("_clean") > 0, F.col("_clean")).otherwise(note))
     bullets = F.filter("_kept", lambda b: (F.col("_rec") >= 2) | (b.theme != "recommended_time"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         "event_id", F.transform(bullets, lambda b: b.text).alias("bullets"), F.transform(bullets, lambda b: b.theme).alias("themes"),
         F.create_map(*[x for k in SIGNALS for x in (F.lit(k), _aligned(k))]).alias("signals"),
         F.when(F.col("_rec") >= 2, F.nullif(F.substring(strip(F.col("recommended_time")), 1, 40), F.lit(""))).alias("recommended_time"),
-        confidence_cap(F.when(F.col("confidence").isin("low", "medium", "high"), F.col("confidence")).otherwise("low"), zero(F.col("n_sources")), zero(F.col("n_experience"))).alias("confidence"))
+        _confidence()[1].alias("confidence"))
+
+
+def guard_actions(model: DataFrame, sources: DataFrame) -> DataFrame:
+    """M19. (event_id, step, action, n): what the guard did to a summary, in order of its steps, each action once with how
+    often it was taken: 1 theme, 2 evidence, 3 drop, 4 soften, 5 normalise, 6 strong phrase, 7 inject, 8 one bullet a theme,
+    9 near copies, 10 low-source note, 11 signals, 12 recommended time, 13 confidence."""
+    judged, pool, out = _guarded(model, sources)
+    told = judged.select("event_id", F.explode("log").alias("x")).select("event_id", "x.step", "x.action")
+    injected = pool.where("pos >= 100").select("event_id", F.lit(7).alias("step"), F.concat(F.lit("inject_"), "theme", F.lit("_bullet"), F.when(F.col("evidence") == 1, "_single").otherwise("")).alias("action"))
+    doubles = pool.groupBy("event_id", "theme").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    doubles = doubles.select("event_id", F.lit(8).alias("step"), F.concat(F.lit("drop_duplicate_theme_"), "theme").alias("action"), F.explode(F.sequence(F.lit(2), "_n"))).drop("col")
+    item = lambda n, cond, action: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(n).alias("step"), action.alias("action")))
+    items = [item(10, F.size("_clean") == 0, F.lit("fallback_low_source_note"))]
+    for key in SIGNALS:
+        said, n, derived = _signal(key)
+        clear, enough = said.isin("positive", "negative", "mixed"), n >= 2
+        name = lambda end: F.concat(F.lit(f"signal_{key}_"), end)
+        items += [item(11, ~enough & clear, name(F.concat(F.lit("cleared_low_experience_"), n.cast("string")))), item(11, enough & (said == "unknown"), name(F.lit("aligned_from_evidence"))),
+                  item(11, enough & _opposite(said, derived), name(F.lit("conflict_mixed"))), item(11, enough & said.isin("positive", "negative") & (derived == "mixed"), name(F.lit("aligned_mixed")))]
+    thin, (given, capped) = F.col("_rec") < 2, _confidence()
+    shown = F.coalesce(F.nullif(strip(F.col("recommended_time")), F.lit("")).isNotNull(), F.lit(False))
+    items += [item(12, thin & shown, F.lit("recommended_time_cleared")), item(12, thin & F.exists("_clean", lambda b: b.theme == "recommended_time"), F.lit("drop_recommended_time_bullet")),
+              item(13, given != capped, F.concat(F.lit("confidence_capped_"), given, F.lit("_to_"), capped))]
+    copies = F.transform(F.sequence(F.lit(1), F.size("_b") - F.size("_clean")), lambda _: F.struct(F.lit(9).alias("step"), F.lit("dedupe_bullets").alias("action")))
+    every = F.concat(F.array_compact(F.array(*items)), F.when(F.size("_b") > F.size("_clean"), copies).otherwise(F.array().cast("array<struct<step:int,action:string>>")))
+    whole = out.select("event_id", F.explode(every).alias("x")).select("event_id", "x.step", "x.action")
+    return told.unionByName(injected).unionByName(doubles).unionByName(whole).groupBy("event_id", "step", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Polarity to stored signal; the crowd mapping is the source system's own.

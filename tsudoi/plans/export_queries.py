@@ -153,6 +153,11 @@ def reaction_guard(t):
     return g.select("event_id", F.array_join("themes", ",").alias("themes"), F.array_join("bullets", "|").alias("bullets"), C("signals")["crowd"].alias("crowd"), C("signals")["rain"].alias("rain"), "recommended_time", "confidence")
 
 
+@query("reaction_guard_log")
+def reaction_guard_log(t):
+    return guard.guard_actions(model_output(t), recent_twenty(t)).select("event_id", "step", "action", "n")
+
+
 @query("stored_signals", """SELECT id, CASE size % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' END AS crowd_level, CASE size % 5 WHEN 0 THEN true WHEN 1 THEN false END AS family, CASE size % 5 WHEN 0 THEN 'short' WHEN 1 THEN 'long' WHEN 2 THEN 'medium' END AS wait_time,
  CASE size % 5 WHEN 0 THEN '混雑傾向|家族で楽しむ|待ち時間短め' WHEN 1 THEN '比較的ゆったり|待ち時間長め' WHEN 2 THEN 'やや混雑|待ち時間あり' ELSE '' END AS labels FROM catalogue""")
 def stored_signals(t):
