@@ -64,3 +64,20 @@ def test_colons_and_comment_headers(spark):
                         (4, "Copyright 2020 X\nLicensed under the\nMIT License")])
     assert got[1] == (["mit_name"], ["MIT"], 0) and got[2] == (["apache2_name"], ["Apache-2.0"], 0)
     assert got[3] == (["mit_grant", "mit_notice", "as_is_mit", "no_liability_mit"], ["MIT"], 0) and got[4] == (["mit_name"], ["MIT"], 0)
+
+
+def test_sql_agrees(spark):
+    """The SQL of the query on texts with SPDX lines, wrapped sentences, comment headers and repeated names."""
+    import duckdb
+    import pandas as pd
+
+    from tsudoi.llm.queries import ORACLES
+    header = "".join(f" * {line}".rstrip() + "\n" for line in MIT.splitlines()[2:])
+    rows = [(1, "// SPDX-License-Identifier: MIT\n#include <x>"), (2, "Name: x\nLicense: Apache-2.0\nVersion: 1"), (3, f"/*\n{header} */\nint x;"), (4, "Copyright 2020 X\nLicensed under the\nMIT License"),
+            (5, MIT), (6, GPL), (7, "MIT License\nMIT License\nThis program is free software: you can redistribute it"), (8, None), (9, ""), (10, "All rights\nreserved. Licence: MIT License: all rights reserved"),
+            (11, "Licensed under the Apache License, Version 2.0; you may obtain a copy of the License at\n http://x"), (12, "MIT\n\nLicense:\n\n \tApache-2.0")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = found(spark, rows)
+    want = {i: (s.split(",") if s else [], l.split(",") if l else [], u) for i, s, l, u in con.execute(ORACLES["op7_license_scans"]).fetchall()}
+    assert got == want and sum(bool(s) for s, _, _ in want.values()) >= 8

@@ -133,9 +133,10 @@ ORACLES["op6_secret_scans"] = span_sql([
 
 
 def license_sql() -> str:
-    """Sentences, then lines of unknown ones, by SQL lists; each rule replaces what it matches in the text of identifiers."""
+    """Segments between hard breaks, as lists of what stands between soft ones; of the known sentences that start at a place the
+    longest counts, and the next may start after it. Each rule replaces what it matches in the text of identifiers."""
     known = ", ".join(f"('{t}', '{i}')" for i, every in license_scan.SENTENCES.items() for t in every)
-    norm = "trim(regexp_replace(lower({}), '[^a-z0-9+]+', ' ', 'g'))".format
+    most = max(len(t.split()) for every in license_scan.SENTENCES.values() for t in every)
     steps, left, found = "", "q", []
     for n, (name, ids) in enumerate(license_scan.RULES):
         p = license_scan.pattern(ids)
@@ -145,12 +146,14 @@ def license_sql() -> str:
     # a licence stands where its first matching rule stands
     pairs = ", ".join(f"l{n}" for _, n in found)
     return f"""
-WITH known(t, id) AS (VALUES {known}), d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-sent AS (SELECT doc_id, i, s[i] AS raw FROM (SELECT doc_id, regexp_split_to_array(t, '[.!?;:]\\s+|\\n\\s*\\n') AS s FROM d), unnest(generate_series(1, len(s))) AS g(i)),
-whole AS (SELECT doc_id, i, 0 AS j, id, raw FROM sent LEFT JOIN known ON {norm('raw')} = known.t),
-line AS (SELECT doc_id, i, j, l[j] AS raw FROM (SELECT doc_id, i, string_split(raw, chr(10)) AS l FROM whole WHERE id IS NULL AND contains(raw, chr(10))), unnest(generate_series(1, len(l))) AS g(j)),
-met AS (SELECT doc_id, i, j, id FROM whole WHERE id IS NOT NULL UNION ALL SELECT doc_id, i, j, id FROM line JOIN known ON {norm('raw')} = known.t),
-ids AS (SELECT d.doc_id, string_agg(id, ',' ORDER BY i, j) AS sentences, coalesce(string_agg('<' || id || '>', '' ORDER BY i, j), '') AS q FROM d LEFT JOIN met ON d.doc_id = met.doc_id GROUP BY d.doc_id)
+WITH RECURSIVE known(t, id) AS (VALUES {known}), d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+seg AS (SELECT rn, s, x[s] AS raw FROM (SELECT rn, regexp_split_to_array(t, '[.!?;][\\s\\x0B]+|\\n[\\s\\x0B*#/]*\\n') AS x FROM d), unnest(generate_series(1, len(x))) AS g(s)),
+atom AS MATERIALIZED (SELECT rn, s, list_filter(list_transform(regexp_split_to_array(raw, ':[\\s\\x0B]+|\\n'), lambda y: trim(regexp_replace(y, '[^a-z0-9+]+', ' ', 'g'))), lambda y: y <> '') AS a FROM seg),
+run AS (SELECT rn, s, i, i + k AS j, array_to_string(a[i:i + k], ' ') AS t FROM atom, unnest(generate_series(1, len(a))) AS g(i), unnest(generate_series(0, least({most}, len(a) - i))) AS h(k) WHERE len(a) > 0),
+best AS MATERIALIZED (SELECT rn, s, i, j, id FROM run JOIN known ON known.t = run.t QUALIFY row_number() OVER (PARTITION BY rn, s, i ORDER BY j DESC) = 1),
+pick AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY rn, s ORDER BY i) = 1
+ UNION ALL SELECT * FROM (SELECT b.* FROM pick p JOIN best b ON b.rn = p.rn AND b.s = p.s AND b.i > p.j QUALIFY row_number() OVER (PARTITION BY b.rn, b.s ORDER BY b.i) = 1)),
+ids AS (SELECT d.rn, any_value(doc_id) AS doc_id, string_agg(id, ',' ORDER BY s, i) AS sentences, coalesce(string_agg('<' || id || '>', '' ORDER BY s, i), '') AS q FROM d LEFT JOIN pick ON d.rn = pick.rn GROUP BY d.rn)
 {steps}
 SELECT doc_id, coalesce(sentences, '') AS sentences, array_to_string(list_transform(list_filter([{pairs}], lambda x, i: x IS NOT NULL AND list_position([{pairs}], x) = i), lambda x: x), ',') AS licenses,
        CAST(len(regexp_extract_all({left}, '<')) AS BIGINT) AS unmatched FROM r{len(license_scan.RULES) - 1}
