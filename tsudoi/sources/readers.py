@@ -1,8 +1,12 @@
 """Readers and sinks."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import csv
+import io
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +22,59 @@ OPEN_DATA_COLUMNS = {"ページタイトル": "title", "ページURL": "official
                      "問い合わせ先電話番号1": "phone", "問い合わせ先フリー入力": "contact_free"}
 
 
-def csv_encoding(spark: SparkSession, path: str, expected: str = "ページタイトル") -> str:
-    """UTF-8 when the expected header is readable in the first line, else Shift_JIS. Reads one line."""
-    head = spark.read.text(path).limit(1).head()
-    return "UTF-8" if head and expected in head[0] else "Shift_JIS"
+EXPECTED_HEADER = "ページタイトル"
+LINKS = tuple(f"関連リンクURL{i}" for i in range(1, 6))
+
+
+def decoded(content: bytes, encoding: str | None = None, expected: str = EXPECTED_HEADER) -> str:
+    """The text of one file: UTF-8 if it is that and its first line holds the expected header, else Shift_JIS."""
+    if encoding is None:
+        try:
+            text = content.decode("utf-8-sig")
+            if expected in text.split("\n", 1)[0]:
+                return text
+        except UnicodeDecodeError:
+            pass
+    # the code page is Shift_JIS with the letters that files in practice hold
+    name = "cp932" if encoding is None or encoding.lower().replace("-", "_") in ("shift_jis", "sjis", "cp932") else "utf-8-sig" if encoding.upper() == "UTF-8" else encoding
+    return content.decode(name, errors="replace")
+
+
+def csv_records(files: DataFrame, columns: Mapping[str, str], lists: Mapping[str, Sequence[str]], encoding: str | None = None, rows: int = 4096) -> DataFrame:
+    """files(path, content) to (path, line, a string for each of ``columns``, an array for each of ``lists``): records of
+    quoted CSV, cut as RFC 4180 says, so a field may hold line ends. Columns go by the header of their own file; ``line`` numbers
+    the records of a file. A file is read by one task, a bounded number of records at a time."""
+    names = [*columns.values()]
+    schema = ", ".join(["path string", "line long", *[f"`{n}` string" for n in names], *[f"`{n}` array<string>" for n in lists]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                reader = csv.reader(io.StringIO(decoded(content.as_py(), encoding), newline=""))
+                place = {h.replace("\ufeff", "").strip(): i for i, h in reversed([*enumerate(next(reader, []))])}
+                at = [place.get(h, -1) for h in columns]
+                many = [[place[h] for h in hs if h in place] for hs in lists.values()]
+                held: list[tuple[int, list[str]]] = []
+                for line, record in enumerate(chain(reader, [None])):
+                    if record:
+                        held.append((line, record))
+                    if held and (record is None or len(held) >= rows):
+                        cell = lambda r, i: r[i] if 0 <= i < len(r) else None
+                        arrays = [pa.array([path] * len(held)), pa.array([n for n, _ in held], pa.int64())]
+                        arrays += [pa.array([cell(r, i) for _, r in held], pa.string()) for i in at]
+                        arrays += [pa.array([[cell(r, i) for i in some] for _, r in held], pa.list_(pa.string())) for some in many]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["path", "line", *names, *lists])
+                        held = []
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def read_open_data(spark: SparkSession, path: str, today: Column, encoding: str | None = None) -> DataFrame:
-    """S1. Quoted multi-line CSV with a header row, columns by name, dates and rules added."""
-    encoding = encoding or csv_encoding(spark, path)
-    if encoding.upper() != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 reads Shift_JIS only under this setting
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
-    named = {c.replace("﻿", "").strip(): c for c in raw.columns}
-    cols = [clean_text(F.col(f"`{named[h]}`")).alias(n) if h in named else F.lit(None).cast("string").alias(n) for h, n in OPEN_DATA_COLUMNS.items()]
-    links = [clean_text(F.col(f"`{named[h]}`")) for h in (f"関連リンクURL{i}" for i in range(1, 6)) if h in named]
-    df = raw.select(*cols, F.array_compact(F.array(*links)).alias("related_urls") if links else F.array().cast("array<string>").alias("related_urls"))
+    """S1. Quoted multi-line CSV with a header row, columns by name, dates and rules added. A folder may hold UTF-8 and
+    Shift_JIS copies: each file is decoded by itself, and no setting of the session changes."""
+    raw = csv_records(spark.read.format("binaryFile").load(path), OPEN_DATA_COLUMNS, {"links": LINKS}, encoding)
+    cols = [clean_text(F.col(n)).alias(n) for n in OPEN_DATA_COLUMNS.values()]
+    df = raw.select(*cols, F.array_compact(F.transform("links", clean_text)).alias("related_urls"))
     df = df.where(F.col("title").isNotNull() | F.col("official_url").isNotNull())
     df = df.withColumns({
         "dates": feeddates.open_data_dates(F.col("raw_date"), F.col("raw_date_detail")), "category": F.nullif(F.concat_ws(" / ", "category_0", "category_1", "category_2"), F.lit("")),
