@@ -119,25 +119,23 @@ def upsert_dedupe_reviews(reviews: DataFrame, incoming: DataFrame) -> DataFrame:
 def field_diffs(proposed: DataFrame, current: DataFrame) -> DataFrame:
     """M4. Long diffs of proposed(event_id, source_name, source_url, seq, fields...) against current(id, fields...).
 
-    The wide rows meet once on the event; the diffs are an array built in one projection, so the fields are
-    never shuffled one by one. A null proposal proposes nothing."""
+    The current side is made canonical once per event, before the join; of a proposal only the fields whose raw value is
+    another one. The wide rows meet once on the event; the diffs are an array built in one projection, so the fields are never
+    shuffled one by one. A null proposal proposes nothing."""
     fields = [f for f in canon.REVIEWABLE if f in proposed.columns and f in current.columns]
-    step = proposed.join(current.select(F.col("id").alias("event_id"), *[F.col(f).alias("_c_" + f) for f in fields]), "event_id")
-    wide = {}
-    for f in fields:
-        for side, col in (("p", F.col(f)), ("c", F.col("_c_" + f))):
-            wide[f"_{side}s_{f}"] = canon.canonical(f, col, "store")
-    step = step.withColumns(wide)
-    compare = {}
-    for f in fields:
-        for side in "pc":
-            compare[f"_{side}k_{f}"] = canon.canonical_json(f, canon.canonical(f, F.col(f"_{side}s_{f}"), "compare"))
-    step = step.withColumns(compare)
+    raw = lambda f, col: col if canon.FIELD_KINDS[f] == "tags" else col.cast("string")
+    now = current.select(F.col("id").alias("event_id"), *[raw(f, F.col(f)).alias("_r_" + f) for f in fields], *[canon.canonical(f, F.col(f), "store").alias("_cs_" + f) for f in fields])
+    now = now.select("event_id", *["_r_" + f for f in fields], *[canon.canonical_json(f, F.col("_cs_" + f)).alias("_cs_" + f) for f in fields],
+                     *[canon.canonical_json(f, canon.canonical(f, F.col("_cs_" + f), "compare")).alias("_ck_" + f) for f in fields])
+    step = proposed.join(now, "event_id")
+    other = lambda f: F.col(f).isNotNull() & ~raw(f, F.col(f)).eqNullSafe(F.col("_r_" + f))
+    step = step.withColumns({"_ps_" + f: F.when(other(f), canon.canonical(f, F.col(f), "store")) for f in fields})
+    step = step.withColumns({"_pk_" + f: F.when(F.col("_ps_" + f).isNotNull(), canon.canonical_json(f, canon.canonical(f, F.col("_ps_" + f), "compare"))) for f in fields})
 
     def diff(f: str) -> Column:
         p, c = F.col("_pk_" + f), F.col("_ck_" + f)
         return F.when(p.isNotNull() & ~p.eqNullSafe(c), F.struct(
-            F.lit(f).alias("field_name"), canon.canonical_json(f, F.col("_cs_" + f)).alias("current_value"), canon.canonical_json(f, F.col("_ps_" + f)).alias("proposed_value"),
+            F.lit(f).alias("field_name"), F.col("_cs_" + f).alias("current_value"), canon.canonical_json(f, F.col("_ps_" + f)).alias("proposed_value"),
             canon.proposal_hash(f, p).alias("proposal_hash"), F.concat(F.lit(f), F.when(c.isNull(), ": null → value").otherwise(": value changed")).alias("reason")))
 
     return step.select("seq", "event_id", "source_name", "source_url", F.explode(F.array_compact(F.array(*[diff(f) for f in fields]))).alias("d")).select(
