@@ -5,8 +5,9 @@ unlabelled text clean is corrected by the class prior p: R = p * R_P(+) + max(0,
 goes below zero the step goes back on it (Kiryo et al. 2017). The model is linear in hashed presence features: words and
 word beginnings, so inflected forms share weight. Features are first screened by their contrast between the two samples.
 
-The learning sample is bounded by ``positives`` and ``unlabelled`` rows, chosen by hash of the id, and is all that reaches
-the driver. Scoring reads every whole text in one pass without a shuffle.
+The learning sample is bounded by ``positives`` and ``unlabelled`` ids, chosen by hash of the id, with one text each. The
+model holds the ``MOST`` features of clearest contrast at most; counts of features and each text's chosen features are all that
+reaches the driver. Scoring reads every whole text in one pass without a shuffle.
 """
 from __future__ import annotations
 
@@ -19,11 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsudoi.llm.common import Words, fresh, mixed, slices, word_table
+from tsudoi.llm.common import Words, checkpointed, fresh, mixed, slices, word_table
 
 BITS, BEGINNINGS = 20, (4, 5, 6)
 FLAGS = word_table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
-POSITIVES, UNLABELLED = 4_000, 8_000
+POSITIVES, UNLABELLED, MOST = 4_000, 8_000, 6_000
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,29 +55,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(p_rows: list[np.ndarray], u_rows: list[np.ndarray], prior: float, most: int = 6000, least: int = 3, z: float = 3.5,
-        steps: int = 400, rate: float = 0.1, decay: float = 0.02) -> Model:
-    """nnPU with logistic loss, full-batch Adam over the screened features; decay: weight decay times positives. No positives: a model that scores all zero."""
+def screened(feature: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, most: int = MOST, least: int = 3, z: float = 3.5) -> np.ndarray:
+    """The features whose shares in the two samples differ by ``z`` standard errors, the ``most`` clearest ones."""
+    rate_all = (in_p + in_u) / (n_p + n_u)
+    gap = in_p / n_p - in_u / n_u
+    contrast = gap / np.sqrt(np.maximum(rate_all * (1 - rate_all), 1e-9) * (1 / n_p + 1 / n_u))
+    fine = np.flatnonzero((np.abs(contrast) >= z) & (in_p + in_u >= least))
+    fine = fine[np.lexsort((feature[fine], -np.abs(contrast[fine])))[:most]]
+    return feature[fine]
+
+
+def fit(p_rows: list[np.ndarray], u_rows: list[np.ndarray], chosen: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 0.02) -> Model:
+    """nnPU with logistic loss, full-batch Adam over the chosen features; rows hold positions in ``chosen``; decay: weight
+    decay times positives. No positives: a model that scores all zero."""
     weights = np.zeros(1 << BITS)
     if not p_rows or not u_rows:
         return Model(weights, -30.0)
     n_p, n_u = len(p_rows), len(u_rows)
-    in_p = np.bincount(np.concatenate(p_rows), minlength=1 << BITS)
-    in_u = np.bincount(np.concatenate(u_rows), minlength=1 << BITS)
-    rate_all = (in_p + in_u) / (n_p + n_u)
-    gap = in_p / n_p - in_u / n_u
-    contrast = gap / np.sqrt(np.maximum(rate_all * (1 - rate_all), 1e-9) * (1 / n_p + 1 / n_u))
-    chosen = np.flatnonzero((np.abs(contrast) >= z) & (in_p + in_u >= least))
-    chosen = chosen[np.argsort(-np.abs(contrast[chosen]), kind="stable")[:most]]
     if not len(chosen):
         return Model(weights, float(np.log(prior / (1 - prior))))
-    place = np.full(1 << BITS, -1)
-    place[chosen] = np.arange(len(chosen))
 
     def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        each = [place[x] for x in rows]
-        each = [c[c >= 0] for c in each]  # few features are chosen, so little stays
-        return np.repeat(np.arange(len(rows)), [len(c) for c in each]), np.concatenate(each)
+        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
     (pr, pc), (ur, uc) = matrix(p_rows), matrix(u_rows)
     w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
@@ -104,21 +104,47 @@ def learning_row(id_col: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % folds != 0, F.lit(False))
 
 
-def sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list[np.ndarray]:
-    """Features of the texts of a bounded set of ids (its bound is the caller's), in order of id."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def sampled(docs: DataFrame, confirmed: DataFrame, anyone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(i, t, p, u): one text of each chosen id, the smallest of those that repeat it, and which sample it is in."""
+    flags = confirmed.select("i", F.lit(1).alias("p"), F.lit(0).alias("u")).unionAll(anyone.select("i", F.lit(0).alias("p"), F.lit(1).alias("u")))
+    flags = flags.groupBy("i").agg(F.max("p").alias("p"), F.max("u").alias("u"))  # a bounded set of ids
+    texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).where("i is not null")
+    found = texts.join(F.broadcast(flags), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("p").alias("p"), F.max("u").alias("u"))
+    return checkpointed(found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def learned(rows: DataFrame, prior: float) -> Model:
+    """Trains on rows(i, t, p, u). Features are counted and screened before rows are collected, so the driver holds one
+    count a feature and a few numbers a text."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             for part in slices(batch, "t"):
                 row, feature = features(part.column("t"))
-                cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(feature.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("i"), lists], names=["i", "f"])
-    texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).where("i is not null")
-    found = texts.join(F.broadcast(ids), "i", "left_semi").mapInArrow(run, f"i {kind}, f array<int>").toArrow()
-    found = found.sort_by("i").column("f")
-    return [x.values.to_numpy() for chunk in found.chunks for x in chunk]
+                for k, name in enumerate(("p", "u")):
+                    n[k] += np.bincount(feature[part.column(name).to_numpy()[row] > 0], minlength=1 << BITS).astype(np.int32)
+        some = np.flatnonzero(n.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[0][some].astype(np.int64)), pa.array(n[1][some].astype(np.int64))], names=["f", "p", "u"])
+    sizes = rows.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("u"), F.lit(0)).alias("u")).first()
+    if not sizes["p"] or not sizes["u"]:
+        return fit([], [], np.zeros(0, np.int64), prior)
+    found = rows.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p + u >= 3").toArrow()
+    chosen = np.sort(screened(*(found.column(c).to_numpy() for c in ("f", "p", "u")), sizes["p"], sizes["u"]))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                row, feature = features(part.column("t"))
+                at = np.minimum(np.searchsorted(chosen, feature), max(0, len(chosen) - 1))
+                mine = chosen[at] == feature if len(chosen) else np.zeros(len(feature), bool)
+                row, at = row[mine], at[mine]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32()), pa.array(at.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("p"), part.column("u"), lists], names=["i", "p", "u", "f"])
+    kind = rows.schema["i"].dataType.simpleString()
+    got = rows.mapInArrow(pick, f"i {kind}, p int, u int, f array<int>").toArrow().sort_by("i")
+    each = [x.values.to_numpy() for chunk in got.column("f").chunks for x in chunk]
+    side = lambda name: [each[k] for k in np.flatnonzero(got.column(name).to_numpy())]
+    return fit(side("p"), side("u"), chosen, prior)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -127,11 +153,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     mine = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("int").alias("y")).where(learning_row(F.col("i"), folds)).where("y in (0, 1)")
     share = mine.agg(F.avg("y")).first()[0]
     if not share:
-        return fit([], [], 0.0)
+        return fit([], [], np.zeros(0, np.int64), 0.0)
     order = F.xxhash64(F.col("i"), F.lit("toxicity"))
     confirmed = mine.where("y = 1").select("i").distinct().orderBy(order, "i").limit(positives)
     anyone = docs.select(F.col(f"`{id_col}`").alias("i")).where(learning_row(F.col("i"), folds)).distinct().orderBy(order, "i").limit(unlabelled)
-    return fit(sample(docs, confirmed, id_col, text_col), sample(docs, anyone, id_col, text_col), min(share, 0.99))
+    return learned(sampled(docs, confirmed, anyone, id_col, text_col), min(share, 0.99))
 
 
 def scored(docs: DataFrame, model: Model, columns: list[str], score: str, text_col: str = "text") -> DataFrame:
@@ -156,7 +182,8 @@ def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of docs that score below the threshold, with their columns."""
+    """The rows of docs that score below the threshold, with their columns, extra ones too. Null and empty texts score by the
+    bias alone; very long ones are read whole; repeated rows fare alike; without labels nothing goes."""
     score = fresh(docs, "score_")
     model = learn(docs, labels, id_col, **options)
     return scored(docs, model, docs.columns, score, options.get("text_col", "text")).where(F.col(score) < threshold).drop(score)
