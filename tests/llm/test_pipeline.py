@@ -3,7 +3,7 @@ import importlib.util
 import corpus_pipeline
 from tests.llm import cases
 from tests.llm.test_decontaminate import plain as contaminated
-from tests.llm.test_simhash import plain_components
+from tests.llm.test_similar import plain_kept
 from tests.llm.test_secret_scan import plain as secrets
 
 
@@ -31,7 +31,7 @@ def test_stages(spark, tmp_path):
         kept.append({r.doc_id: r.text for r in docs.collect()})
     clean = {i: t for i, t in rows if not 100 <= i < 140}
     assert kept[1] == clean
-    assert set(kept[2]) == {c for _, _, c in plain_components(list(clean.items()))}
+    assert set(kept[2]) == plain_kept(list(clean.items()))
     assert set(kept[3]) == {r[0] for r in contaminated(list(kept[2].items()), bench) if not r[4]} and 200 not in kept[3] and 201 in kept[3]
     assert set(kept[4]) == set(kept[3]) and all(not secrets(t or "")[1] for t in kept[4].values()) and "[SECRET]" in kept[4][201]
     assert all(kept[4][i] == t for i, t in kept[3].items() if not secrets(t or "")[1])
