@@ -61,7 +61,7 @@ def first_claims(rows: DataFrame, keys: DataFrame, near: DataFrame | None = None
     claims = cut_lineage(keys.join(rivals, "seq", "left_semi"))
     some = None if near is None else cut_lineage(near.join(claims.select(F.col("key").alias("a")).distinct(), "a", "left_semi"))
     size = claims.count() + (0 if some is None else some.count())
-    settled = _folded(claims, some, size, fold_rows)
+    settled = cut_lineage(_folded(claims, some, size, fold_rows))  # callers read it several times
     return rows.select("seq").distinct().join(settled, "seq", "left").select("seq", F.coalesce("won", F.lit(True)).alias("won"))
 
 
