@@ -211,3 +211,21 @@ def test_related_equals_brute_force(spark):
     for r in related.related_events(ev, ev, sp).orderBy("source_id", "rank").collect():
         got.setdefault(r.source_id, []).append(r.related_id)
     assert got == want
+
+
+def test_schedule_gap_moves_no_row_for_each_span(spark):
+    """Gaps as by brute force, also from overlapping spans, and a plan whose pairs aren't multiplied by spans."""
+    rng = random.Random(7)
+    spans = []
+    for event in range(40):
+        for _ in range(rng.randrange(0, 9)):
+            start = dt.date(2026, 1, 1) + dt.timedelta(rng.randrange(0, 400))
+            spans.append((event, start, start + dt.timedelta(rng.randrange(0, 12))))
+    pairs = [(a, b) for a in range(42) for b in range(42)]
+    df = schedule.schedule_gap(spark.createDataFrame(pairs, "left_id long, right_id long"),
+                               spark.createDataFrame(spans, "event_id long, span_start date, span_end date"))
+    got = {(r.left_id, r.right_id): r.gap_days for r in df.collect()}
+    of = lambda i: [s for s in spans if s[0] == i]
+    want = {(a, b): min((max(0, (y[1] - x[2]).days, (x[1] - y[2]).days) for x in of(a) for y in of(b)), default=None) for a, b in pairs}
+    assert got == want
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()

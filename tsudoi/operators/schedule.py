@@ -1,11 +1,19 @@
 """Schedules: merged session spans and everything read from them."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tsudoi.functions.dates import NO_CLOCK, clock, day, span_end
 
+_SHIFT = 1 << 30  # makes every day of the calendar positive
+
 
 def usable_sessions(sessions: DataFrame) -> DataFrame:
     """Sessions with a start day; the end never precedes it."""
@@ -105,18 +113,47 @@ def clock_on_day(events: DataFrame, sessions: DataFrame, day_col: str, out: str
 def schedule_gap(pairs: DataFrame, spans: DataFrame) -> DataFrame:
     """T17. ``pairs(left_id, right_id)`` with the fewest days between the two schedules, null if one has none.
 
-    The spans of both stand in one order of starts; each looks back at the latest end of the other schedule so far,
-    which is its nearest earlier span. So a pair costs the sum of its spans and not their product."""
-    def side(n: int, own: str) -> DataFrame:
-        mine = spans.select(F.col("event_id").alias(own), F.col("span_start").alias("_s"), F.col("span_end").alias("_e"))
-        return pairs.select("left_id", "right_id").distinct().join(mine, own).select("left_id", "right_id", "_s", "_e", F.lit(n).alias("_side"))
-
-    before = Window.partitionBy("left_id", "right_id").orderBy("_s", "_side").rowsBetween(Window.unboundedPreceding, -1)
-    ends = [F.max(F.when(F.col("_side") == n, F.col("_e"))).over(before) for n in (0, 1)]
-    rows = side(0, "left_id").unionByName(side(1, "right_id")).withColumn("_other", F.when(F.col("_side") == 0, ends[1]).otherwise(ends[0]))
-    gaps = (rows.where(F.col("_other").isNotNull()).groupBy("left_id", "right_id")
-            .agg(F.min(F.greatest(F.lit(0), F.datediff("_s", "_other"))).alias("gap_days")))
-    return pairs.join(gaps, ["left_id", "right_id"], "left")
+    The spans of an event travel as two short arrays of days, one span a calendar day at most, so a pair is one row and not a
+    row for each of its spans. Each left span looks up the first right span that ends no earlier than it starts, and
+    the latest end before that one: a pair costs the sum of its spans and not their product."""
+    lists = (spans.where("span_start IS NOT NULL AND span_end IS NOT NULL").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_date("span_start").alias("s"), F.unix_date("span_end").alias("e")))).alias("x"))
+             .select("event_id", F.col("x.s").alias("s"), F.col("x.e").alias("e")))
+
+    def side(n: str, own: str) -> DataFrame:
+        return lists.select(F.col("event_id").alias(own), F.col("s").alias(n + "_s"), F.col("e").alias(n + "_e"))
+
+    # shuffled and hashed: a sort would spill the arrays, a broadcast would hold all schedules in the driver
+    found = (pairs.join(side("l", "left_id").hint("shuffle_hash"), "left_id", "left").join(side("r", "right_id").hint("shuffle_hash"), "right_id", "left"))
+    out = T.StructType([pairs.schema[c] for c in pairs.columns] + [T.StructField("gap_days", T.IntegerType())])
+    return found.select(*pairs.columns, "l_s", "l_e", "r_s", "r_e").mapInArrow(_gaps, out)
+
+
+def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the days of two schedules, each in order of starts -> the same rows with the days between the two."""
+    for batch in batches:
+        arrays = [batch.column(n) for n in ("l_s", "l_e", "r_s", "r_e")]
+        both = pc.and_(pc.is_valid(arrays[0]), pc.is_valid(arrays[2]))
+        which = np.flatnonzero(both.to_numpy(zero_copy_only=False))
+        days = [a.filter(both) for a in arrays]
+        # keys: the row above, the day below, so that one search serves all rows
+        rows = [np.repeat(np.arange(len(which)), pc.list_value_length(days[n]).to_numpy()) << 32 for n in (0, 2)]
+        key = [rows[n // 2] + (days[n].flatten().to_numpy().astype(np.int64) + _SHIFT) for n in range(4)]
+        ls, le, rs, re = key
+        gap = np.full(len(which), np.iinfo(np.int64).max)
+        if len(which):
+            reach = np.maximum.accumulate(re)  # a later row's key is above every earlier one's
+            at = np.searchsorted(reach, ls)
+            row = ls >> 32
+            after, before = np.minimum(at, len(rs) - 1), np.maximum(at - 1, 0)
+            far = np.iinfo(np.int64).max
+            ahead = np.where((at < len(rs)) & (rs[after] >> 32 == row), np.maximum(rs[after] - le, 0), far)
+            behind = np.where((at > 0) & (re[before] >> 32 == row), ls - reach[before], far)
+            np.minimum.at(gap, row, np.minimum(ahead, behind))
+        values = np.zeros(batch.num_rows, np.int32)
+        values[which] = gap
+        missing = ~both.to_numpy(zero_copy_only=False)
+        kept = [c for c in batch.schema.names if c not in ("l_s", "l_e", "r_s", "r_e")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(values, mask=missing)], names=[*kept, "gap_days"])
 
 
 def timed_groups(sessions: DataFrame, visible: int = 8) -> DataFrame:
