@@ -229,3 +229,18 @@ def test_schedule_gap_moves_no_row_for_each_span(spark):
     want = {(a, b): min((max(0, (y[1] - x[2]).days, (x[1] - y[2]).days) for x in of(a) for y in of(b)), default=None) for a, b in pairs}
     assert got == want
     assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matching_sends_no_catalogue_side_through_the_driver(spark):
+    """Sides that grow with the catalogue are dealt over the tasks, whatever their files' size lets Spark expect."""
+    from tsudoi.operators import state
+    events = spark.createDataFrame([(1, "a", "draft"), (2, "b", "published")], "id long, slug string, status string")
+    incoming = spark.createDataFrame([(1, "a", "t", "u", "2026-01-01", None)], "seq long, slug string, title string, source_url string, start_date string, end_date string")
+    decisions = spark.createDataFrame([(1, "none", None)], "seq long, duplicate_status string, matched_id long")
+    routed = state.route_import(incoming, decisions, events)
+    keyed = "{0} long, official_key string, source_key string, source_keys array<string>, title_key string, start_date date"
+    exact = match.exact_matches(spark.createDataFrame([(1, "o", "s", [], "t", D(2026, 1, 1))], keyed.format("seq")),
+                                spark.createDataFrame([(5, "o", "s", ["s"], "t", D(2026, 1, 1))], keyed.format("id")))
+    for df, hinted in ((routed, 2), (exact, 1)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("strategy=shuffle_hash") == hinted
+    assert [r.action for r in routed.collect()] == ["draft_update"] and [tuple(r) for r in exact.collect()] == [(1, 1, 5)]

@@ -17,6 +17,7 @@ from tsudoi.operators.claims import first_claims
 from tsudoi.operators.importing import draft_refusal
 from tsudoi.operators.lookups import already_attached, missing_occurrences
 from tsudoi.plans.ranking import top_k
+from tsudoi.session import dealt
 
 PROTECTED = ("published", "hidden")
 RESOLVED = ("linked", "created", "rejected", "expired")
@@ -61,7 +62,7 @@ def route_import(incoming: DataFrame, decisions: DataFrame, events: DataFrame) -
     slug_protected (no match, slug known) · skip_invalid · create_draft. ``incoming`` carries seq and slug."""
     matched = events.select(F.col("id").alias("matched_id"), F.col("status").alias("_ms"))
     by_slug = events.groupBy("slug").agg(F.min(F.struct("id", "status")).alias("_s"))
-    rows = incoming.join(decisions.select("seq", "duplicate_status", "matched_id"), "seq").join(matched, "matched_id", "left").join(by_slug, "slug", "left")
+    rows = incoming.join(decisions.select("seq", "duplicate_status", "matched_id"), "seq").join(dealt(matched), "matched_id", "left").join(dealt(by_slug), "slug", "left")
     refusal = draft_refusal(F.col("title"), F.col("source_url"), F.col("start_date").cast("string"), F.col("end_date").cast("string"))
     action = (F.when(strip(F.coalesce("source_url", F.lit(""))) == "", "skip_invalid").when(F.col("duplicate_status").isin("likely", "ambiguous"), "review")
               .when(F.col("duplicate_status") == "exact", F.when(F.col("_ms").isNull(), "error_event_missing").when(F.col("_ms").isin(*PROTECTED), "attach_and_diff").otherwise("attach"))
