@@ -107,3 +107,9 @@ def test_columns_are_kept(spark):
     df = spark.createDataFrame([(1, "<title>x</title>", None), (2, None, 5)], "page_id long, html string, extra int")
     got = with_facts(df).orderBy("page_id").collect()
     assert [(r.page_id, r.extra, r._facts.title) for r in got] == [(1, None, "x"), (2, 5, None)]
+
+
+def test_references_need_their_semicolon():
+    f = facts('<title>a &amp; b&amp</title><meta name="description" content="x &#39;y&#39; &lt"><h1>&notit; &eacute;&copy2</h1>')
+    assert f["title"] == "a & b&amp" and f["h1"] == ["&notit; é&copy2"]
+    assert [m["content"] for m in f["metas"]] == ["x 'y' &lt"]
