@@ -226,3 +226,14 @@ def test_audit_counters(spark):
     assert {r.counter: r.n for r in audit.batch_counts(df, occ, ["venue"]).collect()} == {"null_venue": 2, "only_other": 2, "occurrences": 2}
     rows = spark.createDataFrame([(1, 1, dt.date(2026, 1, 1), None), (2, 2, dt.date(2026, 3, 1), None), (3, 11, dt.date(2026, 1, 1), None)], "id long, pos long, start_date date, end_date date")
     assert [r.id for r in audit.ended_in_front(rows, "pos", dates.day("2026-02-01")).collect()] == [1]
+
+
+def test_of_equal_numbers_the_first_line_item_counts(spark, tmp_path):
+    from tsudoi.plans import catalog
+    rows = [(k, 5 if a == "max" else 4, n, q, 0.05, 0.05 if n else 0.01, "A") for k, (a, *qs) in enumerate(
+        [("max", 32.0, 37.0), ("max", 37.0, 32.0), ("min", 7.0, 41.0), ("min", 41.0, 7.0)]) for n, q in ((1, qs[0]), (1, qs[1]), (0 if a == "max" else 3, 32.0 if a == "max" else 7.0))]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string")
+    cur = df.where("l_linenumber = 0").drop("l_tax").withColumn("l_tax", F.lit(0.05))
+    df.where("l_linenumber > 0").unionByName(cur).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.event_id: r.route for r in catalog.QUERIES["proposal_routing"](spark, str(tmp_path)).collect()}
+    assert got == {0: "skip_same", 1: "review", 2: "skip_same", 3: "review"}

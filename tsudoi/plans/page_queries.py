@@ -187,9 +187,11 @@ def grounded_summaries(t):
 c AS (SELECT l_orderkey AS event_id, l_returnflag AS field, arg_min(l_quantity, l_linenumber * 1000000 + l_partkey) AS cur FROM lineitem WHERE l_tax > 0.02 GROUP BY 1, 2)
 SELECT event_id, field, CASE WHEN d < 0.03 THEN 'skip_low' WHEN cur = value THEN 'skip_same' WHEN cur IS NOT NULL THEN 'review' WHEN d >= 0.06 THEN 'apply_draft_and_review' ELSE 'review' END AS route FROM p LEFT JOIN c USING (event_id, field)""")
 def proposal_routing(t):
-    seq = C("l_linenumber") * 1000000 + C("l_partkey")
-    li = t.lineitem.withColumnsRenamed({"l_orderkey": "event_id", "l_returnflag": "field"})
-    best = li.groupBy("event_id", "field").agg(F.max_by(C("l_quantity").cast("string"), seq).alias("value"), F.max("l_discount").alias("d")).withColumn(
+    # of line items with one number the first of the file counts, as in the SQL's aggregates
+    seq, place = C("l_linenumber") * 1000000 + C("l_partkey"), ("_metadata.file_name", "_metadata.row_index")
+    li = t.lineitem.select("*", *place).withColumnsRenamed({"l_orderkey": "event_id", "l_returnflag": "field"})
+    first = lambda order: F.min_by(C("l_quantity"), F.when(order.isNotNull() & C("l_quantity").isNotNull(), F.struct(order.alias("o"), "file_name", "row_index"))).cast("string").alias("value")
+    best = li.groupBy("event_id", "field").agg(first(-seq), F.max("l_discount").alias("d")).withColumn(
         "confidence", F.when(C("d") < 0.03, "low").when(C("d") >= 0.06, "high").otherwise("medium"))
-    cur = li.where(C("l_tax") > 0.02).groupBy("event_id", "field").agg(F.min_by(C("l_quantity").cast("string"), seq).alias("value"))
+    cur = li.where(C("l_tax") > 0.02).groupBy("event_id", "field").agg(first(seq))
     return summaries.route_proposals(best, cur).select("event_id", "field", "route")
