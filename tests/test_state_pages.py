@@ -237,3 +237,14 @@ def test_of_equal_numbers_the_first_line_item_counts(spark, tmp_path):
     df.where("l_linenumber > 0").unionByName(cur).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r.event_id: r.route for r in catalog.QUERIES["proposal_routing"](spark, str(tmp_path)).collect()}
     assert got == {0: "skip_same", 1: "review", 2: "skip_same", 3: "review"}
+
+
+def test_catalogue_rows_are_dealt_before_they_are_worked_on(spark, tmp_path):
+    """However few splits a file has, the views that pages and rules are worked out from have a task for each shuffle partition."""
+    from tsudoi.plans import domain
+    parts = spark.range(1, 400).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'T' AS p_type", "cast(id % 50 AS int) AS p_size", "1.0 AS p_retailprice")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("catalogue", "event_pages", "visit_texts", "event_cards"):
+        df = domain.view(spark, str(tmp_path), name)
+        sizes = [r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(sizes) == 399
