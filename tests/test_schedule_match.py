@@ -244,3 +244,18 @@ def test_matching_sends_no_catalogue_side_through_the_driver(spark):
     for df, hinted in ((routed, 2), (exact, 1)):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("strategy=shuffle_hash") == hinted
     assert [r.action for r in routed.collect()] == ["draft_update"] and [tuple(r) for r in exact.collect()] == [(1, 1, 5)]
+
+
+def test_a_full_list_ends_what_a_related_source_reads(spark):
+    """Forty events of one place and category with equal spans: one list each is read, the lists behind it aren't."""
+    ev = spark.createDataFrame([(i, "ueno", "taito", ["food"]) for i in range(40)] + [(50, "ginza", None, ["food"])], "id long, area string, municipality string, category array<string>")
+    lists = related._lists(ev)
+    needed = related._needed(lists, lists.select("id", "list").distinct(), 4).collect()
+    assert {(r.id, r.list) for r in needed if r.id < 40} == {(i, "1|ueno|food") for i in range(40)}
+    assert {r.list for r in needed if r.id == 50} == {"1|ginza", "1|ginza|food", "3|food"}
+    days = [(i, D(2026, 1, 1 + d), D(2026, 1, 1 + d)) for i in [*range(40), 50] for d in (0, 5, 5)]
+    sp = spark.createDataFrame(days, "event_id long, span_start date, span_end date")
+    got = {}
+    for r in related.related_events(ev, ev, sp).orderBy("source_id", "rank").collect():
+        got.setdefault(r.source_id, []).append((r.related_id, r.tier, r.shares_category, r.gap_days))
+    assert got == {i: [(j, 3 if i == 50 else 1, True, 0) for j in range(41) if j != i][:4] for i in [*range(40), 50]}

@@ -7,6 +7,9 @@ answers "which k events of this list are nearest to this span": overlaps through
 neighbours through the k next or previous start and end days. An index entry holds k ids at most, so
 neither a popular list nor a popular day grows a row, and events with equal spans ask only once.
 k = 8 is exact for four results: a fuller tier can hide at most three rows plus the event itself.
+
+A source reads no list behind one that already holds four others, lists that nobody reads have no index, and of the members of
+a list with equal spans only the k first stay: the index grows with lists and days, not with events.
 """
 from __future__ import annotations
 
@@ -18,6 +21,9 @@ from tsudoi.plans.ranking import top_k
 from tsudoi.session import cut_lineage
 
 
+SALTS = 16
+
+
 def _place(c: str) -> Column:
     return blank_to_null(F.lower(strip(F.col(c))))
 
@@ -64,18 +70,33 @@ def _ancestors(d: Column, levels: int) -> Column:
     return F.array(*[F.struct(F.lit(lv).alias("lv"), F.shiftright(d, lv).alias("blk")) for lv in range(levels)])
 
 
+def _needed(reads: DataFrame, members: DataFrame, limit: int) -> DataFrame:
+    """The lists a source has to read: those up to the first kind, in order of rank, of which one alone holds enough others."""
+    kind = F.col("tier") * 2 - F.col("share").cast("int")
+    full = members.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("list", F.lit(True).alias("full"))
+    ranked = reads.join(full, "list", "left").withColumn("kind", kind)
+    enough = ranked.where("full").groupBy("id").agg(F.min("kind").alias("enough"))
+    return ranked.join(enough, "id", "left").where(F.col("enough").isNull() | (F.col("kind") <= F.col("enough"))).select("id", "tier", "list", "share")
+
+
 def related_events(sources: DataFrame, pool: DataFrame, spans: DataFrame, limit: int = 4) -> DataFrame:
     """J18. (source_id, related_id, tier, shares_category, gap_days, rank).
 
     ``sources``/``pool``: id, area, municipality, category array; ``pool`` already without ended events.
     ``spans``: (event_id, span_start, span_end) of both."""
     k = 2 * limit  # as many as can be asked of one list, the source itself and repeated offers aside
-    numbered = cut_lineage(spans.select(F.col("event_id").alias("id"), F.unix_date("span_start").alias("s"), F.unix_date("span_end").alias("e")))
+    numbered = cut_lineage(spans.select(F.col("event_id").alias("id"), F.unix_date("span_start").alias("s"), F.unix_date("span_end").alias("e")).distinct())
     # blocks larger than the longest span never occur, so no index is kept above that level
     longest = numbered.agg(F.max(F.col("e") - F.col("s") + 1)).head()[0] or 1
     levels = int(longest).bit_length() + 1
     members = _lists(pool).select("id", "list").distinct()
-    dated = cut_lineage(members.join(numbered, "id"))
+    reads = cut_lineage(_needed(_lists(sources), members, limit))
+    members = members.join(reads.select("list").distinct(), "list", "left_semi")
+    # spans travel with the lists of their event and become a row for each list only where equal spans have met
+    held = numbered.join(members.groupBy("id").agg(F.collect_list("list").alias("lists")), "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    met = held.repartition("s", "e", "salt").select(F.explode("lists").alias("list"), "s", "e", "salt", "id")
+    some = top_k(met, ["list", "s", "e", "salt"], [F.col("id")], k).select("list", "s", "e", "id")
+    dated = cut_lineage(top_k(some.repartition("list"), ["list", "s", "e"], [F.col("id")], k).select("list", "s", "e", "id"))
 
     # overlap index: spans covering a day (blocks of the span), spans starting in a block (blocks above the start)
     entries = dated.select("list", "id", F.explode(F.concat(
@@ -84,9 +105,8 @@ def related_events(sources: DataFrame, pool: DataFrame, spans: DataFrame, limit:
     block = ["list", "kind", "lv", "blk"]
     index = top_k(entries.select("list", "x.*", "id").distinct(), block, [F.col("id")], k).groupBy(*block).agg(F.collect_list("id").alias("ids"))
 
-    reads = _lists(sources)
-    asked = cut_lineage(reads.join(numbered.withColumnRenamed("s", "qs").withColumnRenamed("e", "qe"), "id", "left"))
-    queries = asked.where(F.col("qs").isNotNull()).select("list", "qs", "qe").distinct()
+    asked = reads.join(numbered.withColumnsRenamed({"s": "qs", "e": "qe"}), "id").withColumnRenamed("id", "source_id")
+    queries = cut_lineage(asked.select("list", "qs", "qe").distinct())
 
     probes = queries.select("list", "qs", "qe", F.explode(F.concat(
         F.transform(_ancestors(F.col("qs"), levels), lambda b: F.struct(F.lit("cover").alias("kind"), b.lv.alias("lv"), b.blk.alias("blk"))),
@@ -117,16 +137,23 @@ def related_events(sources: DataFrame, pool: DataFrame, spans: DataFrame, limit:
                                     F.coalesce(F.col("by_s").cast("array<struct<gap:int,id:bigint>>"), none), F.coalesce(F.col("by_e").cast("array<struct<gap:int,id:bigint>>"), none)))
     # an id offered twice keeps its smallest gap, which comes first in the sorted array
     once = let(offered, lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: y.id == x.id)))
-    best = answers.select("list", "qs", "qe", F.explode(F.slice(once, 1, k)).alias("n")).select("list", "qs", "qe", "n.id", "n.gap")
+    best = answers.select("list", "qs", "qe", F.slice(once, 1, k).alias("near")).select("list", "qs", "qe", F.col("near.gap").alias("gaps"), F.col("near.id").alias("ids"))
 
     # events without dates rank last; for a source without dates every event does
-    undated = top_k(members.join(numbered.select("id").distinct(), "id", "left_anti"), ["list"], [F.col("id")], k, "_k").drop("_k")
+    with_days = numbered.select("id").distinct()
+    undated = top_k(members.join(with_days, "id", "left_anti"), ["list"], [F.col("id")], k, "_k").drop("_k")
     anyone = top_k(members, ["list"], [F.col("id")], k, "_k").drop("_k")
-    as_source = asked.withColumnRenamed("id", "source_id")
     no_gap = F.lit(None).cast("int").alias("gap")
-    offers = (as_source.join(best, ["list", "qs", "qe"]).select("source_id", "tier", "share", "id", "gap")
-              .unionByName(as_source.where(F.col("qs").isNotNull()).select("source_id", "tier", "share", "list").distinct().join(undated, "list").select("source_id", "tier", "share", "id", no_gap))
-              .unionByName(as_source.where(F.col("qs").isNull()).join(anyone, "list").select("source_id", "tier", "share", "id", no_gap)))
+
+    def late(readers: DataFrame, offered: DataFrame) -> DataFrame:
+        return readers.withColumnRenamed("id", "source_id").join(offered, "list").select("source_id", "tier", "share", "id", no_gap)
+
+    # all members of a list of the first kind are equally close, so none is hidden there but the source itself
+    few = F.when((F.col("tier") == 1) & F.col("share"), limit + 1).otherwise(k)
+    near = asked.join(best, ["list", "qs", "qe"]).select("source_id", "tier", "share", F.slice("gaps", F.lit(1), few).alias("gaps"), F.slice("ids", F.lit(1), few).alias("ids"))
+    near = near.repartition("source_id").select("source_id", "tier", "share", F.explode(F.arrays_zip("ids", "gaps")).alias("n"))
+    offers = (near.select("source_id", "tier", "share", F.col("n.ids").alias("id"), F.col("n.gaps").alias("gap"))
+              .unionByName(late(reads.join(with_days, "id", "left_semi"), undated)).unionByName(late(reads.join(with_days, "id", "left_anti"), anyone)))
     merged = offers.where(F.col("id") != F.col("source_id")).groupBy("source_id", "id").agg(
         F.min("tier").alias("tier"), F.max("share").alias("share"), F.min("gap").alias("gap"))
     ranked = top_k(merged, ["source_id"], [F.col("tier"), F.col("share").desc(), F.col("gap").asc_nulls_last(), F.col("id")], limit, "rank")
