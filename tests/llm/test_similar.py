@@ -77,3 +77,27 @@ def test_sketches_bound_the_difference():
         b = np.concatenate((a[d:], r.integers(0, 1 << 62, d).astype(np.uint64)))
         apart = int(np.bitwise_count(similar.odd_sketch(a) ^ similar.odd_sketch(b)).sum())
         assert apart <= 2 * d and (d == 0) == (apart == 0)
+
+
+def test_trees_find_what_a_scan_finds():
+    r = np.random.default_rng(9)
+    fp = np.concatenate((r.integers(0, 1 << 63, 300), np.full(40, 5))).astype(np.uint64)
+    fp[100:200] = fp[:100] ^ (np.uint64(1) << r.integers(0, 62, 100).astype(np.uint64))
+    tree = similar.Tree(fp, 20, 330, bucket=6)
+    assert len(tree.root) == 4  # a pivot with children, not one bucket
+    for radius, low, high in ((0, 20, 330), (3, 0, 400), (22, 20, 330), (30, 50, 260)):
+        got = [(int(q), int(x), int(d)) for qs, xs, ds in tree.search(fp, radius, low, high, 4) for q, x, d in zip(qs, xs, ds)]
+        want = {(q, x): (int(fp[q]) ^ int(fp[x])).bit_count() for q in range(len(fp)) for x in range(max(20, low), min(330, high))}
+        assert sorted(got) == sorted((q, x, d) for (q, x), d in want.items() if d <= radius)
+
+
+def test_blocks_are_trees_of_shards():
+    r = np.random.default_rng(4)
+    fp = r.integers(0, 1 << 63, 200, dtype=np.int64)
+    fp = np.concatenate((fp, fp ^ 7))
+    table = __import__("pyarrow").table({"k": np.arange(400), "fp": fp, "fp2": fp, "n": r.integers(50, 70, 400), "label": np.arange(400)})
+    whole, cut = similar.Block(table), similar.Block(table, shard_rows=64, bucket=5)
+    assert [(t.low, t.high) for t in cut.trees()] == [(low, min(low + 64, 400)) for low in range(0, 400, 64)]
+    for every in (True, False):
+        a, b = ({(int(x), int(y)) for qs, xs in similar.near(block, block, 22, 36, 0.8, every, rows=9) for x, y in zip(qs, xs)} for block in (whole, cut))
+        assert a == b and a

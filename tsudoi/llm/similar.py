@@ -1,12 +1,12 @@
 """Near copies for stages: word sets with Jaccard similarity of at least 0.8, found by wide fingerprint search.
 
 Texts with the same set of five-word shingles are one node (named by a 64-bit hash of the set). Each node has a 64-bit
-SimHash of its set, a second one from other hash values, and an odd sketch of 512 bits. The nodes go out by broadcast in blocks of at most
-``block_rows``, and every node looks itself up in every block: those within ``radius`` bits, and ``both`` bits of the two
-together, whose set sizes allow the similarity are candidates. At this radius a BK-tree follows nearly all edges
-(fingerprints of unrelated texts are 32 bits apart, give or take 4), so a block is an array in order of set size, of which
-a query scans the sizes it can be similar to. Candidates become links only if the sets themselves, read again from the
-texts, are similar enough.
+SimHash of its set, a second one from other hash values, and an odd sketch of 512 bits. The nodes are dealt into blocks of at most
+``block_rows``; the block's shards (nodes next to each other in set size) become BK-trees, the trees go out by broadcast, and every
+node looks itself up in the trees of each block: those within ``radius`` bits, and ``both`` bits of the two together, whose set sizes
+allow the similarity are candidates. A tree's small branches are kept as buckets. At this radius a search follows nearly all
+edges (fingerprints of unrelated texts are 32 bits apart, give or take 4), so what it leaves out are the sizes the node can't be
+similar to. Candidates become links only if the sets themselves, read again from the texts, are similar enough.
 
 The search runs twice. The first gives each node its smallest and its nearest candidate of a block, which joins most of a
 dense group; the second gives all candidates whose ends are still in different components, so no pair is left out.
@@ -27,6 +27,7 @@ from tsudoi.llm.components import components
 
 SIMILARITY, SHINGLE, RADIUS, BOTH = 0.8, 5, 22, 36
 BLOCK_ROWS, TASK_ROWS, SLOTS = 1 << 18, 1 << 12, 1 << 22
+SHARD_ROWS, BUCKET = 1 << 13, 1 << 10
 ODD = tuple(f"odd{k}" for k in range(8))
 FLAGS = word_table(bytes(b for b in range(256) if b not in b" \t\n\r\v\f"))
 
@@ -82,18 +83,71 @@ def shapes(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE)
 
 
 class Block:
-    """Nodes in order of (n, k)."""
+    """Nodes in order of (n, k), and the BK-trees of their shards."""
 
-    def __init__(self, rows: pa.Table | pa.RecordBatch):
+    def __init__(self, rows: pa.Table | pa.RecordBatch, shard_rows: int = SHARD_ROWS, bucket: int = BUCKET):
         k, fp, fp2, n, label = (rows.column(c).to_numpy() for c in ("k", "fp", "fp2", "n", "label"))
         order = np.lexsort((k, n))
         self.k, self.n, self.label = k[order], n[order], label[order]
         self.fp, self.fp2 = fp[order].view(np.uint64), fp2[order].view(np.uint64)
         has = [c for c in ODD if c in rows.schema.names]
         self.odd = np.stack([rows.column(c).to_numpy()[order].view(np.uint64) for c in has], axis=1) if has else np.zeros((len(k), 0), np.uint64)
-
-
-def near(mine: Block, block: Block, radius: int, both: int, similarity: float, every: bool, rows: int = 64, most: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.sizes, self.built = (shard_rows, bucket), None
+
+    def trees(self) -> list[Tree]:
+        """Built once, before the block goes out."""
+        if self.built is None:
+            shard_rows, bucket = self.sizes
+            self.built = [Tree(self.fp, low, min(low + shard_rows, len(self.k)), bucket) for low in range(0, len(self.k), shard_rows)]
+        return self.built
+
+
+class Tree:
+    """BK-tree of the nodes ``low`` to ``high`` of a block: a branch holds a pivot and, by Hamming distance to it, its children. A branch
+    of at most ``bucket`` nodes, or of equal fingerprints, is a bucket of them in order of place."""
+
+    def __init__(self, fp: np.ndarray, low: int, high: int, bucket: int = BUCKET):
+        self.low, self.high = low, high
+        self.root: list = []
+        todo = [(self.root, np.arange(low, high))]
+        while todo:  # a slot to fill, and the places that belong there
+            slot, at = todo.pop()
+            if len(at) <= bucket or (fp[at] == fp[at[0]]).all():
+                slot += [at, fp[at]]
+                continue
+            pivot, rest = at[0], at[1:]
+            d = np.bitwise_count(fp[rest] ^ fp[pivot])
+            edges = np.unique(d)
+            children: list[list] = [[] for _ in edges]
+            slot += [pivot, fp[pivot], edges.astype(np.int64), children]
+            todo += [(child, rest[d == e]) for child, e in zip(children, edges)]
+
+    def search(self, fp: np.ndarray, radius: int, low: int, high: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(index in fp, place, distance) of all places from low to high within the radius, at most ``most`` places of a bucket at a time."""
+        todo = [(self.root, np.arange(len(fp)))]
+        while todo:
+            slot, q = todo.pop()
+            if len(slot) == 2:
+                at, own = slot
+                first, last = np.searchsorted(at, low), np.searchsorted(at, high)
+                for a in range(int(first), int(last), most):
+                    d = np.bitwise_count(fp[q][:, None] ^ own[None, a:min(a + most, int(last))])
+                    i, x = np.nonzero(d <= radius)
+                    if len(i):
+                        yield q[i], at[x + a], d[i, x].astype(np.int64)
+                continue
+            pivot, own, edges, children = slot
+            d = np.bitwise_count(fp[q] ^ own).astype(np.int64)
+            hit = d <= radius
+            if low <= pivot < high and hit.any():
+                yield q[hit], np.full(int(hit.sum()), pivot), d[hit]
+            for e, child in zip(edges, children):
+                go = np.abs(d - e) <= radius
+                if go.any():
+                    todo.append((child, q[go]))
+
+
+def near(mine: Block, block: Block, radius: int, both: int, similarity: float, every: bool, rows: int = 256, most: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(index in mine, index in block) of pairs within the radius, the second before the first in order of (n, k).
 
     every: all of them that differ in label; otherwise the first and the nearest of each in mine. Sets of that similarity
@@ -102,22 +156,21 @@ def near(mine: Block, block: Block, radius: int, both: int, similarity: float, e
     share = (1 - similarity) / (1 + similarity)
     for at in range(0, len(mine.k), rows):
         fp, n = mine.fp[at:at + rows], mine.n[at:at + rows]
-        low, high = np.searchsorted(block.n, int(similarity * n[0]), "left"), np.searchsorted(block.n, n[-1], "right")
+        low, high = (int(x) for x in (np.searchsorted(block.n, int(similarity * n[0]), "left"), np.searchsorted(block.n, n[-1], "right")))
         first: list[np.ndarray] = []
-        for a in range(int(low), int(high), most):
-            d = np.bitwise_count(fp[:, None] ^ block.fp[None, a:min(a + most, int(high))])
-            q, x = np.nonzero(d <= radius)
-            if not len(q):
+        for tree in block.trees():
+            if tree.low >= high or tree.high <= low:
                 continue
-            d, q, x = d[q, x].astype(np.int64), q + at, x + a
-            d += np.bitwise_count(mine.fp2[q] ^ block.fp2[x])
-            ok = (block.n[x] < mine.n[q]) | ((block.n[x] == mine.n[q]) & (block.k[x] < mine.k[q]))
-            ok &= (d <= both) & (block.n[x] >= similarity * mine.n[q]) & (block.label[x] != mine.label[q])
-            ok &= np.bitwise_count(mine.odd[q] ^ block.odd[x]).sum(axis=1) <= share * (mine.n[q] + block.n[x]) + 1e-6
-            if every:
-                yield q[ok], x[ok]
-            else:
-                first.append(few(np.stack((q[ok], x[ok], d[ok]))))
+            for q, x, d in tree.search(fp, radius, low, high, most):
+                q = q + at
+                d += np.bitwise_count(mine.fp2[q] ^ block.fp2[x])
+                ok = (block.n[x] < mine.n[q]) | ((block.n[x] == mine.n[q]) & (block.k[x] < mine.k[q]))
+                ok &= (d <= both) & (block.n[x] >= similarity * mine.n[q]) & (block.label[x] != mine.label[q])
+                ok &= np.bitwise_count(mine.odd[q] ^ block.odd[x]).sum(axis=1) <= share * (mine.n[q] + block.n[x]) + 1e-6
+                if every:
+                    yield q[ok], x[ok]
+                elif ok.any():
+                    first.append(few(np.stack((q[ok], x[ok], d[ok]))))
         if first:
             q, x, _ = few(np.concatenate(first, axis=1))
             yield q, x
@@ -137,7 +190,9 @@ def candidates(nodes: DataFrame, radius: int, both: int, similarity: float, ever
     dealt = nodes.select("k", "fp", "fp2", "n", "label", *ODD).repartition(max(1, -(-total // TASK_ROWS)), "k")
     out = []
     for b in range(blocks):
-        sent = spark.sparkContext.broadcast(Block(nodes.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).select("k", "fp", "fp2", "n", "label", *ODD).toArrow()))
+        block = Block(nodes.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).select("k", "fp", "fp2", "n", "label", *ODD).toArrow())
+        block.trees()
+        sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
