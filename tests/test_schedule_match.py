@@ -259,3 +259,12 @@ def test_a_full_list_ends_what_a_related_source_reads(spark):
     for r in related.related_events(ev, ev, sp).orderBy("source_id", "rank").collect():
         got.setdefault(r.source_id, []).append((r.related_id, r.tier, r.shares_category, r.gap_days))
     assert got == {i: [(j, 3 if i == 50 else 1, True, 0) for j in range(41) if j != i][:4] for i in [*range(40), 50]}
+
+
+def test_a_title_is_taken_apart_once(spark):
+    df = spark.createDataFrame([("夏まつり 第3回 2026",), ("夏まつり 第3回 2026",), ("夏まつり！ 第3回 2026",), ("ABC abc",), (None,), ("",)], "title string")
+    full = match.with_match_keys(df.selectExpr("title", *[f"cast(null as {k}) as {c}" for c, k in (("start_date", "date"), ("end_date", "date"), ("venue", "string"), ("area", "string"), ("official_url", "string"), ("source_url", "string"))]))
+    got = match.title_keys(df)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, full.select(*match.TITLE).distinct().collect()), key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [title" in plan.split("EvalPython")[-1]  # equal titles become one row before they are normalised

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tsudoi.operators import match
 from tsudoi.plans import sqltext as q
 from tsudoi.plans.registry import query
+from tsudoi.session import cut_lineage
 
 C = F.col
 
@@ -55,7 +56,7 @@ def match_pool_urls(t):
 
 @query("similar_titles", f"WITH {BASE}, {TITLES} SELECT ak AS a_title_key, bk AS b_title_key, round(sim, 6) AS title_sim FROM tp WHERE sim >= 0.72")
 def similar_titles(t):
-    pairs = match.similar_titles(match.with_match_keys(t.incoming), match.with_match_keys(t.catalogue))
+    pairs = match.similar_titles(cut_lineage(match.title_keys(t.incoming)), cut_lineage(match.title_keys(t.catalogue)))
     return pairs.select("a_title_key", "b_title_key", F.round("title_sim", 6).alias("title_sim"))
 
 
