@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tests.llm import cases
 from tsudoi.llm import dac, packing
 from tsudoi.llm.common import scratch
-from tsudoi.llm.tokens import encoder, vocabulary
+from tsudoi.llm.tokens import Encoder, encoder, vocabulary
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
 PIECES = st.sampled_from(["The", "the", " ", "  ", "\n", "\n\n", "\t", "word,", "word.", "it's", "'s", "...", "1.5", "é", "ΑΣ", "　", "\xa0", "<|endoftext|>", "<|", "x", "\x1c", "é", "İ"])
@@ -27,6 +27,19 @@ def test_chunks_equal_whole_texts(file):
     assert enc.mode is not None and [len(x) for x in enc.ids([None, ""])] == [0, 0]
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_chunks_that_end_in_marks(file, monkeypatch):
+    enc = Encoder(vocabulary(file))
+    for text in ("İ. x", "İ!! x", "ΑΣ. é*** क़. ß,$$$", "it's!! x' 'y", "a1b!! 한글. 中文。 😀!"):
+        assert enc.ids([text])[0].tolist() == enc.library.encode(text, add_special_tokens=False).ids
+    asked = []
+    encode = enc.encode
+    monkeypatch.setattr(enc, "encode", lambda texts: asked.extend(texts) or encode(texts))
+    text = " ".join(a + b + c + mark for a in "bcdfg" for b in "aeiou" for c in "klmnp" for mark in ("!!", "***", "%%%", "."))
+    assert enc.ids([text])[0].tolist() == enc.library.encode(text, add_special_tokens=False).ids
+    assert len(asked) <= 8  # the marks and the first word, not each of 500 chunks
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 70_000), st.integers(0, 2 ** 32 - 1)), max_size=2000))
 def test_codes_round_trip(ids):

@@ -93,7 +93,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
                                                                        ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("levels", LEVELS)]))
         held = 0
         for batch in batches:
-            for piece in slices(batch, "t", 1 << 20):
+            for piece in slices(batch, "t", 2 << 20):
                 for doc, ids in zip(piece.column("i").to_pylist(), enc.raw(piece.column("t").to_pylist())):
                     doc_ids.append(doc)
                     parts.append(ids + end)
