@@ -3,7 +3,9 @@ import re
 import time
 from html.parser import HTMLParser
 
-from tsudoi.functions.markup import Page, with_facts
+import pyarrow as pa
+
+from tsudoi.functions.markup import Page, portions, with_facts
 from tsudoi.operators import pages
 
 
@@ -113,3 +115,13 @@ def test_references_need_their_semicolon():
     f = facts('<title>a &amp; b&amp</title><meta name="description" content="x &#39;y&#39; &lt"><h1>&notit; &eacute;&copy2</h1>')
     assert f["title"] == "a & b&amp" and f["h1"] == ["&notit; é&copy2"]
     assert [m["content"] for m in f["metas"]] == ["x 'y' &lt"]
+
+
+def test_pages_are_read_in_portions():
+    # 40 texts of 100 kB, a null one and one of 3 MB: no portion holds more than a megabyte, or it is one text
+    texts = ["x" * 100_000] * 40 + [None, "y" * 3_000_000, "", "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["page_id", "html"])
+    parts = [p.column(1).to_pylist() for p in portions(batch, 1)]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= 1 << 20 for p in parts) and len(parts) == 6
+    assert list(portions(batch.slice(0, 0), 1)) == []
