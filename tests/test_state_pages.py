@@ -132,6 +132,17 @@ def test_pages(spark):
     assert v == {"price_type": "paid", "price_min": "1200", "price_max": "1200"}
 
 
+def test_visit_facts_read_pages_once(spark):
+    node = lambda kind, price: f'{{"@type":"{kind}","offers":[{{"price":"9","priceCurrency":"USD"}},{{"price":"{price}","url":"https://t.com/{price}"}}]}}'
+    page = lambda *nodes: "".join(f'<script type="application/ld+json">{n}</script>' for n in nodes)
+    # an event hides other nodes of its page, a series is none, a page without events offers all its nodes, one without a key none
+    rows = [(1, page(node("Place", 300), node("Event", 500))), (2, page(node("Place", 300), node("EventSeries", 700))), (None, page(node("Event", 900))), (3, page('{"@type":"Event"}', node("Place", 100)))]
+    found = pages.visit_facts_json_ld(pages.json_ld_nodes(spark.createDataFrame(rows, "page_id long, html string")))
+    assert sorted((r.page_id, r.value) for r in found.where("field in ('price_min', 'reservation_url')").collect()) == [
+        (1, "500"), (1, "https://t.com/500"), (2, "300"), (2, "700"), (2, "https://t.com/300"), (2, "https://t.com/700")]
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
 def test_visit_text(spark):
     df = spark.createDataFrame([(1, "アクセスは次のとおりです、上野駅から徒歩5分、銀座駅から徒歩3分。"), (2, "最寄駅：銀座駅 徒歩約4分。入場料 一般1,500円、小人800円。要予約。3歳以上。")], "page_id long, text string")
     got = {}

@@ -313,15 +313,16 @@ def english_title_candidates(pages: DataFrame, key: str = "page_id") -> DataFram
 # ---- visit facts ---------------------------------------------------------------------------------
 def visit_facts_json_ld(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """P8. Proposals (key, seq, field, value, confidence, method) from offers priced in yen."""
-    events = nodes.withColumn("_t", F.exists(_types("node"), lambda t: t.rlike("(?i)Event") & ~t.rlike("(?i)EventSeries")))
-    has = events.groupBy(key).agg(F.bool_or("_t").alias("_any"))
-    target = events.join(has, key).where(F.col("_t") | ~F.col("_any"))
-    o = F.col("o")
-    get = lambda p: F.try_variant_get(o, p, "string")
-    rows = target.select(key, "pos", F.posexplode(offer_list("node")).alias("i", "o")).where(F.coalesce(F.upper(get("$.priceCurrency")), F.lit("JPY")).isin("JPY", "YEN"))
-    price = F.round(blank_to_null(F.regexp_replace(get("$.price"), "[^0-9.]", "")).try_cast("double")).cast("long")
-    rows = rows.select(key, "pos", "i", price.alias("p"), F.when(get("$.url").startswith("http"), strip(get("$.url"))).alias("u"),
-                       F.coalesce(get("$.availability").rlike("(?i)Free"), F.lit(False)).alias("fr"))
+    def offer(o: Column, i: Column) -> Column:
+        get = lambda p: F.try_variant_get(o, p, "string")
+        price = F.round(blank_to_null(F.regexp_replace(get("$.price"), "[^0-9.]", "")).try_cast("double")).cast("long")
+        return F.struct(i.alias("i"), F.coalesce(F.upper(get("$.priceCurrency")), F.lit("JPY")).isin("JPY", "YEN").alias("yen"), price.alias("p"),
+                        F.when(get("$.url").startswith("http"), strip(get("$.url"))).alias("u"), F.coalesce(get("$.availability").rlike("(?i)Free"), F.lit(False)).alias("fr"))
+    # nodes are reduced to their offers first, then a page is asked once whether any of its nodes is an event; nothing is read twice
+    is_event = F.exists(_types("node"), lambda t: t.rlike("(?i)Event") & ~t.rlike("(?i)EventSeries"))
+    read = nodes.where(F.col(key).isNotNull()).select(key, "pos", is_event.alias("_t"), F.filter(F.transform(offer_list("node"), offer), lambda o: o["yen"]).alias("_o"))
+    target = read.withColumn("_any", F.bool_or("_t").over(Window.partitionBy(key))).where(F.col("_t") | ~F.col("_any"))
+    rows = target.select(key, "pos", F.explode("_o").alias("o")).select(key, "pos", "o.i", "o.p", "o.u", "o.fr")
     per = rows.groupBy(key, "pos").agg(F.bool_or((F.col("p") == 0) | (F.col("fr") & F.col("p").isNull())).alias("free"), F.min(F.when(F.col("p") > 0, F.col("p"))).alias("lo"),
                                        F.max(F.when(F.col("p") > 0, F.col("p"))).alias("hi"), F.max_by("u", F.when(F.col("u").isNotNull(), F.col("i"))).alias("u"))
     free = F.coalesce(F.col("free"), F.lit(False)) & F.col("lo").isNull()
