@@ -102,3 +102,53 @@ def test_drafts_move_no_titles(spark, monkeypatch):
     out = match.attach_within_batch(cand, match.decide(cand, empty, keyed=True))
     assert {r.seq: r.leader for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
     assert not any("seq" in c and {"title", "title_key", "core"} & set(c) for c in moved)
+
+
+def test_early_claims_equal_the_loop(spark):
+    """Sure winners and the rows left open after any number of rounds settle to the loop's winners."""
+    r = random.Random(8)
+    for fold_rows, groups in ((1, 12), (1, 150), (10_000, 30)):
+        rows = [(s, r.randrange(groups), r.choice([None, f"o{r.randrange(40)}"]), r.choice([None, f"s{r.randrange(60)}", f"u{s}"])) for s in range(300)]
+        links = {(r.randrange(groups), r.randrange(groups)) for _ in range(groups // 2)}
+        links |= {(b, a) for a, b in links} | {(g, g) for g in range(groups)}
+        near = {(f"g{a}", f"g{b}") for a, b in links}
+        held = {s: {f"g{g}", *(x for x in (o, u) if x)} for s, g, o, u in rows}
+        own = {(k, k) for ks in held.values() for k in ks}
+        want = {s for s, won in plain(held, near | own).items() if won}
+        df = spark.createDataFrame(rows, "seq long, g long, o string, u string")
+        sure, left = claims.early_claims(df, spark.createDataFrame(sorted(links), "a long, b long"), "g", ["o", "u"], fold_rows)
+        sure, left = {x.seq for x in sure.collect()}, {x.seq: {f"g{x.g}", *(k for k in (x.o, x.u) if k)} for x in left.collect()}
+        assert sure and not sure & set(left) and len(left) <= len(rows) - len(sure)
+        assert sure | {s for s, won in plain(left, near | own).items() if won} == want
+
+
+def test_rows_of_a_batch_are_written_once(spark, monkeypatch):
+    """Many rows with few titles: the rows are written once, whatever becomes of them, and rows that others forestall are not moved with their keys."""
+    rows = [(i, ("夏まつり大会", "現代アート展示", "jazz night", "flea market")[i % 4], D(2026, 1, 1 + i % 28), None, f"v{i % 7}", "ueno", None, f"https://x.com/{i}") for i in range(1, 2001)]
+    written = []
+    for module in (match, claims):
+        cut = module.cut_lineage
+
+        def noted(d, cut=cut):
+            out = cut(d)
+            if "seq" in out.columns:
+                written.append(out.count())
+            return out
+        monkeypatch.setattr(module, "cut_lineage", noted)
+    cand = match.with_match_keys(spark.createDataFrame(rows, CAND))
+    out = match.attach_within_batch(cand, cand.select("seq", F.lit("none").alias("duplicate_status")))
+    assert {x.seq: x.leader for x in out.collect()} == {i: (i - 1) % 4 + 1 for i in range(1, 2001)}
+    assert sum(written) < 1.1 * len(rows)
+
+
+def test_a_first_import_needs_no_decisions_and_no_keys(spark):
+    r = random.Random(4)
+    rows = [(i if i != 7 else None, r.choice(["コスモスまつり2026", "コスモスまつり2026 秋の特別版", "コスモスまつり", "冬の市", "冬の市場 第2回", "第3回 冬の市場", "", "2026"]), r.choice([None, D(2026, 9, r.randint(1, 9))]),
+             r.choice([None, D(2026, 9, r.randint(9, 20))]), r.choice([None, "", "国営昭和記念公園", "昭和記念公園", "別の公園"]), r.choice([None, "minato", "ueno"]),
+             r.choice([None, None, f"https://o.com/{r.randrange(30)}?utm_source=x"]), r.choice([None, f"https://s.com/{r.randrange(60)}"])) for i in range(1, 160)]
+    df = spark.createDataFrame(rows, CAND)
+    cand = match.with_match_keys(df)
+    with_keys = match.attach_within_batch(cand, cand.select("seq", F.lit("none").alias("duplicate_status")))
+    got = sorted(match.attach_within_batch(df, keyed=False).collect())
+    assert [r.seq for r in got] == [i for i in range(1, 160) if i != 7] and got == sorted(with_keys.collect())
+    assert {x.tier for x in got} >= {None, 1, 2, 3, 4, 5, 6, 7}

@@ -1,14 +1,14 @@
 """First come, first served over keys, where only winners hold their keys."""
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsudoi.operators.components import components
-from tsudoi.session import cut_lineage
+from tsudoi.session import cut_lineage, looked_up
 
 FOLD_ROWS = 200_000
 
@@ -39,6 +39,43 @@ def in_turn(claims: Iterable[tuple[int, str]], near: Iterable[tuple[str, str]] |
     return won
 
 
+def held_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(seq, place, key): the keys a row holds in the columns ``keys``, with the place of the column among them, from 1."""
+    each = F.array(*[F.struct(F.lit(n).alias("place"), F.col(c).alias("key")) for n, c in enumerate(keys, 1)])
+    return rows.select("seq", F.explode(each).alias("k")).select("seq", "k.*").where(F.col("key").isNotNull())
+
+
+def early_claims(rows: DataFrame, near: DataFrame, group: str, keys: Sequence[str], fold_rows: int = FOLD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """rows(seq, group, *keys), written: (seq) of sure winners and the rows that are open still, to be settled by ``first_claims``.
+
+    A row stands in the way of later rows whose group is ``near`` its own (a, b; symmetric, and a group near itself) and of those that hold
+    one of its keys in the same column. An open row before all open rows in whose way it could stand is sure to win, and those
+    are sure to lose. Where many rows have few groups, winners are few, so the rows are read for each round and not moved; only those
+    still open are written. Ends when a task can fold what is open, or when a round settles less than half of it.
+    """
+    won, before = rows.select("seq").limit(0), None
+    while True:
+        firsts = cut_lineage(rows.groupBy(group).agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n")))
+        size = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if size == 0 or before is not None and (size * (len(keys) + 1) <= fold_rows or size > before / 2):
+            return won, rows
+        before = size
+        least = near.join(firsts.select(F.col(group).alias("b"), "seq"), "b").groupBy(F.col("a").alias(group)).agg(F.min("seq").alias("_least"))
+        heads = cut_lineage(firsts.join(least, group, "left").where("_least IS NULL OR _least >= seq").select(group, "seq"))
+        heads = cut_lineage(rows.join(looked_up(heads), [group, "seq"], "left_semi"))
+        wanted = held_keys(heads, keys)
+        asked = cut_lineage(wanted.select("place", "key").distinct())
+        earliest = held_keys(rows, keys).join(looked_up(asked), ["place", "key"]).groupBy("place", "key").agg(F.min("seq").alias("_least"))
+        late = wanted.join(earliest, ["place", "key"]).where("_least < seq").select("seq").distinct()
+        sure = cut_lineage(heads.join(late, "seq", "left_anti"))
+        won = cut_lineage(won.unionByName(sure.select("seq")))
+        barred = {"seq": sure.select("seq"), group: near.join(sure.select(F.col(group).alias("b")), "b").select(F.col("a").alias(group)),
+                  **{c: sure.where(F.col(c).isNotNull()).select(c) for c in keys}}
+        for column, values in barred.items():
+            rows = rows.join(looked_up(cut_lineage(values.distinct())), column, "left_anti")
+        rows = cut_lineage(rows)
+
+
 def first_claims(rows: DataFrame, keys: DataFrame, near: DataFrame | None = None, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(seq, won): a row wins iff no earlier *winner* holds one of its keys. rows(seq), keys(seq, key).
 

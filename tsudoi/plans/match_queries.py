@@ -143,6 +143,5 @@ SELECT seq, leader, tier, CASE WHEN tier <= 3 THEN 'exact' WHEN tier <= 5 THEN '
 @query("in_batch_leaders", IN_BATCH)
 def in_batch_leaders(t):
     # the first import: nothing is in the catalogue yet
-    cand = match.with_match_keys(t.incoming)
-    found = match.attach_within_batch(cand, match.decide(cand, match.match_pool(t.catalogue.limit(0)), keyed=True))
+    found = match.attach_within_batch(t.incoming, keyed=False)
     return found.select("seq", "leader", "tier", "duplicate_status", "action", F.floor(C("confidence") * 100 + 0.000001).alias("confidence"))
